@@ -1 +1,8 @@
 """Point-in-time forecast analytics as Spark DataFrame transformations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
