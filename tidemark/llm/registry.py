@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
+from tidemark.llm.sharding import op7_sharding
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id}
+    return {
+        "op1_language_id": op1_language_id,
+        "op7_sharding": op7_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
