@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
+from tidemark.llm import top_k
 from tidemark.llm.sharding import op7_sharding
 
 
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op5_top_k": top_k.op5_top_k,
         "op7_sharding": op7_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express over whole tables; the rest is tested by brute force."""
-    return {}
+    return {"op5_top_k": top_k.ORACLE}
