@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import near_dedup, packing, top_k
+from tidemark.llm import near_dedup, packing, pii, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_top_k": top_k.op5_top_k,
         "op6_packing": packing.op6_packing,
         "op7_sharding": op7_sharding,
+        "op9_pii": pii.op9_pii,
     }
 
 
