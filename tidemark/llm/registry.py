@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import near_dedup, packing, pii, top_k
+from tidemark.llm import near_dedup, packing, pii, substring_dedup, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_sharding": op7_sharding,
         "op9_pii": pii.op9_pii,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 

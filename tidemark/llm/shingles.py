@@ -45,19 +45,30 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["up"], _TABLES["down"]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the number of words of each text."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' buffer with a space behind each, and of all words in order: hashes, starts, ends, and words by text."""
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    gap = GAPS[buffer]
-    edges = np.flatnonzero(np.diff(gap, prepend=True))
+    edges = np.flatnonzero(np.diff(GAPS[buffer], prepend=True))
     starts, ends = edges[0::2], edges[1::2]
-    place, back = _tables(len(buffer))
+    up, down = _tables(len(buffer))
     total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[buffer]] * place[: len(buffer)], out=total[1:])
-    words = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    lengths = np.array([len(t) for t in texts]) + 1
-    owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return words, np.bincount(owner, minlength=len(texts))
+    np.cumsum(_BYTE[LOWER[buffer]] * up[: len(buffer)], out=total[1:])
+    words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    return buffer, words, starts, ends, np.bincount(owner, minlength=len(texts))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of words of each text."""
+    _, words, _, _, count = words_of(texts)
+    return words, count
+
+
+def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences [first, end), alike wherever they stand."""
+    up, down = _tables(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
