@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import near_dedup, packing, pii, substring_dedup, top_k
+from tidemark.llm import media, near_dedup, packing, pii, substring_dedup, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_media": media.op4_media,
         "op5_top_k": top_k.op5_top_k,
         "op6_packing": packing.op6_packing,
         "op7_sharding": op7_sharding,
