@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import media, near_dedup, packing, pii, substring_dedup, top_k
+from tidemark.llm import html_content, media, near_dedup, packing, pii, substring_dedup, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_top_k": top_k.op5_top_k,
         "op6_packing": packing.op6_packing,
         "op7_sharding": op7_sharding,
+        "op8_html": html_content.op8_html,
         "op9_pii": pii.op9_pii,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
