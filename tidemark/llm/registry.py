@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import html_content, media, near_dedup, packing, pii, substring_dedup, top_k
+from tidemark.llm import html_content, media, mixing, near_dedup, packing, pii, substring_dedup, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_mixing": mixing.op2_mixing,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_media": media.op4_media,
         "op5_top_k": top_k.op5_top_k,
