@@ -1,10 +1,16 @@
-"""A training corpus from raw documents, in stages over the documents table."""
+"""A training corpus from raw documents, in stages over the documents table.
+
+Each stage takes what its predecessor kept and all but the last return the
+columns of documents. Rows without an id or text pass where a stage doesn't say
+otherwise; an empty table stays one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.llm import language_id
+from tidemark.llm import language_id, mixing, near_dedup, packing, pii
 from tidemark.llm.common import read, written
 
 #: Documents whose best language has less of the probability go.
@@ -18,7 +24,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-STAGES = [("language id", language_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates stays, once if its row is repeated."""
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; other texts stay as they are."""
+    found = pii.find_personal(docs, pii.train(docs))
+    text = F.coalesce("clean", "text")
+    return found.withColumns({"text": text, "n_chars": F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("clean"))}).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights; one that is drawn for two epochs is there twice."""
+    return mixing.select_mix(docs, mixing.tree_levels(), mixing.PRODUCTION).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("segments")
+
+
+STAGES = [
+    ("language id", language_stage),
+    ("near duplicates", dedup_stage),
+    ("personal data", privacy_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL can't express the trained stages; tests compare with brute force.
 ORACLE_SQL = None
