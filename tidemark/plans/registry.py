@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.plans import base, candle_queries  # noqa: F401
 
 FLAGSHIP = "performance_summary"
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
-def queries() -> dict[str, Query]:
+def queries() -> dict[str, base.Query]:
     """Every query of the engine, by name."""
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL that gives the same rows, by query name."""
-    return {}
+    return dict(base.SQL)
