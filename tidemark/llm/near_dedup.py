@@ -8,17 +8,23 @@ A region of more than CROWD sets is read DEEP values further, so its depth
 adapts to how crowded it is. The longest-common-prefix neighbour that a set is
 compared with is the smallest set of its deepest region shared with another.
 
-Comparisons are exact, on full sets, and in two rounds, as a hot region must
-not be expanded into all of its pairs:
-
-1. each set with the smallest neighbour that any order gives: one pair a set;
-2. of the regions whose sets aren't all connected by then, the pairs of
-   different components that the first round leaves open. Jaccard distance is a
-   metric, so two sets whose distances to a common neighbour differ by more
-   than 0.25 are no link, which rules out most of a crowded region unseen.
-
-Every pair that shares a region is so compared, ruled out by the metric or by
-its sizes, or connected already; nothing is capped.
+Comparisons are exact, on full sets, and a hot region is not expanded into all
+of its pairs:
+
+1. Each set is compared with the smallest neighbour that any order gives: one
+   pair a set. Those that this leaves without a link try again among themselves,
+   ROUNDS times in all, so that a group of its own within a region gets a
+   neighbour of its own.
+2. Of the regions whose sets aren't all connected by then, the pairs of
+   different components are compared that what is known leaves open. For two
+   sets a and b compared with the same neighbour p before, either they share a
+   shingle that p lacks, which an equi-join on those few shingles finds, or their
+   intersection is at most that of either with p, which rules out nearly all.
+   Distances to p that differ by more than 0.25 rule out a pair, too, as the
+   Jaccard distance is a metric.
+
+Every pair that shares a region is so compared, ruled out by a bound or
+connected already; nothing is capped.
 
 Defined results: a document without words or text has an empty set and is its
 own component; fewer than five words are one shingle; equal sets are linked;
@@ -29,6 +35,7 @@ has no component and is kept. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +51,7 @@ TREES = 32
 NEAR = 4
 DEEP = 4
 CROWD = 32
+ROUNDS = 3
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
 
@@ -115,6 +123,44 @@ def linked(sizes: DataFrame) -> DataFrame:
     return sizes.where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
+def neighbours(members: DataFrame) -> DataFrame:
+    """(node, to): for each set the smallest of its longest-common-prefix neighbours, if that is smaller."""
+    regions = members.groupBy("near").agg(F.count("*").alias("sets"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    placed = members.join(regions.drop("most"), "near")
+    deeper = placed.where(F.col("sets") > CROWD).groupBy("deep").agg(F.min("node").alias("deep_least"))
+    nearest = placed.join(deeper, "deep", "left").select("node", F.when(F.col("deep_least") < F.col("node"), F.col("deep_least")).otherwise(F.col("least")).alias("to"))
+    return nearest.where("to < node").groupBy("node").agg(F.min("to").alias("to"))
+
+
+def open_pairs(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one region that aren't ruled out."""
+    placed = members.select("node", "near").join(known, "node")
+    mixed = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
+    placed = written(placed.join(mixed.select("near", "home"), "near"))
+
+    def pairs(rows: DataFrame, on: list[str], more) -> DataFrame:
+        """Of equal keys, guests with hosts and guests with guests; a region's hosts are one component."""
+        side = lambda df, x: df.select(*[F.col(c) if c in on else F.col(c).alias(f"{c}_{x}") for c in df.columns])
+        both = side(rows.where("component <> home"), "a").join(side(rows, "b"), on)
+        once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("home_b"))
+        sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+        both = both.where((F.col("component_a") != F.col("component_b")) & once & sizes & more)
+        return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    same = F.coalesce(F.col("to_a") == F.col("to_b"), F.lit(False))
+    most = F.least("common_a", "common_b")
+    bounded = 100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)
+    apart = F.abs(F.col("d_a") - F.col("d_b")) > 1 - PERCENT / 100 + 1e-9
+    by_region = pairs(placed, ["near"], ~same | bounded)
+
+    held = placed.where("to IS NOT NULL").select("node", "component", "to", "d", "n").distinct()
+    own, other = sets.select("node", "shingles"), sets.select(F.col("node").alias("to"), F.col("shingles").alias("theirs"))
+    lacking = held.join(own, "node").join(other, "to").select("node", "component", "to", "d", "n", F.explode(F.array_except("shingles", "theirs")).alias("shingle"))
+    hosts = lacking.groupBy("to", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
+    lacking = lacking.join(hosts.select("to", "shingle", "home"), ["to", "shingle"])
+    return by_region.union(pairs(lacking, ["to", "shingle"], ~apart))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -129,39 +175,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     keys = named.join(nodes.withColumnRenamed("node", "doc_id"), [*print_of, "doc_id"]).select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("near", "deep")).alias("k"))
     keys = keys.select("node", "k.near", "k.deep")
-    regions = keys.groupBy("near").agg(F.count("*").alias("sets"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = written(keys.join(regions.drop("most"), "near"))
-    deeper = members.where(F.col("sets") > CROWD).groupBy("deep").agg(F.min("node").alias("deep_least"))
-    neighbours = members.join(deeper, "deep", "left").select("node", F.when(F.col("deep_least") < F.col("node"), F.col("deep_least")).otherwise(F.col("least")).alias("to"))
-    first = written(neighbours.where("to < node").groupBy("node").agg(F.min("to").alias("to")))
-
-    compare = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = docs.join(compare, "doc_id", "left_semi").mapInPandas(_full_sets, StructType([StructField("node", kind), StructField("shingles", longs)]))
-    sets = written(sets.where(F.size("shingles") > 0))
-
-    tested = written(compared(first.select(F.col("to").alias("a"), F.col("node").alias("b")), sets))
-    links = linked(tested).select("a", "b")
+    regions = keys.groupBy("near").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    members = written(keys.join(regions.select("near"), "near"))
+    compare = written(members.select("node").distinct())
+    sets = docs.join(compare.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sets = written(sets.mapInPandas(_full_sets, StructType([StructField("node", kind), StructField("shingles", longs)])).where(F.size("shingles") > 0))
+
+    tests, alone = [], members
+    for _ in range(ROUNDS):
+        first = neighbours(alone)
+        tests.append(written(compared(first.select(F.col("to").alias("a"), F.col("node").alias("b")), sets)))
+        found = linked(tests[-1])
+        alone = alone.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+        alone = written(alone.join(tests[-1].select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+    tested = reduce(DataFrame.union, tests)
+    links = written(linked(tested).select("a", "b"))
     component = smallest_labels(links)
-    distance = tested.select(F.col("b").alias("node"), F.col("a").alias("to"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    known = members.select("node").distinct().join(component, "node", "left").join(distance, "node", "left").join(sets.select("node", F.size("shingles").alias("n")), "node")
-    known = written(known.select("node", F.coalesce("component", "node").alias("component"), "to", "d", "n"))
-    placed = members.select("node", "near").join(known, "node")
-    open_ = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
-    placed = written(placed.join(open_.select("near", "home"), "near"))
-    guests, hosts = placed.where("component <> home"), placed.where("component = home")
-    left, right = guests.select(*[F.col(c).alias(f"{c}_a") if c != "near" else F.col(c) for c in guests.columns]), guests.unionByName(hosts)
-    right = right.select(*[F.col(c).alias(f"{c}_b") if c != "near" else F.col(c) for c in right.columns])
-    rest = left.join(
-        right,
-        (left["near"] == right["near"])
-        & (F.col("component_a") != F.col("component_b"))
-        & ((F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("home_b")))
-        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & ~F.coalesce(F.col("to_a") == F.col("node_b"), F.lit(False))
-        & ~F.coalesce(F.col("to_b") == F.col("node_a"), F.lit(False))
-        & ~F.coalesce((F.col("to_a") == F.col("to_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > 1 - PERCENT / 100 + 1e-9), F.lit(False)),
-    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    rest = linked(compared(written(rest.distinct()), sets)).select("a", "b")
+    against = tests[0].select(F.col("b").alias("node"), F.col("a").alias("to"), "common", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
+    known = compare.join(component, "node", "left").join(against, "node", "left").join(sets.select("node", F.size("shingles").alias("n")), "node")
+    known = written(known.select("node", F.coalesce("component", "node").alias("component"), "to", "common", "d", "n"))
+    rest = written(open_pairs(members, known, sets).distinct())
+    rest = linked(compared(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)).select("a", "b")
     component = smallest_labels(links.union(rest).union(copies)).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
