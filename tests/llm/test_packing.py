@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing
-from tidemark.llm.packing import Limits, fill, pack_documents, token_bytes
+from tidemark.llm.packing import Limits, fill, pack_documents, token_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,8 +22,9 @@ def rows_of(n=160):
 def test_words_give_the_ids_of_the_text():
     whole = Tokenizer.from_file(PATH)
     texts = [t or "" for _, t in rows_of()]
-    for text, found in zip(texts, token_bytes(texts, PATH)):
-        assert np.frombuffer(found, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts += ["e\u0301A\u030a \u0301x Ǆ ΑΣ ΑΣ. İi \u00a0y\u2003z", "a b " * 400_000]
+    for text, found in zip(texts, token_ids(texts, PATH)):
+        assert found.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_and_sequences(spark, monkeypatch):

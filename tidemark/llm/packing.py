@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import read, written
+from tidemark.llm.shingles import words_of
 
 LENGTH = 2048
 CLOSING_ID = 1
 GROUP = 8192
 #: Pieces for each packing task, so that its last sequences weigh little.
 PIECES_PER_TASK = 4 * GROUP
-#: Words whose ids a worker remembers, and the longest of them.
-WORDS, LONGEST = 300_000, 48
+#: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
+WORDS, SLICE = 1_000_000, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -52,58 +53,126 @@ class Limits:
     loss: int = LENGTH
 
 
-def _worker(path: str) -> types.ModuleType:
-    """The tokenizer and remembered words of this worker process."""
-    name = f"_tidemark_tokenizer_{zlib.crc32(path.encode())}"
-    if name not in sys.modules:
+class _Words:
+    """A worker's tokenizer, and the ids of the words that it has met, by hash."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.ids, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        """Words' ids go behind those that are held; ends[k] is where those of word k begin."""
+        for k in range(0, len(words), 4096):
+            found = self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)
+            new = np.array([i for f in found for i in f.ids], "<u4")
+            n = len(self.number)
+            start = self.ends[n]
+            while start + len(new) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            while n + len(found) >= len(self.ends):
+                self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+            self.ids[start : start + len(new)] = new
+            self.ends[n + 1 : n + 1 + len(found)] = start + np.cumsum([len(f) for f in found])
+            self.number.update(zip(hashes[k : k + 4096], range(n, n + len(found))))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and their numbers."""
+        if len(self.number) > WORDS or len(self.ids) > 32 * WORDS:
+            self.forget()
+        buffer, words, starts, ends, count = words_of(texts)
+        distinct, first, back = np.unique(words, return_index=True, return_inverse=True)
+        hashes = distinct.view(np.int64).tolist()
+        new = [k for k, h in enumerate(hashes) if h not in self.number]
+        raw = buffer.tobytes()
+        self.learn([hashes[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
+        number = np.array([self.number[h] for h in hashes], np.int64)[back]
+        low, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(total[-1]) + np.repeat(low - total[:-1], size)
+        edges = total[np.concatenate([[0], np.cumsum(count)])]
+        return self.ids[at], np.diff(edges)
+
+
+def _worker(path: str) -> _Words:
+    """What this worker process keeps from task to task."""
+    name = f"_tidemark_tokenizer_{zlib.crc32(path.encode())}"
+    if name not in sys.modules:
         held = types.ModuleType(name)
-        held.tokenizer, held.words = Tokenizer.from_file(path), {"": b""}
+        held.words = _Words(path)
         sys.modules[name] = held
-    return sys.modules[name]
+    return sys.modules[name].words
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about SLICE, cut at spaces."""
+    at = 0
+    while len(text) - at > SLICE and (space := text.find(b" ", at + SLICE)) >= 0:
+        yield text[at:space]
+        at = space
+    yield text[at:]
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """Each text's ids as little-endian 32-bit integers.
 
-    The vocabulary drops white space and no token or normalisation crosses it,
-    so a text's ids are those of its words, and repeated words are looked up.
+    The vocabulary drops white space and case, and no token or normalisation
+    crosses white space, so a text's ids are those of its words, and each
+    distinct word of a slice is looked up once. Words are told apart by 64-bit
+    hashes. Only a text that spells out a special token is encoded as a whole.
     """
     worker = _worker(path)
-    if len(worker.words) > WORDS:
-        worker.words = {"": b""}
-    words, rare = worker.words, {}
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in words]
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, found in zip(part, worker.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            (words if len(word) <= LONGEST else rare)[word] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join([words[w] if w in words else rare[w] for w in s]) if rare else b"".join([words[w] for w in s]) for s in split]
-
-
-def cut(ids: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        ids, numbers = worker.encode([part for _, part in held])
+        for (k, _), part in zip(held, np.split(ids, np.cumsum(numbers)[:-1])):
+            found[k].append(part)
+        held.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        coded = text.encode()
+        if any(s in coded for s in worker.special):
+            found[k].append(np.array(worker.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
+            continue
+        for part in _parts(coded):
+            held.append((k, part))
+            size += len(part)
+            if size >= SLICE:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return [np.concatenate(f) if f else np.empty(0, "<u4") for f in found]
+
+
+def cut(ids: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(start, length, checksum) of the pieces of a document's ids."""
-    n = len(ids) // 4
-    for start in range(0, n, length):
-        part = ids[4 * start : 4 * (start + length)]
-        yield start, len(part) // 4, zlib.crc32(part)
+    for start in range(0, len(ids), length):
+        part = ids[start : start + length]
+        yield start, len(part), zlib.crc32(part)
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every document's pieces."""
-    closing = CLOSING_ID.to_bytes(4, "little")
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
+            for i in range(0, len(batch), 512):
+                part = batch.iloc[i : i + 512]
                 out = []
-                for name, ids in zip(part["doc_id"], token_bytes([t or "" for t in part["text"]], path)):
-                    ids += closing
-                    out += [(name, *piece, len(ids) // 4) for piece in cut(ids)]
+                for name, ids in zip(part["doc_id"], token_ids([t or "" for t in part["text"]], path)):
+                    ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
+                    out += [(name, *piece, len(ids)) for piece in cut(ids)]
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
