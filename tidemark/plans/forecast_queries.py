@@ -52,9 +52,9 @@ def performance_summary(spark, sf_dir):
     return shown(evaluate.summary(matured(scored(spark, sf_dir), now()), "model", "horizon"), "model", "horizon")
 
 
-@query(f"WITH {SCORED} SELECT origin_at, model, horizon, target_at, round(ln(predicted), 6) AS log_predicted, round(ln(q10), 6) AS log_q10, round(ln(q90), 6) AS log_q90, round(actual, 5) AS actual, within FROM scored")
+@query(f"WITH {SCORED} SELECT origin_at, model, horizon, target_at, round(ln(predicted), 6) AS log_predicted, round(ln(q10), 6) AS log_q10, round(ln(q90), 6) AS log_q90, round(actual, 5) AS actual, coalesce(CAST(CAST(within AS INT) AS VARCHAR), 'unknown') AS hit FROM scored")
 def scored_forecasts(spark, sf_dir):
-    return scored(spark, sf_dir).select("origin_at", "model", "horizon", "target_at", *[r6(F.log(c)).alias(f"log_{c}") for c in ("predicted", "q10", "q90")], F.round("actual", 5).alias("actual"), "within")
+    return scored(spark, sf_dir).select("origin_at", "model", "horizon", "target_at", *[r6(F.log(c)).alias(f"log_{c}") for c in ("predicted", "q10", "q90")], F.round("actual", 5).alias("actual"), F.coalesce(F.col("within").cast("int").cast("string"), F.lit("unknown")).alias("hit"))
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS predictions, count(DISTINCT origin_at) AS origins, CAST(count_if(actual IS NOT NULL) AS BIGINT) AS matured, min(origin_at) AS first_origin, max(origin_at) AS last_origin, arg_max(regime, origin_at) AS last_regime FROM scored")
