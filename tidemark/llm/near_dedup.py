@@ -156,6 +156,7 @@ def open_pairs(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFra
     held = placed.where("to IS NOT NULL").select("node", "component", "to", "d", "n").distinct()
     own, other = sets.select("node", "shingles"), sets.select(F.col("node").alias("to"), F.col("shingles").alias("theirs"))
     lacking = held.join(own, "node").join(other, "to").select("node", "component", "to", "d", "n", F.explode(F.array_except("shingles", "theirs")).alias("shingle"))
+    lacking = written(lacking)  # apart from the groups, so that the join's hot partitions can be split
     hosts = lacking.groupBy("to", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
     lacking = lacking.join(hosts.select("to", "shingle", "home"), ["to", "shingle"])
     return by_region.union(pairs(lacking, ["to", "shingle"], ~apart))

@@ -41,7 +41,7 @@ GROUP = 8192
 #: Pieces for each packing task, so that its last sequences weigh little.
 PIECES_PER_TASK = 4 * GROUP
 #: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
-WORDS, SLICE = 1_000_000, 1 << 19
+WORDS, SLICE = 4_000_000, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -65,35 +65,40 @@ class _Words:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
+        """Known hashes in order with their words' numbers; word k's ids begin at ends[k]."""
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        """Words' ids go behind those that are held; ends[k] is where those of word k begin."""
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        n = len(self.known)
         for k in range(0, len(words), 4096):
             found = self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)
             new = np.array([i for f in found for i in f.ids], "<u4")
-            n = len(self.number)
-            start = self.ends[n]
+            start = self.ends[n + k]
             while start + len(new) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while n + len(found) >= len(self.ends):
+            while n + k + len(found) >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
             self.ids[start : start + len(new)] = new
-            self.ends[n + 1 : n + 1 + len(found)] = start + np.cumsum([len(f) for f in found])
-            self.number.update(zip(hashes[k : k + 4096], range(n, n + len(found))))
+            self.ends[n + k + 1 : n + k + 1 + len(found)] = start + np.cumsum([len(f) for f in found])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.number = np.insert(self.known, at, hashes), np.insert(self.number, at, np.arange(n, n + len(hashes)))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and their numbers."""
-        if len(self.number) > WORDS or len(self.ids) > 32 * WORDS:
+        if len(self.known) > WORDS or len(self.ids) > 16 * WORDS:
             self.forget()
         buffer, words, starts, ends, count = words_of(texts)
         distinct, first, back = np.unique(words, return_index=True, return_inverse=True)
-        hashes = distinct.view(np.int64).tolist()
-        new = [k for k, h in enumerate(hashes) if h not in self.number]
-        raw = buffer.tobytes()
-        self.learn([hashes[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
-        number = np.array([self.number[h] for h in hashes], np.int64)[back]
+        at = np.searchsorted(self.known, distinct)
+        held = at < len(self.known)
+        held[held] = self.known[at[held]] == distinct[held]
+        new = np.flatnonzero(~held)
+        if len(new):
+            raw = buffer.tobytes()
+            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        number = self.number[at][back]
         low, size = self.ends[number], self.ends[number + 1] - self.ends[number]
         total = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(total[-1]) + np.repeat(low - total[:-1], size)

@@ -123,6 +123,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hashed = written(rows.mapInPandas(_hashed, StructType([StructField("name", kind), StructField("mark", LongType()), StructField("at", IntegerType()), StructField("hash", LongType())])))
     place = F.struct(F.col("name").isNull().alias("unnamed"), "name", "mark", "at")
     firsts = hashed.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash", "low")
+    firsts = written(firsts)  # apart from the join, so that its hot partitions can be split
     repeats = hashed.join(firsts, "hash").where(place != F.col("low")).groupBy("name", "mark").agg(F.collect_set("at").alias("repeats"))
     a, b, c = fresh(docs, "at_name"), fresh(docs, "at_mark"), fresh(docs, "at_repeats")
     repeats = repeats.select(F.col("name").alias(a), F.col("mark").alias(b), F.col("repeats").alias(c))
