@@ -78,5 +78,22 @@ def test_passage_stays_once_and_clean_texts_are_left(spark):
     assert all(f"w{i}x3" in out[i] for i in range(30)) and out[50] == rows[-1][1]
 
 
+def test_passage_within_sentences_goes(spark):
+    """Runs of 51 words and more that begin and end anywhere in a sentence, against the words that were planted."""
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for j in range(60):
+        stop = rng.choice([0, 23, 31])
+        passage = [f"p{j}x{k}" + ("." if stop and k % stop == stop - 1 else "") for k in range(rng.choice([51, 51, 65, 81]))]
+        for i in (2 * j, 2 * j + 1):
+            before, behind = [[f"{s}{i}x{k}" for k in range(rng.randint(1, 45))] for s in "bz"]
+            rows.append((i, " ".join(before + passage + behind)))
+            planted[i] = set(passage)
+    out = {i: t for i, t, _, _ in run(spark, rows)}
+    lost = {i: set(t.split()) - set(out[i].split()) for i, t in rows}
+    assert not any(lost[i] for i in range(0, 120, 2)) and all(lost[i] <= planted[i] for i in lost)
+    assert sum(map(bool, lost.values())) >= 58 and sum(map(len, lost.values())) > 0.65 * sum(len(planted[i]) for i in range(1, 120, 2))
+
+
 def test_empty(spark):
     assert run(spark, []) == []

@@ -4,14 +4,23 @@ A text is a row of sentences: they end behind a word with a full stop, question
 or exclamation mark, at a line's end, and after UNIT words, so that a passage of
 one long sentence is several too. From every sentence on, the fewest sentences
 (at least two) with SPAN words or more are a span, and its hash is that of its
-words in ASCII lower case. Spans are joined over the whole corpus by hash; all
-but the first, by id and place, are repeats, and the sentences that any repeat
-covers are removed. A passage of more than 50 words that stands in several
-documents so stays in the first of them only, as far as its whole sentences go.
-
-Hashes of 64 bits stand for spans. Finding a hash's first place takes only
-minima, which are formed where the rows lie, and the join that marks the others
-may be split, so a passage in a third of all documents burdens no task.
+words in ASCII lower case. Cuts after UNIT words depend on where the sentence
+begins. So longer sentences are also cut into pieces, of at most UNIT words, where
+the words themselves say so: before the pair of words with the smallest hash
+among REACH to either side. The fewest pieces and short sentences with SPAN words
+are spans too; a passage that begins within a sentence has the same pieces after
+a few words, whatever stands before it.
+
+Spans are joined over the whole corpus by hash; all but the first, by id and
+place, are repeats, and the words that any repeat covers are removed. A passage
+of more than 50 words that stands in several documents so stays in the first of
+them only, but for a few words at its ends that are glued to other text.
+n_removed counts the sentences of UNIT words at most that lost words.
+
+Hashes of 64 bits stand for spans. Finding the hashes that come twice takes only
+counts, and their first places only minima, which are formed where the rows lie;
+the joins that mark the others may be split, so a passage in a third of all
+documents burdens no task.
 
 Defined results: null and empty texts, and texts without a whole span, stay as
 they are; rows with equal id and text are one document, so they never repeat
@@ -30,42 +39,70 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.common import fresh, read, written
-from tidemark.llm.shingles import range_hashes, words_of
+from tidemark.llm.shingles import mix, range_hashes, words_of
 
 UNIT = 16
 SPAN = 20
+#: A piece opens at the smallest hash among so many words to either side.
+REACH = 4
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
 _STOPS = np.zeros(256, bool)
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
 _STOPS[[ord(c) for c in ".!?"]] = True
 
 
 def sentences(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all sentences of all texts: text, first word, end word and first byte; then the words' hashes."""
+    """Of all words of all texts: text, first byte and hash; and the words that open a sentence, and a piece."""
     buffer, words, starts, ends, count = words_of(texts)
     if not len(words):
         none = np.empty(0, np.int64)
-        return none, none, none, none, words
+        return none, none, words, none, none
     lines = np.concatenate([[0], np.cumsum(buffer == 10)])
     doc = np.repeat(np.arange(len(texts)), count)
     closes = _STOPS[buffer[ends - 1]]
     closes[:-1] |= (lines[starts[1:]] > lines[ends[:-1]]) | (doc[1:] != doc[:-1])
     closes[-1] = True
     opens = np.concatenate([[True], closes[:-1]])
-    at = np.arange(len(words))
-    since = at - np.maximum.accumulate(np.where(opens, at, 0))
-    first = np.flatnonzero(since % UNIT == 0)
-    end = np.concatenate([first[1:], [len(words)]])
-    return doc[first], first, end, starts[first], words
+    return doc, starts, words, _every(opens), _every(opens | _marked(words, opens))
+
+
+def _every(opens: np.ndarray) -> np.ndarray:
+    """The words that open something, and every UNIT-th from each of them on."""
+    at = np.arange(len(opens))
+    return np.flatnonzero((at - np.maximum.accumulate(np.where(opens, at, 0))) % UNIT == 0)
+
 
+def _marked(words: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Words of sentences of more than UNIT words whose pair with the next word has the one smallest hash within REACH words of the sentence."""
+    number = np.cumsum(opens)
+    pair = mix(words + np.roll(words, -1) * _NEXT)
+    least = np.bincount(number)[number] > UNIT
+    for k in range(1, min(REACH + 1, len(words))):
+        apart, up = number[k:] != number[:-k], pair[k:] > pair[:-k]
+        least[:-k] &= apart | up
+        least[k:] &= apart | (pair[k:] < pair[:-k])
+    return least
 
-def spans(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the sentences that open a span, and of its last sentence."""
-    at = np.arange(len(first))
-    last = np.maximum(np.searchsorted(end, first + SPAN), at + 1)
+
+def _runs(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of the spans of sentences or pieces."""
+    end = np.concatenate([first[1:], [len(doc)]])
+    last = np.maximum(np.searchsorted(end, first + SPAN), np.arange(len(first)) + 1)
     fits = np.flatnonzero(last < len(first))
-    fits = fits[doc[last[fits]] == doc[fits]]
-    return fits, last[fits]
+    fits = fits[doc[first[last[fits]]] == doc[first[fits]]]
+    return first[fits], end[last[fits]]
+
+
+def spans(doc: np.ndarray, units: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end words of all spans, and their numbers: twice the first word's in its text, and one more if only pieces have the span."""
+    a, b = _runs(doc, units)
+    c, d = _runs(doc, pieces)
+    new = ~np.isin(c << 32 | d, a << 32 | b)
+    first = np.concatenate([a, c[new]])
+    number = 2 * (first - np.searchsorted(doc, doc[first]))
+    number[len(a) :] += 1
+    return first, np.concatenate([b, d[new]]), number
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -81,29 +118,28 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         name, mark = batch["name"].to_numpy(), batch["mark"].to_numpy()
         for base, texts in _slices([(t or "").encode() for t in batch["text"]]):
-            doc, first, end, _, words = sentences(texts)
-            a, b = spans(doc, first, end)
+            doc, _, words, units, pieces = sentences(texts)
+            a, b, number = spans(doc, units, pieces)
             if len(a):
-                number = a - np.searchsorted(doc, doc[a])
-                yield pd.DataFrame({"name": name[base + doc[a]], "mark": mark[base + doc[a]], "at": number.astype(np.int32), "hash": range_hashes(words, first[a], end[b]).view(np.int64)})
+                yield pd.DataFrame({"name": name[base + doc[a]], "mark": mark[base + doc[a]], "at": number.astype(np.int32), "hash": range_hashes(words, a, b).view(np.int64)})
 
 
 def without(text: bytes, repeats: np.ndarray) -> tuple[bytes, int, int]:
-    """text without the sentences under repeated spans, given by their opening sentences; and the
-    numbers of sentences and of removed ones."""
-    doc, first, end, byte, _ = sentences([text])
-    covered = np.zeros(len(first) + 1, np.int64)
-    if len(repeats):
-        a, b = spans(doc, first, end)
-        hit = np.isin(a, repeats)
-        np.add.at(covered, a[hit], 1)
-        np.add.at(covered, b[hit] + 1, -1)
+    """text without what lies under repeated spans, given by their numbers; and the numbers of
+    sentences and of those that lost words."""
+    doc, byte, _, units, pieces = sentences([text])
+    if not len(repeats):
+        return text, len(units), 0
+    a, b, number = spans(doc, units, pieces)
+    hit = np.isin(number, repeats)
+    covered = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(covered, a[hit], 1)
+    np.add.at(covered, b[hit], -1)
     gone = np.cumsum(covered)[:-1] > 0
-    if not gone.any():
-        return text, len(first), 0
     edges = np.concatenate([byte, [len(text)]])
-    kept = text[: edges[0]] + b"".join(text[edges[i] : edges[i + 1]] for i in np.flatnonzero(~gone))
-    return kept.rstrip(), len(first), int(gone.sum())
+    turns = np.flatnonzero(np.diff(gone, prepend=True, append=True))  # kept runs open and close in turn
+    kept = text[: edges[0]] + b"".join(text[edges[i] : edges[j]] for i, j in zip(turns[0::2], turns[1::2]))
+    return kept.rstrip(), len(units), int(np.logical_or.reduceat(gone, units).sum())
 
 
 def _cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -122,9 +158,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kind = docs.schema[doc_id].dataType
     hashed = written(rows.mapInPandas(_hashed, StructType([StructField("name", kind), StructField("mark", LongType()), StructField("at", IntegerType()), StructField("hash", LongType())])))
     place = F.struct(F.col("name").isNull().alias("unnamed"), "name", "mark", "at")
-    firsts = hashed.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash", "low")
-    firsts = written(firsts)  # apart from the join, so that its hot partitions can be split
-    repeats = hashed.join(firsts, "hash").where(place != F.col("low")).groupBy("name", "mark").agg(F.collect_set("at").alias("repeats"))
+    often = written(hashed.groupBy("hash").count().where("count > 1").select("hash"))  # apart from the joins, so that their hot partitions can be split
+    alike = written(hashed.join(often, "hash"))
+    firsts = written(alike.groupBy("hash").agg(F.min(place).alias("low")))
+    repeats = alike.join(firsts, "hash").where(place != F.col("low")).groupBy("name", "mark").agg(F.collect_set("at").alias("repeats"))
     a, b, c = fresh(docs, "at_name"), fresh(docs, "at_mark"), fresh(docs, "at_repeats")
     repeats = repeats.select(F.col("name").alias(a), F.col("mark").alias(b), F.col("repeats").alias(c))
     both = docs.join(repeats, F.col(doc_id).eqNullSafe(F.col(a)) & (mark == F.col(b)), "left")
@@ -135,6 +172,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the sentences of passages that stand in an earlier place."""
+    """Every document without the passages that stand in an earlier place."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
