@@ -129,8 +129,10 @@ def adjusted_p(method: str, p: Column, comparisons: Column, rank: Column) -> Col
 
 
 def harmonic(n: Column) -> Column:
-    """1 + 1/2 + ... + 1/n."""
-    return F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k.cast("double"))
+    """1 + 1/2 + ... + 1/n; beyond 256 terms by Euler's expansion, which is exact to the last digits of a double."""
+    x = n.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(256)).cast("int")), F.lit(0.0), lambda acc, k: acc + 1 / k.cast("double"))
+    return F.when(n <= 256, few).otherwise(F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
 
 
 def guarded_corr(x: Column, y: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import scalars
 
+PARTS = 256
+SALTS = 64
+
 
 def paired_bootstrap(pairs: DataFrame, candidate: str, baseline: str, order: str, by: list[str], iterations: int = 1000, block: int = 24, least: int = 32, confidence: float = 0.9) -> DataFrame:
     """Mean difference baseline less candidate, its interval and P(better) by circular moving blocks.
@@ -44,26 +49,47 @@ def paired_bootstrap(pairs: DataFrame, candidate: str, baseline: str, order: str
     return pairs.groupBy(*by).applyInPandas(run, shape)
 
 
+def ranks(p_values: DataFrame, by: list[str]) -> DataFrame:
+    """p-values with rank and comparisons in their family, and tied: 1 plus the number of smaller ones.
+
+    Counts of each p-value, in up to SALTS parts if it is frequent, are dealt to
+    ranges between PARTS values that are drawn by hash; ranks are the counts of the
+    ranges before, of those before in the range, and the place in the part. So no
+    family, and no frequent value, is one task's. Nulls come first.
+    """
+    keys = [*by, "p", "__salt"]
+    same = lambda names: reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in names])
+    rows = p_values.withColumn("__mark", F.xxhash64(*p_values.columns)).withColumn("__salt", F.pmod("__mark", F.lit(SALTS)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    drawn = counts.groupBy(*by, F.pmod(F.xxhash64("p"), F.lit(PARTS)).alias("__class")).agg(F.min_by("p", F.xxhash64("p", F.lit(1))).alias("__edge"))
+    edges = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("__edge")).alias("__edges"))
+    part = F.size(F.filter("__edges", lambda e: e <= F.col("p")))
+    dealt = counts.alias("a").join(edges.alias("b"), same(by)).select("a.*", F.when(F.col("p").isNull(), 0).otherwise(part).alias("__part"))
+    sizes = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__size"))  # at most PARTS + 1 rows a family
+    sizes = sizes.select(*by, "__part", (F.sum("__size").over(W.partitionBy(*by).orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(W.partitionBy(*by)).alias("comparisons"))
+    placed = dealt.alias("a").join(sizes.alias("b"), same([*by, "__part"])).select("a.*", "b.__before", "b.comparisons")
+    range_ = W.partitionBy(*by, "__part")
+    placed = placed.withColumn("__start", F.col("__before") + F.sum("__n").over(range_.orderBy("p", "__salt")) - F.col("__n"))
+    placed = placed.withColumn("tied", F.min("__start").over(W.partitionBy(*by, "__part", "p")) + 1)
+    rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy("__mark")))
+    out = rows.alias("a").join(placed.alias("b"), same(keys))
+    return out.select(*[F.col(f"a.{c}") for c in p_values.columns], (F.col("__start") + F.col("__nth")).alias("rank"), "comparisons", "tied")
+
+
 def family(p_values: DataFrame, method: str, alpha: float, by: list[str]) -> DataFrame:
     """p-values with rank, adjusted p and level in their family, and whether each is rejected.
 
     Holm rejects from the smallest as long as all before are; Benjamini-Yekutieli
-    up to the largest that passes.
+    up to the largest that passes: below the first rank that fails, and up to the
+    last that passes, which are a minimum and a maximum of each family.
     """
-    order = W.partitionBy(*by).orderBy("p")
-    whole = W.partitionBy(*by)
-    rows = p_values.withColumns({"rank": F.row_number().over(order), "comparisons": F.count("*").over(whole)})
+    rows = ranks(p_values, by).drop("tied")
     rows = rows.withColumns({"level": scalars.per_comparison_alpha(method, alpha, F.col("comparisons"), F.col("rank")), "adjusted_p": scalars.adjusted_p(method, F.col("p"), F.col("comparisons"), F.col("rank"))})
-    passes = (F.col("p") <= F.col("level")).cast("int")
-    if method == "holm":
-        rejected = F.min(passes).over(order.rowsBetween(W.unboundedPreceding, 0)) == 1
-    elif method == "by":
-        rejected = F.max(passes).over(order.rowsBetween(0, W.unboundedFollowing)) == 1
-    else:
-        rejected = passes == 1
-    return rows.withColumn("rejected", rejected)
-
-
-def family_rank(p: Column, by: list[str]) -> Column:
-    """1 plus the number of smaller p-values of the family."""
-    return F.rank().over(W.partitionBy(*by).orderBy(p))
+    passes = F.col("p") <= F.col("level")
+    if method not in ("holm", "by"):
+        return rows.withColumn("rejected", passes)
+    end = F.min(F.when(~passes, F.col("rank"))) if method == "holm" else F.max(F.when(passes, F.col("rank")))
+    ends = rows.groupBy(*by).agg(end.alias("__end"))
+    rejected = F.coalesce(F.col("rank") < F.col("__end"), F.lit(True)) if method == "holm" else F.coalesce(F.col("rank") <= F.col("__end"), F.lit(False))
+    both = rows.alias("a").join(ends.alias("b"), reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]))
+    return both.select("a.*", F.when(F.col("a.p").isNotNull(), rejected).alias("rejected"))

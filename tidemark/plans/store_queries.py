@@ -223,9 +223,10 @@ HARMONIC = "(SELECT sum(1.0::DOUBLE / i) FROM range(1, m + 1) t(i))"
 P = "fam AS (SELECT l_returnflag AS family, l_orderkey * 10 + l_linenumber AS id, (l_extendedprice * 7919 % 100000) / 100000 * l_discount AS p FROM lineitem WHERE l_orderkey < 400), ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r, count(*) OVER (PARTITION BY family) AS m FROM fam)"
 
 
-def families(spark, sf_dir):
+def families(spark, sf_dir, whole=False):
     p = (F.col("l_extendedprice") * 7919 % 100000) / 100000 * F.col("l_discount")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(F.col("l_returnflag").alias("family"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), p.alias("p"))
+    rows = table(spark, sf_dir, "lineitem")
+    return (rows if whole else rows.where("l_orderkey < 400")).select(F.col("l_returnflag").alias("family"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), p.alias("p"))
 
 
 @query(f"""WITH {P}, l AS (SELECT family, p, r, m, p <= 0.05 / m AS bonferroni, p <= 1 - power(0.95, 1.0 / m) AS sidak, p <= 0.05 / (m - r + 1) AS holm, p <= r * 0.05 / (m * {HARMONIC}) AS bypass, least(p * m, 1) AS adj FROM ranked), x AS (
@@ -233,7 +234,16 @@ SELECT *, min(CAST(holm AS INT)) OVER (PARTITION BY family ORDER BY r) AS hr, ma
 SELECT family, CAST(count_if(bonferroni) AS BIGINT) AS bonferroni, CAST(count_if(sidak) AS BIGINT) AS sidak, CAST(sum(hr) AS BIGINT) AS holm, CAST(sum(br) AS BIGINT) AS "by", round(avg(adj), 6) AS mean_adjusted FROM x GROUP BY 1""")
 def multiple_testing(spark, sf_dir):
     """Rejections of each family by four corrections."""
-    rows = families(spark, sf_dir)
+    return rejections(families(spark, sf_dir))
+
+
+@query()
+def multiple_testing_whole(spark, sf_dir):
+    """multiple_testing over every row; its SQL keeps to the first orders."""
+    return rejections(families(spark, sf_dir, whole=True))
+
+
+def rejections(rows):
     out = None
     for method in ("bonferroni", "sidak", "holm", "by"):
         tested = inference.family(rows, method, 0.05, ["family"])
@@ -245,7 +255,13 @@ def multiple_testing(spark, sf_dir):
 
 @query(f"WITH {P} SELECT family, id, CAST(rank() OVER (PARTITION BY family ORDER BY p) AS INT) AS family_rank FROM fam")
 def family_rank(spark, sf_dir):
-    return families(spark, sf_dir).select("family", "id", inference.family_rank(F.col("p"), ["family"]).alias("family_rank"))
+    return inference.ranks(families(spark, sf_dir), ["family"]).select("family", "id", F.col("tied").cast("int").alias("family_rank"))
+
+
+@query()
+def family_rank_whole(spark, sf_dir):
+    """family_rank over every row; its SQL keeps to the first orders."""
+    return inference.ranks(families(spark, sf_dir, whole=True), ["family"]).select("family", "id", F.col("tied").alias("family_rank"))
 
 
 @query()
