@@ -51,3 +51,23 @@ def test_ranks_with_ties_and_nulls(spark):
         p = [-1.0 if r["p"] is None else r["p"] for r in part]
         assert p == sorted(p) and [r["rank"] for r in part] == list(range(1, len(p) + 1)) and {r["comparisons"] for r in part} == {len(p)}
         assert [r["tied"] for r in part] == [p.index(x) + 1 for x in p]
+
+
+@data
+def test_all_signups_and_orders(spark):
+    e = pd.read_parquet(f"{DATA}/events.parquet")
+    signups, ts = e[e["event_type"] == "signup"], e["ts"].to_numpy()
+    got = {r["span_id"]: (r["events"], r["value"]) for r in registry.queries()["range_join_whole"](spark, DATA).collect()}
+    assert set(got) == set(signups["event_id"]) and any(u % 20 for u in signups["user_id"])
+    for i, t in zip(signups["event_id"], signups["ts"].to_numpy()):
+        inside = e[(ts >= t) & (ts < t + np.timedelta64(3, "h"))]
+        assert got[i][0] == len(inside) and abs(got[i][1] - inside["value"].sum()) < 1e-3
+    at = np.sort(signups["ts"].to_numpy())
+    near = registry.queries()["nearest_event_segments_whole"](spark, DATA).toPandas()
+    assert len(near) == e["ts"].dt.floor("h").nunique()
+    for t, found, segment in zip(near["ts"].to_numpy(), near["nearest_at"].to_numpy(), near["segment"]):
+        best = at[np.argmin(np.abs(at - t))]
+        assert found == best and segment == ("non_event" if abs(best - t) > np.timedelta64(6, "h") else "pre_event" if best > t else "post_event")
+    orders, items = pd.read_parquet(f"{DATA}/orders.parquet"), pd.read_parquet(f"{DATA}/lineitem.parquet")
+    missing = [r["o_orderkey"] for r in registry.queries()["missing_keys_whole"](spark, DATA).collect()]
+    assert sorted(missing) == sorted(set(orders["o_orderkey"]) - set(items.loc[items["l_quantity"] > 30, "l_orderkey"])) and any(k % 2 for k in missing)

@@ -62,3 +62,25 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     last = F.greatest(number(F.col(end) - F.expr("INTERVAL 1 MICROSECOND")), number(F.col(start)))
     dealt = spans.withColumn("__bucket", F.explode(F.sequence(number(F.col(start)), last)))
     return points.withColumn("__bucket", number(F.col(at))).join(dealt, "__bucket").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bucket")
+
+
+def range_sums(points: DataFrame, spans: DataFrame, key: str, at: str, value: str, start: str, end: str, bucket_seconds: int) -> DataFrame:
+    """key of each span with points in it, with events and the sum of their value, without pairing spans and points.
+
+    A span is what came before its end less what came before its start: running
+    sums within a time bucket, and the totals of the buckets from start to end.
+    """
+    number = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bucket_seconds)
+    came = points.select(number(at).alias("__bucket"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__key"), F.lit(0).alias("__sign"), F.lit(1).alias("__n"), F.col(value).alias("__v"))
+    edge = lambda c, sign: spans.select(number(c).alias("__bucket"), F.col(c).alias("__at"), F.lit(0).alias("__side"), F.col(key).alias("__key"), F.lit(sign).alias("__sign"), F.lit(0).alias("__n"), F.lit(None).alias("__v"))
+    frame = W.partitionBy("__bucket").orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, 0)
+    sums = lambda over: [F.coalesce(x if over is None else x.over(over), F.lit(0)) for x in (F.sum("__n"), F.count("__v"), F.sum("__v"))]
+    n, k, v = sums(frame)
+    edges = came.unionByName(edge(start, -1)).unionByName(edge(end, 1)).select("__side", "__key", "__sign", n.alias("n"), k.alias("k"), v.alias("v")).where("__side = 0")
+    edges = edges.select("__key", *[(F.col("__sign") * F.col(c)).alias(c) for c in "nkv"])
+    n, k, v = sums(None)
+    totals = came.groupBy("__bucket").agg(n.alias("n"), k.alias("k"), v.alias("v"))
+    passed = spans.where(number(start) < number(end)).select(F.col(key).alias("__key"), F.explode(F.sequence(number(start), number(end) - 1)).alias("__bucket"))
+    parts = edges.unionByName(passed.join(totals, "__bucket").select("__key", "n", "k", "v"))
+    out = parts.groupBy(F.col("__key").alias(key)).agg(F.sum("n").alias("events"), F.sum("k").alias("__k"), F.sum("v").alias("__v")).where("events > 0")
+    return out.select(key, "events", F.when(F.col("__k") > 0, F.col("__v")).alias("value"))

@@ -55,7 +55,17 @@ SELECT b.ts, e.happened, row_number() OVER (PARTITION BY b.ts ORDER BY abs(epoch
 SELECT ts, happened AS nearest_at, CASE WHEN abs(epoch_us(happened) - epoch_us(ts)) > 6 * 3600000000 THEN 'non_event' WHEN happened > ts THEN 'pre_event' ELSE 'post_event' END AS segment FROM n WHERE k = 1""")
 def nearest_event_segments(spark, sf_dir):
     """Every hour as before, after or away from the nearest calendar event."""
-    calendar = kind(spark, sf_dir, "signup").where("user_id % 20 = 0").select(F.lit("all").alias("series"), "ts", "event_id")
+    return segments(spark, sf_dir, kind(spark, sf_dir, "signup").where("user_id % 20 = 0"))
+
+
+@query()
+def nearest_event_segments_whole(spark, sf_dir):
+    """nearest_event_segments with every signup; its SQL, a product, keeps to one user in twenty."""
+    return segments(spark, sf_dir, kind(spark, sf_dir, "signup"))
+
+
+def segments(spark, sf_dir, signups):
+    calendar = signups.select(F.lit("all").alias("series"), "ts", "event_id")
     out = pit.nearest(market(spark, sf_dir).select("series", "ts"), calendar, "series", "ts", F.col("event_id"))
     away = F.abs(F.unix_micros(F.col("found.at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
     segment = F.when(away > 6 * 3_600_000_000, "non_event").when(F.col("found.at") > F.col("ts"), "pre_event").otherwise("post_event")
@@ -66,11 +76,23 @@ def nearest_event_segments(spark, sf_dir):
 SELECT span_id, count(*) AS events, round(sum(value), 4) AS value FROM w JOIN events e ON e.ts >= opens AND e.ts < closes GROUP BY 1""")
 def range_join(spark, sf_dir):
     """Events in the three hours from each calendar event, by time buckets."""
-    spans = kind(spark, sf_dir, "signup").where("user_id % 20 = 0").select(F.col("event_id").alias("span_id"), F.col("ts").alias("opens"), (F.col("ts") + F.expr("INTERVAL '3' HOUR")).alias("closes"))
+    spans = hours_from(kind(spark, sf_dir, "signup").where("user_id % 20 = 0"))
     out = pit.range_join(table(spark, sf_dir, "events").select("ts", "value"), spans, "ts", "opens", "closes", 3600)
     return out.groupBy("span_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
 
 
+def hours_from(signups):
+    return signups.select(F.col("event_id").alias("span_id"), F.col("ts").alias("opens"), (F.col("ts") + F.expr("INTERVAL '3' HOUR")).alias("closes"))
+
+
+@query()
+def range_join_whole(spark, sf_dir):
+    """range_join with every signup, by running sums, as pairs grow with the square of the table; its SQL keeps to one user in twenty."""
+    spans = hours_from(kind(spark, sf_dir, "signup"))
+    out = pit.range_sums(table(spark, sf_dir, "events").select("ts", "value"), spans, "span_id", "ts", "value", "opens", "closes", 3600)
+    return out.select("span_id", "events", F.round("value", 4).alias("value"))
+
+
 @query("SELECT event_type, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1")
 def events_between(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where((F.col("ts") >= ntz("2024-01-10 00:00:00")) & (F.col("ts") < ntz("2024-01-12 12:00:00")))
@@ -98,8 +120,18 @@ def three_way_target_scores(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30")
 def missing_keys(spark, sf_dir):
     """Set difference of keys."""
+    return unmatched(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"))
+
+
+@query()
+def missing_keys_whole(spark, sf_dir):
+    """missing_keys of every order; its SQL keeps to even keys."""
+    return unmatched(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def unmatched(spark, sf_dir, orders):
     have = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey").distinct().join(have, "o_orderkey", "left_anti")
+    return orders.select("o_orderkey").distinct().join(have, "o_orderkey", "left_anti")
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
