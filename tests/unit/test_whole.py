@@ -1,5 +1,7 @@
 """Queries over whole tables, whose SQL keeps to a part, against plain Python."""
 
+import base64
+import json
 import os
 
 import numpy as np
@@ -71,3 +73,17 @@ def test_all_signups_and_orders(spark):
     orders, items = pd.read_parquet(f"{DATA}/orders.parquet"), pd.read_parquet(f"{DATA}/lineitem.parquet")
     missing = [r["o_orderkey"] for r in registry.queries()["missing_keys_whole"](spark, DATA).collect()]
     assert sorted(missing) == sorted(set(orders["o_orderkey"]) - set(items.loc[items["l_quantity"] > 30, "l_orderkey"])) and any(k % 2 for k in missing)
+
+
+@data
+def test_all_events(spark):
+    e = pd.read_parquet(f"{DATA}/events.parquet")
+    got = {r["event_id"]: (r["cursor"], r["back"]) for r in registry.queries()["opaque_cursors_whole"](spark, DATA).collect()}
+    assert set(got) == set(e["event_id"])
+    for i, kind in zip(e["event_id"], e["event_type"]):
+        said = json.loads(base64.urlsafe_b64decode(got[i][0] + "=" * (-len(got[i][0]) % 4)))
+        assert said == {"filters": {"type": kind}, "key": i} and got[i][1] == i
+    ages = {r["event_type"]: (r["age_seconds"], r["state"]) for r in registry.queries()["freshness_check_whole"](spark, DATA).collect()}
+    newest = e.groupby("event_type")["ts"].max().dt.floor("s")
+    age = {k: int((pd.Timestamp("2024-01-31") - t).total_seconds()) for k, t in newest.items()}
+    assert ages == {k: (a, "fresh" if a <= 3600 else "late" if a <= 14400 else "stale") for k, a in age.items()}

@@ -29,7 +29,17 @@ def series_identity(spark, sf_dir):
 @query(f"""WITH f AS (SELECT event_type, max(ts) AS newest FROM events WHERE user_id % 7 = 0 GROUP BY 1), a AS (SELECT *, CAST(floor(epoch({NOW})) - floor(epoch(newest)) AS BIGINT) AS age_seconds FROM f)
 SELECT event_type, age_seconds, CASE WHEN age_seconds <= 3600 THEN 'fresh' WHEN age_seconds <= 14400 THEN 'late' ELSE 'stale' END AS state FROM a""")
 def freshness_check(spark, sf_dir):
-    out = quality.freshness(table(spark, sf_dir, "events").where("user_id % 7 = 0"), "ts", now(), 3600, 14400, "event_type")
+    return freshness(table(spark, sf_dir, "events").where("user_id % 7 = 0"))
+
+
+@query()
+def freshness_check_whole(spark, sf_dir):
+    """freshness_check over all users; its SQL keeps to one in seven."""
+    return freshness(table(spark, sf_dir, "events"))
+
+
+def freshness(events):
+    out = quality.freshness(events, "ts", now(), 3600, 14400, "event_type")
     return out.select("event_type", "age_seconds", "state")
 
 
@@ -88,8 +98,17 @@ def forecast_resources(spark, sf_dir):
 @query("""SELECT event_id, rtrim(translate(to_base64(encode('{"filters":{"type":"' || event_type || '"},"key":' || event_id || '}')), '+/', '-_'), '=') AS cursor, event_id AS back FROM events WHERE event_id % 10 = 0""")
 def opaque_cursors(spark, sf_dir):
     """Cursors and what reading one back gives."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
-    out = e.select("event_id", quality.cursor(F.struct(F.col("event_type").alias("type")), F.col("event_id")).alias("cursor"))
+    return cursors(table(spark, sf_dir, "events").where("event_id % 10 = 0"))
+
+
+@query()
+def opaque_cursors_whole(spark, sf_dir):
+    """opaque_cursors of every event; its SQL keeps to one in ten."""
+    return cursors(table(spark, sf_dir, "events"))
+
+
+def cursors(events):
+    out = events.select("event_id", quality.cursor(F.struct(F.col("event_type").alias("type")), F.col("event_id")).alias("cursor"))
     return out.withColumn("back", quality.read_cursor(F.col("cursor"), "filters struct<type: string>, key bigint")["key"])
 
 
