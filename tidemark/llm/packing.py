@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -40,8 +41,12 @@ CLOSING_ID = 1
 GROUP = 8192
 #: Pieces for each packing task, so that its last sequences weigh little.
 PIECES_PER_TASK = 4 * GROUP
-#: Words whose ids a worker remembers, and bytes of text that it encodes at a time.
-WORDS, SLICE = 4_000_000, 1 << 19
+#: Words and ids that a worker remembers (24 bytes a word or so), and bytes of text that it encodes at a time.
+WORDS, IDS, SLICE = 1_000_000, 8_000_000, 1 << 18
+#: Words that are encoded as one text, with this character between them.
+LINE, MARK = 64, "\x01"
+#: Documents that are tokenised at a time.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -62,31 +67,45 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        """Known hashes in order with their words' numbers; word k's ids begin at ends[k]."""
-        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.ids, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+        """Known hashes in order, with the first id and the number of ids of each."""
+        self.known, self.low, self.size = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        self.ids, self.used = np.empty(1 << 16, self.kind), 0
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and their numbers; a line of words is one text."""
+        lines = [f" {MARK} ".join(words[k : k + LINE]) for k in range(0, len(words), LINE)]
+        found = self.tokenizer.encode_batch_fast([x + f" {MARK}" for x in lines], add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, self.kind) for f in found])
+        ends = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        n = len(self.known)
-        for k in range(0, len(words), 4096):
-            found = self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)
-            new = np.array([i for f in found for i in f.ids], "<u4")
-            start = self.ends[n + k]
-            while start + len(new) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while n + k + len(found) >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
-            self.ids[start : start + len(new)] = new
-            self.ends[n + k + 1 : n + k + 1 + len(found)] = start + np.cumsum([len(f) for f in found])
+        low, size = [], []
+        for k in range(0, len(words), 8 * LINE):
+            part = words[k : k + 8 * LINE]
+            if any(MARK in w for w in part):
+                each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+                new, sizes = np.array([i for e in each for i in e], self.kind), np.array([len(e) for e in each])
+            else:
+                new, sizes = self.ids_of(part)
+            if self.used + len(new) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) // 2 + len(new), self.kind)])
+            self.ids[self.used : self.used + len(new)] = new
+            low.append(self.used + np.cumsum(sizes) - sizes)
+            size.append(sizes)
+            self.used += len(new)
         at = np.searchsorted(self.known, hashes)
-        self.known, self.number = np.insert(self.known, at, hashes), np.insert(self.number, at, np.arange(n, n + len(hashes)))
+        self.known = np.insert(self.known, at, hashes)
+        self.low, self.size = np.insert(self.low, at, np.concatenate(low)), np.insert(self.size, at, np.concatenate(size))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and their numbers."""
-        if len(self.known) > WORDS or len(self.ids) > 16 * WORDS:
+        if len(self.known) > WORDS or self.used > IDS:
             self.forget()
         buffer, words, starts, ends, count = words_of(texts)
         distinct, first, back = np.unique(words, return_index=True, return_inverse=True)
@@ -98,12 +117,11 @@ class _Words:
             raw = buffer.tobytes()
             self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.known, distinct)
-        number = self.number[at][back]
-        low, size = self.ends[number], self.ends[number + 1] - self.ends[number]
+        low, size = self.low[at][back].astype(np.int64), self.size[at][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(total[-1]) + np.repeat(low - total[:-1], size)
         edges = total[np.concatenate([[0], np.cumsum(count)])]
-        return self.ids[at], np.diff(edges)
+        return self.ids[at].astype("<u4"), np.diff(edges)
 
 
 def _worker(path: str) -> _Words:
@@ -170,18 +188,18 @@ def cut(ids: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every document's pieces."""
 
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                out = []
-                for name, ids in zip(part["doc_id"], token_ids([t or "" for t in part["text"]], path)):
-                    ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
-                    out += [(name, *piece, len(ids)) for piece in cut(ids)]
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                found = token_ids([t or "" for t in part.column(1).to_pylist()], path)
+                cuts = [(k, *piece, len(ids) + 1) for k, ids in enumerate(found) for piece in cut(np.append(ids, np.uint32(CLOSING_ID)).astype("<u4"))]
+                rows, *columns = (pa.array(c, pa.int64()) for c in zip(*cuts))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), *columns], names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInPandas(tokenise, StructType([docs.schema["doc_id"], *[StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]]))
+    return docs.mapInArrow(tokenise, StructType([docs.schema["doc_id"], *[StructField(c, LongType()) for c in names[1:]]]))
 
 
 def fill(demand: np.ndarray, limit: np.ndarray) -> list[list[int]]:
