@@ -10,7 +10,7 @@ def shingles(text):
 
 
 def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t)) for i, t in rows]  # rows of one id are one node
     name = {i: i for i, _ in rows if i is not None}
     changed = True
     links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if None not in (a, b) and s and t and 100 * len(s & t) >= 75 * len(s | t)]
@@ -43,7 +43,7 @@ def test_equals_brute_force(spark):
         words[rng.randrange(80)] = word()
         words[rng.randrange(80)] = word()
         rows.append((i, " ".join(words)))
-    rows += [(300, None), (301, ""), (302, " \n\t"), (303, "one two"), (304, "ONE\ttwo "), (305, "one"), (None, "one two"), (303, "one two")]
+    rows += [(300, None), (301, ""), (302, " \n\t"), (303, "one two"), (304, "ONE\ttwo "), (305, "one"), (None, "one two"), (303, "one two"), (303, rows[7][1]), (308, rows[9][1]), (308, rows[11][1])]
     rows += [(306, "x" * 20000 + " y " * 3000), (307, "x" * 20000 + " y " * 3000)]
     assert run(spark, rows) == brute(rows)
 

@@ -1,56 +1,57 @@
 """Near-duplicate components by an LSH forest over MinHash signatures.
 
-Every distinct shingle set has 128 minima. TREES sorted orders read them from
-different places, and two sets lie in one region of an order if their first
-NEAR values agree: with 32 orders of 4 values a pair of similarity 0.75 meets
-in at least one with probability 1 - 5e-6, more similar pairs more surely.
-A region of more than CROWD sets is read DEEP values further, so its depth
-adapts to how crowded it is. The longest-common-prefix neighbour that a set is
-compared with is the smallest set of its deepest region shared with another.
-
-Comparisons are exact, on full sets, and a hot region is not expanded into all
-of its pairs:
-
-1. Each set is compared with the smallest neighbour that any order gives: one
-   pair a set. Those that this leaves without a link try again among themselves,
-   ROUNDS times in all, so that a group of its own within a region gets a
-   neighbour of its own.
-2. Of the regions whose sets aren't all connected by then, the pairs of
-   different components are compared that what is known leaves open. For two
-   sets a and b compared with the same neighbour p before, either they share a
-   shingle that p lacks, which an equi-join on those few shingles finds, or their
-   intersection is at most that of either with p, which rules out nearly all.
-   Distances to p that differ by more than 0.25 rule out a pair, too, as the
-   Jaccard distance is a metric.
-
-Every pair that shares a region is so compared, ruled out by a bound or
-connected already; nothing is capped.
+Every distinct shingle set has 128 minima, and TREES orders read them from
+different places on, wrapping around. In each order the signatures are sorted,
+so that sets with a common prefix stand together, however deep it goes; the
+depth to which a region of the order is told apart is that of the common
+prefixes in it. Two sets lie in one region of an order if their first NEAR
+values agree: with 32 orders of 4 values a pair of similarity 0.75 meets in at
+least one with probability 1 - 5e-6, more similar pairs more surely.
+
+1. Candidates are a set and its longest-common-prefix neighbours: of the sets
+   next to it in any order, that with the longest prefix. Those that this leaves
+   without a link go on to their next longest, ROUNDS times in all, so crowded
+   regions are compared at great depth and sparse ones at less.
+2. Neighbours can miss a link between groups. So all sets of regions whose sets
+   aren't all connected by then are joined exactly, by the prefix filter of set
+   joins: of n shingles in one common order, the first n - ceil(0.75 n) + 1 hold
+   one that a partner of similarity 0.75 has among its own first ones. The order
+   puts shingles first that only one component has; they join nothing, so sets
+   that share text but not enough of it drop out before anything is paired. The
+   largest component at a shingle is never paired with itself.
+
+All candidates are confirmed on full sets. Orders are sorted over ranges of
+(order, signature, set), so a crowded region is as many tasks as it fills.
 
 Defined results: a document without words or text has an empty set and is its
-own component; fewer than five words are one shingle; equal sets are linked;
-rows that share an id are one node; a row without an id is linked with nothing,
-has no component and is kept. Only the id and text columns are read.
+own component; fewer than five words are one shingle; equal sets, told by the
+128-bit digest of the whole set, are linked; rows that share an id are one node, which has all of their texts;
+a row without an id is linked with nothing, has no component and is kept. Only
+the id and text columns are read. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.common import read, smallest_labels, written
-from tidemark.llm.shingles import mix, shingle_sets, signatures, sums
+from tidemark.llm.shingles import shingle_sets, signatures
 
 WIDTH = 5
 PERCENT = 75
 TREES = 32
-NEAR = 4
-DEEP = 4
-CROWD = 32
+#: Values of a signature that a region shares, and values by which an order is sorted.
+NEAR, DEPTH = 4, 12
+VALUES = NEAR * TREES
 ROUNDS = 3
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
@@ -66,39 +67,19 @@ def _slices(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
             start, size = i + 1, 0
 
 
-def tree_keys(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[sets, TREES] keys of each order's first NEAR values, and of DEEP further ones."""
-    wide = minima.astype(np.uint64)
-    n = len(wide)
-    near, deep = [], []
-    for t in range(TREES):
-        key = np.full(wide.shape[1], t + 1, np.uint64)
-        for k in range(NEAR):
-            key = mix(key ^ wide[NEAR * t + k])
-        near.append(key)
-        for k in range(DEEP):
-            key = mix(key ^ wide[(NEAR * t + n // 2 + k) % n])
-        deep.append(key)
-    return np.array(near).T.astype(np.int64), np.array(deep).T.astype(np.int64)
-
-
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for rows, coded in _slices(batch):
             values, counts = shingle_sets(coded, WIDTH)
-            near = deep = np.empty((0, TREES), np.int64)
             filled = np.flatnonzero(counts)
-            if len(filled):
-                near, deep = tree_keys(signatures(values, counts[filled], NEAR * TREES))
-            at = np.cumsum(counts > 0) - 1
+            minima = signatures(values, counts[filled], VALUES).T.astype(">u4") if len(filled) else None
+            at, ends = np.cumsum(counts > 0) - 1, np.cumsum(counts)
             yield pd.DataFrame(
                 {
                     "doc_id": rows["doc_id"].values,
                     "n_shingles": counts.astype(np.int64),
-                    "sum1": sums(values, counts).view(np.int64),
-                    "sum2": sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), counts).view(np.int64),
-                    "near": [near[at[i]] if counts[i] else None for i in range(len(counts))],
-                    "deep": [deep[at[i]] if counts[i] else None for i in range(len(counts))],
+                    "digest": [hashlib.blake2b(values[e - n : e], digest_size=16).digest() for e, n in zip(ends, counts)],
+                    "minima": [minima[at[i]].tobytes() if counts[i] else None for i in range(len(counts))],
                 }
             )
 
@@ -108,7 +89,8 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, coded in _slices(batch):
             values, counts = shingle_sets(coded, WIDTH)
             parts = np.split(values.view(np.int64), np.cumsum(counts)[:-1])
-            yield pd.DataFrame({"node": rows["doc_id"].values, "shingles": parts})
+            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
+            yield pd.DataFrame({"node": rows["doc_id"].values, "digest": digests, "shingles": parts})
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,80 +105,125 @@ def linked(sizes: DataFrame) -> DataFrame:
     return sizes.where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
-def neighbours(members: DataFrame) -> DataFrame:
-    """(node, to): for each set the smallest of its longest-common-prefix neighbours, if that is smaller."""
-    regions = members.groupBy("near").agg(F.count("*").alias("sets"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    placed = members.join(regions.drop("most"), "near")
-    deeper = placed.where(F.col("sets") > CROWD).groupBy("deep").agg(F.min("node").alias("deep_least"))
-    nearest = placed.join(deeper, "deep", "left").select("node", F.when(F.col("deep_least") < F.col("node"), F.col("deep_least")).otherwise(F.col("least")).alias("to"))
-    return nearest.where("to < node").groupBy("node").agg(F.min("to").alias("to"))
-
-
-def open_pairs(members: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one region that aren't ruled out."""
-    placed = members.select("node", "near").join(known, "node")
-    mixed = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
-    placed = written(placed.join(mixed.select("near", "home"), "near"))
-
-    def pairs(rows: DataFrame, on: list[str], more) -> DataFrame:
-        """Of equal keys, guests with hosts and guests with guests; a region's hosts are one component."""
-        side = lambda df, x: df.select(*[F.col(c) if c in on else F.col(c).alias(f"{c}_{x}") for c in df.columns])
-        both = side(rows.where("component <> home"), "a").join(side(rows, "b"), on)
-        once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("home_b"))
-        sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-        both = both.where((F.col("component_a") != F.col("component_b")) & once & sizes & more)
-        return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-
-    same = F.coalesce(F.col("to_a") == F.col("to_b"), F.lit(False))
-    most = F.least("common_a", "common_b")
-    bounded = 100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)
-    apart = F.abs(F.col("d_a") - F.col("d_b")) > 1 - PERCENT / 100 + 1e-9
-    by_region = pairs(placed, ["near"], ~same | bounded)
-
-    held = placed.where("to IS NOT NULL").select("node", "component", "to", "d", "n").distinct()
-    own, other = sets.select("node", "shingles"), sets.select(F.col("node").alias("to"), F.col("shingles").alias("theirs"))
-    lacking = held.join(own, "node").join(other, "to").select("node", "component", "to", "d", "n", F.explode(F.array_except("shingles", "theirs")).alias("shingle"))
-    lacking = written(lacking)  # apart from the groups, so that the join's hot partitions can be split
-    hosts = lacking.groupBy("to", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("home")).where("low <> high")
-    lacking = lacking.join(hosts.select("to", "shingle", "home"), ["to", "shingle"])
-    return by_region.union(pairs(lacking, ["to", "shingle"], ~apart))
+def order_key(tree: Column, values: int) -> Column:
+    """The first values of a signature as an order reads it."""
+    return F.substring(F.concat("minima", "minima"), 4 * NEAR * tree + 1, F.lit(4 * values))
+
+
+def common_prefix(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many leading values two keys of a row share."""
+    return np.logical_and.accumulate(key == other, axis=1).sum(axis=1)
+
+
+def adjacent(members: DataFrame) -> DataFrame:
+    """(a, b, depth): sets next to each other in an order that share a region, and the longest of their common prefixes.
+
+    members: tree, key, node. Ranges of the sorted orders are compared where they
+    lie; what passes between them is a row for either end of a range.
+    """
+    kind = members.schema["node"]
+    names = ["a", "b", "depth", "part", "tree", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+
+        def rows(a, b, depth, part=None, tree=None, key=None) -> pa.RecordBatch:
+            n, ints, node = len(depth), pa.int32(), members_type
+            filled = [pa.array(a, node), pa.array(b, node) if b is not None else pa.nulls(n, node), pa.array(depth, ints)]
+            filled += [pa.array([x] * n, t) for x, t in ((part, ints), (tree, ints), (key, pa.binary()))]
+            return pa.RecordBatch.from_arrays(filled, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            members_type = batch.column(2).type
+            tree, keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            if last is None:
+                yield rows(nodes[:1], None, [0], part, int(tree[0]), keys[0])
+            else:
+                tree, keys, nodes = np.append(last[0], tree), [last[1], *keys], [last[2], *nodes]
+            last = (tree[-1], keys[-1], nodes[-1])
+            key = np.frombuffer(b"".join(keys), ">u4").reshape(-1, DEPTH)
+            depth = common_prefix(key[1:], key[:-1]) * (tree[1:] == tree[:-1])
+            at = np.flatnonzero(depth >= NEAR)
+            yield rows([nodes[i] for i in at], [nodes[i + 1] for i in at], depth[at])
+        if last is not None:
+            yield rows([last[2]], None, [1], part, int(last[0]), last[1])
+
+    order = ["tree", "key", "node"]
+    shape = [StructField(x, kind.dataType) for x in "ab"] + [StructField(x, IntegerType()) for x in ("depth", "part", "tree")] + [StructField("key", BinaryType())]
+    found = written(members.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, StructType(shape)))
+    ends = found.where("part IS NOT NULL").orderBy("part", "depth").collect()  # two rows for each range
+    met = []
+    for x, y in zip(ends[1::2], ends[2::2]):
+        depth = int(common_prefix(*(np.frombuffer(r["key"], ">u4").reshape(1, DEPTH) for r in (x, y)))[0])
+        if x["tree"] == y["tree"] and depth >= NEAR:
+            met.append((x["a"], y["a"], depth))
+    pairs = found.where("part IS NULL").select("a", "b", "depth").union(members.sparkSession.createDataFrame(met, StructType(shape[:3])))
+    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs the deepest, ties to the smaller partner."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))
+    each = pairs.select("depth", F.explode(ends).alias("e")).select("depth", "e.*")
+    best = each.groupBy("node").agg(F.min(F.struct((-F.col("depth")).alias("up"), "to")).alias("best"))
+    return best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct()
+
+
+def open_pairs(pool: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked; pool: node, component."""
+    held = sets.join(pool, "node").select("node", "digest", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    span = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
+    both = held.join(span.where("low <> high").select("shingle", "often"), "shingle")
+    listed = both.groupBy("node", "digest", "component", "n").agg(F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared"))
+    reach = F.expr(f"n - ({PERCENT} * n + 99) DIV 100 + 1") - (F.col("n") - F.size("shared"))  # the rest of the prefix is shingles of one component
+    first = written(listed.where(reach > 0).select("node", "component", "n", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("s")).select("node", "component", "n", "s.shingle"))
+    by = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("components"), F.max_by("component", F.struct("count", "component")).alias("home"))
+    first = written(first.join(by.where("components > 1").select("shingle", "home"), "shingle"))
+    guest, host = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "home")]) for x in "ab")
+    met = guest.where("component_a <> home_a").join(host, "shingle").where("component_a <> component_b")
+    met = met.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType
-    longs = ArrayType(LongType())
-    shape = [StructField("doc_id", kind), *[StructField(c, LongType()) for c in ("n_shingles", "sum1", "sum2")], StructField("near", longs), StructField("deep", longs)]
+    kind, longs = docs.schema["doc_id"].dataType, ArrayType(LongType())
+    shape = [StructField("doc_id", kind), StructField("n_shingles", LongType()), StructField("digest", BinaryType()), StructField("minima", BinaryType())]
     signed = written(docs.mapInPandas(_signed, StructType(shape)))
-    print_of = ["n_shingles", "sum1", "sum2"]
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = written(named.groupBy(*print_of).agg(F.min("doc_id").alias("node")))
-    copies = named.select("doc_id", *print_of).join(nodes, print_of).where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    single = named.groupBy("digest").agg(F.min(F.struct("doc_id", "minima")).alias("least")).select("digest", F.col("least.doc_id").alias("node"), "least.minima")
+    single = written(single)
+    copies = named.select("doc_id", "digest").join(single.select("digest", "node"), "digest").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    keys = named.join(nodes.withColumnRenamed("node", "doc_id"), [*print_of, "doc_id"]).select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("near", "deep")).alias("k"))
-    keys = keys.select("node", "k.near", "k.deep")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    keys = single.select("digest", "node", trees, "minima").select("digest", "node", "tree", F.xxhash64("tree", order_key(F.col("tree"), NEAR)).alias("near"))
     regions = keys.groupBy("near").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = written(keys.join(regions.select("near"), "near"))
     compare = written(members.select("node").distinct())
     sets = docs.join(compare.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = written(sets.mapInPandas(_full_sets, StructType([StructField("node", kind), StructField("shingles", longs)])).where(F.size("shingles") > 0))
+    sets = sets.mapInPandas(_full_sets, StructType([StructField("node", kind), StructField("digest", BinaryType()), StructField("shingles", longs)]))
+    sets = written(sets.where(F.size("shingles") > 0))
 
-    tests, alone = [], members
+    placed = members.drop("node").join(single, "digest")
+    beside = written(adjacent(placed.select("tree", order_key(F.col("tree"), DEPTH).alias("key"), "node")))
+    tests: list[DataFrame] = []
+    waiting = beside
     for _ in range(ROUNDS):
-        first = neighbours(alone)
-        tests.append(written(compared(first.select(F.col("to").alias("a"), F.col("node").alias("b")), sets)))
-        found = linked(tests[-1])
-        alone = alone.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
-        alone = written(alone.join(tests[-1].select(F.col("b").alias("node")).distinct(), "node", "left_semi"))
+        tests.append(written(compared(nearest(waiting), sets)))
+        found = linked(tests[-1]).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        waiting = waiting.join(tests[-1].select("a", "b"), ["a", "b"], "left_anti")
+        waiting = written(waiting.join(found.withColumnRenamed("node", "a"), "a", "left_anti").join(found.withColumnRenamed("node", "b"), "b", "left_anti"))
     tested = reduce(DataFrame.union, tests)
     links = written(linked(tested).select("a", "b"))
-    component = smallest_labels(links)
-    against = tests[0].select(F.col("b").alias("node"), F.col("a").alias("to"), "common", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    known = compare.join(component, "node", "left").join(against, "node", "left").join(sets.select("node", F.size("shingles").alias("n")), "node")
-    known = written(known.select("node", F.coalesce("component", "node").alias("component"), "to", "common", "d", "n"))
-    rest = written(open_pairs(members, known, sets).distinct())
-    rest = linked(compared(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)).select("a", "b")
+    known = written(compare.join(smallest_labels(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    placed = members.select("near", "node").join(known, "node")
+    mixed = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    pool = written(placed.join(mixed.select("near"), "near").select("node", "component").distinct())
+    rest = written(open_pairs(pool, sets).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = linked(compared(rest, sets)).select("a", "b")
     component = smallest_labels(links.union(rest).union(copies)).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
