@@ -47,6 +47,28 @@ def test_page(model):
     assert model.contents([PAGE]) == [TEXT]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1>Title here</h1><p>Short para one.</p><p>Second short para.</p><form><p>Send us your name please.</p></form></article>", "Title here\nShort para one.\nSecond short para."),
+        ("<h1>A title</h1><p>This is a short article, with few words.</p><div class=comments><p>nice post, I agree with it all.</p></div>", "A title\nThis is a short article, with few words."),
+        ("<p>First short one.</p><p>Second short one.<br>more</p><p>Third short one.</p><form><input><button>Go</button></form>", "First short one.\nSecond short one. more\nThird short one."),
+        ("<form runat=server><nav><a href=x>Home</a></nav><h1>Head line</h1><p>Body text of the thing, it is long enough to be read.</p><footer>Copyright us.</footer></form>", "Head line\nBody text of the thing, it is long enough to be read."),
+        (
+            "<header><a href=/>Site</a></header><div id=content><h2>News today</h2><p>The council met on Monday. It decided to build a bridge.</p><ul><li>Cost: 3 million</li>"
+            "<li>Start: May</li></ul><p>More to come.</p></div><aside class=sidebar><h3>Most read</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></aside><div id=footer>About us</div>",
+            "News today\nThe council met on Monday. It decided to build a bridge.\nCost: 3 million\nStart: May\nMore to come.",
+        ),
+    ],
+)
+def test_pages_written_by_hand(model, page, text):
+    assert model.contents([f"<html><head><title>x</title></head><body>{page}</body></html>"]) == [text]
+
+
+def test_deep_pages_take_linear_time(model):
+    model.contents(["<div>" * 4000 + "x", "<div>" * 20000 + "</x>" * 20000])
+
+
 def test_broken_pages(model):
     for page in ("", " ", "plain", "<", "<p", "<!--", "<!-- x", "<script>", "<p>a</div></p></p>", "<a href='x", "<b><i></b>", "</html>", "<" * 3000, '<p "' * 500, "<div>" * 3000 + "x"):
         parse(page)

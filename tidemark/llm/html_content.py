@@ -30,7 +30,7 @@ from tidemark.llm.common import read
 from tidemark.llm.html_tree import FEATURES, TAG, Tree, parse
 
 #: Labelled pages that are written, and steps of the ascent.
-PAGES, STEPS = 500, 150
+PAGES, STEPS = 700, 150
 #: Nodes whose messages are held at a time.
 NODES = 50_000
 
@@ -50,7 +50,8 @@ class Forest:
         depth = [0] * len(self.parent)
         for k, p in enumerate(self.parent.tolist()):
             depth[k] = depth[p] + 1 if p >= 0 else 0
-        self.levels = [np.flatnonzero(np.asarray(depth) == d) for d in range(max(depth) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
         self.kind = self.leaf.astype(int)
 
 
@@ -159,10 +160,13 @@ def labelled_pages(count: int = PAGES, seed: int = 4) -> list[tuple[str, list[st
         if kind == 3:
             return box(["aside", "div"], ["sidebar", "side", "related", "widget", "recommend"], f"<h3>{words(1, 3)}</h3>" + some(links(), f"<p>{prose(1, 2)}</p>" + links()))
         if kind == 4:
-            posts = "".join(box(["div", "li", "article"], ["comment", "comment", "comment-body"], f"<p>{prose(1, 4)}</p>") for _ in range(rng.randrange(1, 5)))
+            post = lambda: some(f"<p>{prose(1, 4)}</p>", f"<p>{words(2, 12)}</p>", f"<b>{words(1, 2)}</b> {prose(1, 2)}")
+            posts = "".join(some(box(["div", "li", "article"], ["comment", "comment", "comment-body", "reply"], post()), post()) for _ in range(rng.randrange(1, 6)))
+            if rng.random() < 0.3:
+                return box(["div", "section", "ol"], ["comments", "comment-list", "comments-area"], posts)
             return box(["section", "div"], ["comments", "comments", "respond"], f"<h2>{words(1, 2)}</h2>{posts}")
         if kind == 5:
-            return f"<form action='/{word()}'><label>{words(1, 3)}</label><input name=q><p>{prose(1, 1)}</p></form>"
+            return f"<form action='/{word()}'>{some('', f'<h3>{words(1, 3)}</h3>')}{some(f'<label>{words(1, 3)}</label>', '')}<input name=q>{some('', '<br>')}<p>{prose(1, 3)}</p>{some('', prose(1, 2))}</form>"
         if kind == 6:
             return box(["div", "section"], ["share", "social", "newsletter", "subscribe", "tags"], f"<p>{words(2, 9)}</p>" + links())
         if kind == 7:
@@ -174,9 +178,10 @@ def labelled_pages(count: int = PAGES, seed: int = 4) -> list[tuple[str, list[st
         blocks = [f"<h1>{mark}{words(2, 10)}{some('', '', '.')}</h1>"] * int(rng.random() < 0.85)
         if rng.random() < 0.15:  # hardly any text
             return f"<h1>{mark}{words(1, 6)}.</h1>" + some(f"<p><b>{mark}{words(1, 5)}.<br>", f"<p>{mark}{words(1, 5)}.</p>")
-        for _ in range(rng.randrange(1, 10)):
+        brief = rng.random() < 0.25
+        for _ in range(rng.randrange(1, 4 if brief else 10)):
             kind = rng.randrange(0, 14)
-            text = prose(1, some(2, 5, 12, 40))
+            text = prose(1, 2) if brief else prose(1, some(2, 5, 12, 40))
             if rng.random() < 0.35:  # lists of words, and lines that break off
                 text = some(f"{word()} " * rng.randrange(2, 200), text.rstrip(".!"), words(1, 40), some("* ", "$$$ ", "| ").join(text.split(" ")), text + " |")
             if kind < 8:
@@ -193,19 +198,23 @@ def labelled_pages(count: int = PAGES, seed: int = 4) -> list[tuple[str, list[st
                 blocks.append(f"<p>{mark}{prose(1, 2)} {link()} {prose(1, 2)}</p>")
             else:
                 blocks.append(f"<table><tr><td>{mark}{words(1, 4)}</td><td>{mark}{words(1, 4)}</td></tr></table>" if rng.random() < 0.5 else f"<p>{mark}{words(1, 3)}.</p>")
-            if rng.random() < 0.06:
+            if rng.random() < 0.12:
                 blocks.append(noise())
         return "".join(blocks)
 
     out = []
     for _ in range(count):
         body = box(["article", "article", "main", "div", "div"], ["", "content", "post", "entry-content", "article-body", "story", "main-content"], content())
+        if rng.random() < 0.3:  # no element of its own
+            body = content()
         if rng.random() < 0.4:
             body = box(["main", "div", "div"], ["wrapper", "main", "container", "page"], some(body, noise() + body, body + noise()))
         top = f"<header><h2>{words(1, 3)}</h2>{links()}</header>" if rng.random() < 0.4 else ""
         foot = f"<footer>&copy; {word()}.example.com &middot; {prose(1, 2)}{some('', links())}</footer>" if rng.random() < 0.7 else box(["div"], ["footer", "copyright", "legal"], f"<p>&copy; {prose(1, 2)}</p>")
         before, after = "".join(noise() for _ in range(rng.randrange(0, 4))), "".join(noise() for _ in range(rng.randrange(0, 4)))
         ends = some("</body></html>", "</body></html>", "")
+        if rng.random() < 0.1 and "<h1" in body:  # a server's form around the whole page
+            before, after = f'<form method=post action="/{word()}">{before}', f"{after}</form>"
         out.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{top}{before}{body}{after}{foot}{ends}")
     return out
 

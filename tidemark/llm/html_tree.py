@@ -27,7 +27,12 @@ TAGS = "html body div section article main nav header footer aside form ul ol li
 TAG = {t: k for k, t in enumerate(TAGS)}
 LEAF = len(TAGS) + len(HINTS)
 SIZES, LINKS, ENDS, UNDER = 7, 4, 3, len(TAGS)
-FEATURES = LEAF + 1 + SIZES + LINKS + ENDS + UNDER
+OWN = LEAF + 1 + SIZES + LINKS + ENDS + UNDER
+#: Elements that a node remembers to lie within, as it does the hints of all elements above.
+WITHIN = {TAG[t]: k for k, t in enumerate("nav header footer aside form article main section blockquote ul table".split())}
+FEATURES = OWN + len(WITHIN) + len(HINTS)
+#: A form that holds one of these is the page's frame, as some servers write it, and no form to fill in.
+FRAMED = frozenset("h1 article main".split())
 
 _TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>)""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -74,9 +79,28 @@ def leaf_features(text: str, linked: int, tag: str) -> tuple[int, ...]:
     return LEAF, base + size, base + SIZES + link, base + SIZES + LINKS + end, base + SIZES + LINKS + ENDS + TAG.get(tag, TAG["other"])
 
 
+def inherited(tree: Tree) -> None:
+    """Give every node the hints and sectioning elements that it lies within."""
+    above: list[frozenset[int]] = []
+    known: dict[tuple, frozenset[int]] = {}
+    for k, p in enumerate(tree.parent):
+        if p < 0:
+            above.append(frozenset())
+            continue
+        key = (above[p], tree.features[p])
+        if key not in known:
+            own = tree.features[p][: len(tree.features[p]) - len(above[p])]
+            tag, *hints = own
+            mine = {OWN + len(WITHIN) + h - len(TAGS) for h in hints} if tag != TAG["body"] else set()
+            known[key] = above[p] | mine | ({OWN + WITHIN[tag]} if tag in WITHIN else set())
+        above.append(known[key])
+        tree.features[k] = (*tree.features[k], *above[k])
+
+
 def parse(page: str) -> Tree:
     """The page's tree; end tags may be missing, and quotes or comments open."""
     tree = Tree()
+    opened: dict[str, int] = {}
     stack: list[tuple[str, int]] = [("html", tree.add(-1, None, element_features("html", "")))]
     run: list[str] = []
     anchors = linked = silent = 0
@@ -94,10 +118,14 @@ def parse(page: str) -> Tree:
     def close(upto: int) -> None:
         nonlocal silent
         flush()
-        silent -= sum(t in SILENT for t, _ in stack[upto:])
+        for t, _ in stack[upto:]:
+            silent -= t in SILENT
+            opened[t] -= 1
         del stack[upto:]
 
     def open_at(names: frozenset, barriers: frozenset) -> int | None:
+        if not any(opened.get(t) for t in names):
+            return None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 return k
@@ -159,6 +187,12 @@ def parse(page: str) -> Tree:
             continue
         anchors = 0
         silent += tag in SILENT
+        if tag in FRAMED and opened.get("form"):
+            for t, node in stack:
+                if t == "form":
+                    tree.features[node] = (TAG["div"], *tree.features[node][1:])
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, tree.add(stack[-1][1], None, element_features(tag, attributes))))
     close(1)
+    inherited(tree)
     return tree
