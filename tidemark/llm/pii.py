@@ -3,12 +3,13 @@
 The tagger (bilstm_crf.py) is a character-level bidirectional LSTM with CRF
 transitions, trained on the driver from labelled spans: windows of a bounded
 sample of documents, labelled by the rules, and written examples, which also
-hold telephone numbers in national forms that the rules don't know and things
-that only look alike. It reads windows of WINDOW characters that overlap by
+hold telephone numbers in national forms and keys and tokens of access (kind
+`secret`), neither of which the rules know, and things that only look alike. It
+reads windows of WINDOW characters that overlap by
 half. A character's label is that of the window it is most central in; spans
 are read from the labels of the whole text, so windows can't disagree.
 
-A span without a digit or an at sign is never one, so a window without either
+A span without a digit or an at sign is none, so a window without either
 needs no reading; the outcome is the same as if every window was read. A span
 of the tagger counts only if its form is valid and no rule's span overlaps it.
 
@@ -31,7 +32,8 @@ from tidemark.llm.bilstm_crf import BiLSTMCRF
 from tidemark.llm.common import read
 
 #: In the order in which kinds are listed.
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 WINDOW = 64
 STRIDE = WINDOW // 2
 SYMBOLS = 98
@@ -46,6 +48,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile("[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+_SECRETIVE = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{14,}")
 _NATIONAL = re.compile(r"\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,5}){1,4}")
 
 Span = tuple[int, int, str]
@@ -126,6 +130,8 @@ def written_examples(count: int, seed: int = 9) -> tuple[list[str], list[list[Sp
     rng = np.random.default_rng(seed)
     pick = lambda chars, low, high: "".join(rng.choice(list(chars), rng.integers(low, high + 1)))
     lower, digit, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    letter = lower + lower.upper()
+    names = ["token", "password", "secret", "key", "api_key", "auth", "bearer"]
 
     def card() -> str:
         first = pick(digit, 11, 18)
@@ -143,12 +149,17 @@ def written_examples(count: int, seed: int = 9) -> tuple[list[str], list[list[Sp
         (1, "phone", lambda: f"+{rng.integers(1, 99)}{rng.choice([' ', '-', '.', ''])}{pick(digit, 3, 4)}{rng.choice([' ', '-', '.', ''])}{pick(digit, 5, 7)}"),
         (2, "phone", lambda: f"({pick(digit, 3, 3)}) {pick(digit, 3, 3)}-{pick(digit, 4, 4)}"),
         (1, "phone", lambda: rng.choice(["-", ".", " "]).join([pick(digit, 3, 3), pick(digit, 3, 3), pick(digit, 4, 4)])),
-        (2, "", lambda: f"{rng.choice(['token = ', 'password=', 'key: ', ''])}{pick(hexa, 12, 40)}"),
+        (4, "secret", lambda: pick(hexa, 24, 48)),
+        (1, "secret", lambda: pick(letter + digit, 20, 48)),
+        (1, "secret", lambda: f"{rng.choice(['sk', 'pk', 'ghp', 'key', 'tok'])}{rng.choice(['-', '_'])}{pick(letter + digit, 16, 40)}"),
+        (1, "secret", lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16)),
+        (1, "", lambda: pick(lower, 14, 40)),
+        (1, "", lambda: pick(digit, 13, 24)),
+        (1, "", lambda: f"{rng.choice(['www.', ''])}{pick(lower, 4, 12)}.{rng.choice(['com', 'org', 'net'])}/{pick(lower, 2, 9)}-{pick(lower, 2, 9)}/{rng.integers(1, 999)}"),
         (1, "", lambda: f"{rng.integers(1, 20)}.{rng.integers(0, 20)}"),
         (1, "", lambda: f"{rng.integers(1990, 2031)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"),
         (1, "", lambda: str(rng.integers(0, 99999))),
         (1, "", lambda: f"{rng.integers(0, 24)}:{rng.integers(10, 60)}"),
-        (1, "", lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16)),
         (1, "", lambda: f"{rng.integers(1, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}"),
         (1, "", lambda: f"{rng.integers(1, 999)},{pick(digit, 3, 3)},{pick(digit, 3, 3)}"),
     ]
@@ -157,13 +168,23 @@ def written_examples(count: int, seed: int = 9) -> tuple[list[str], list[list[Sp
     for _ in range(count):
         _, kind, make = makers[rng.choice(len(makers), p=weight / weight.sum())]
         item = str(make())[: WINDOW - 2]
-        room = WINDOW - len(item)
+        if kind == "secret" and not valid(item, (0, len(item), kind)):
+            kind = ""
+        quote = str(rng.choice(["", "", "", "\"", "'"])) if len(item) <= WINDOW - 4 else ""
+        room = WINDOW - len(item) - 2 * len(quote)
         words = " ".join(pick(lower + "éüñ", 1, 9) + str(rng.choice(["", "", ".", ","])) for _ in range(24))
         before = int(rng.integers(0, room + 1))
         left = words[:before][: max(0, before - 1)] + (" " * min(1, before))
-        right = (" " + words[before:])[: room - len(left)]
-        texts.append((left + item + right).ljust(WINDOW))
-        spans.append([(len(left), len(left) + len(item), kind)] if kind else [])
+        right = quote + (" " + words[before:])[: room - len(left)]
+        if kind in ("secret", "") and len(left) > 14 and rng.random() < 0.4:
+            left = (left[:-12] + f" {rng.choice(names)}{rng.choice([' = ', '=', ': ', ' '])}").rjust(len(left))[-len(left) :]
+        left += quote
+        whole, a, b = (left + item + right).ljust(WINDOW), len(left), len(left) + len(item)
+        if kind == "secret" and rng.random() < 0.4:  # cut by an edge of the window
+            gone = int(rng.integers(1, len(item) - 9))
+            whole, a, b = (whole[a + gone :].ljust(WINDOW), 0, len(item) - gone) if rng.random() < 0.5 else (whole[: b - gone].rjust(WINDOW), WINDOW - len(item) + gone, WINDOW)
+        texts.append(whole)
+        spans.append([(a, b, kind)] if kind else [])
     return texts, spans
 
 
@@ -190,10 +211,12 @@ def sample_windows(docs: DataFrame, doc_id: str, text: str) -> list[str]:
 def unsure(text: str) -> bool:
     """Whether a form that the rules don't know stands outside of their spans: such a window teaches nothing."""
     rules = rule_spans(text)
+    if any(all(m.end() <= a or b <= m.start() for a, b, _ in rules) for m in _SECRETIVE.finditer(text)):
+        return True
     return any(sum(c in "0123456789" for c in m[0]) >= 7 and all(m.end() <= a or b <= m.start() for a, b, _ in rules) for m in _NATIONAL.finditer(text))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = 12) -> BiLSTMCRF:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = 9) -> BiLSTMCRF:
     """A tagger from the rules' spans in a bounded sample of docs and from written examples."""
     texts, spans = written_examples(WRITTEN_WINDOWS)
     sampled = [t for t in sample_windows(docs, doc_id, text) if not unsure(t)]
@@ -223,14 +246,14 @@ def reconcile(length: int, numbers: list[int], paths: np.ndarray) -> np.ndarray:
 
 
 def tagged(text: str, path: np.ndarray) -> Iterator[Span]:
-    """Spans of a label path, without white space at their ends."""
+    """Spans of a label path, without white space and quotes at their ends."""
     kinds = np.where(path > 0, (path - 1) // 2, -1)
     edge = np.flatnonzero((np.diff(kinds, prepend=-2) != 0) | (path % 2 == 1))
     for a, b in zip(edge, [*edge[1:], len(path)]):
         if kinds[a] >= 0:
             part = text[a:b]
-            b = a + len(part.rstrip(" .,;:"))
-            a += len(part) - len(part.lstrip())
+            b = a + len(part.rstrip(" .,;:\"'"))
+            a += len(part) - len(part.lstrip(" \"'"))
             if a < b:
                 yield int(a), int(b), KINDS[kinds[a]]
 
@@ -244,6 +267,8 @@ def valid(text: str, span: Span) -> bool:
     digits = sum(c in "0123456789" for c in part)
     if kind == "phone":
         return bool(_NATIONAL.fullmatch(part)) and 10 <= digits <= 15
+    if kind == "secret":
+        return bool(_SECRET.fullmatch(part)) and digits >= 2 and sum(c.isalpha() for c in part) >= 2
     return (0, b - a, kind) in rule_spans(part)
 
 
@@ -273,7 +298,7 @@ def added_spans(net: BiLSTMCRF, texts: list[str], rules: list[list[Span]]) -> li
 
 def finder(net: BiLSTMCRF):
     """A column function from text to counts, digest, spans and their number that the tagger added."""
-    shape = ", ".join([*[f"n_{k} long" for k in KINDS], "base_sha256 string", "spans string", "n_added long", "clean string"])
+    shape = ", ".join([*[f"n_{k} long" for k in BASE], "base_sha256 string", "spans string", "n_added long", "clean string"])
 
     @F.pandas_udf(shape)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -284,7 +309,7 @@ def finder(net: BiLSTMCRF):
             spans = [ordered(r + a) for r, a in zip(rules, added)]
             yield pd.DataFrame(
                 {
-                    **{f"n_{k}": [sum(s[2] == k for s in r) for r in rules] for k in KINDS},
+                    **{f"n_{k}": [sum(s[2] == k for s in r) for r in rules] for k in BASE},
                     "base_sha256": [hashlib.sha256(joined(r).encode()).hexdigest() for r in rules],
                     "spans": [joined(s) for s in spans],
                     "n_added": [len(a) for a in added],
@@ -308,7 +333,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 def find_personal(docs: DataFrame, net: BiLSTMCRF, text: str = "text") -> DataFrame:
     """docs with n_email, n_ip, n_card and n_phone (the rules' spans), base_sha256, spans, n_added, and
     clean, the text with all spans replaced, or null where it has none."""
-    names = {*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "clean"}
+    names = {*[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added", "clean"}
     kept = [c for c in docs.columns if c.lower() not in names]
     return docs.select(*kept, finder(net)(F.col(text)).alias("__found")).select(*kept, "__found.*")
 
@@ -316,4 +341,4 @@ def find_personal(docs: DataFrame, net: BiLSTMCRF, text: str = "text") -> DataFr
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document; n_* count the base spans, n_added the tagger's."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_personal(docs, train(docs)).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added")
+    return find_personal(docs, train(docs)).select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added")
