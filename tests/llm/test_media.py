@@ -72,3 +72,8 @@ def test_descriptions():
         assert (n, size, digest, tail) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         assert lossless and stored > 0
     assert media.described("same") == media.described("same")
+
+
+def test_hostile_texts_take_linear_time():
+    for part in (b"%PDF-1 x", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1 startxref "):
+        assert media.sniffed(part * (2_000_000 // len(part))) == []

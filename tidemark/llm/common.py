@@ -16,13 +16,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, a folder of the session's own is made and set.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a session
+    on one machine, as in tests, makes and sets a folder of its own; on a cluster
+    no folder could be guessed, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -35,7 +35,6 @@ class Sampling:
 
     rows_per_class: int = 400
     windows_per_row: int = 3
-    classes: int = 64
 
 
 @dataclass(frozen=True)
@@ -52,14 +51,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_windows(labelled: DataFrame, doc_id: str, text: str, label: str, sampling: Sampling) -> pd.DataFrame:
-    """At most classes x rows x windows pieces of text with their labels.
+    """At most rows x windows pieces of text of every label.
 
     Rows are taken by a hash of their id under a threshold that each class's
     count sets, so the sample has the same size at any input size, and pieces
     lie anywhere in a text.
     """
     labelled = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(label).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sampling.classes).collect()
+    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").collect()
     if not counts:
         return pd.DataFrame({"l": [], "w": []})
     wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 1.3 * sampling.rows_per_class / r["count"]))])

@@ -19,11 +19,14 @@ others pass through.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import sys
 import types
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -186,14 +189,27 @@ def _gzip_length(b: bytes, at: int) -> int | None:
     return None
 
 
+@lru_cache(maxsize=4)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands in the data, found once for all the magics that ask for it."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+@lru_cache(maxsize=2)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """The end of each archive by its start, as the closing records say."""
+    ends: dict[int, int] = {}
+    for end in _places(b, b"PK\x05\x06"):
+        if end + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            at = end - start - size
+            if at >= 0 and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                ends.setdefault(at, end + 22 + note)
+    return ends
+
+
 def _zip_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if start + size == end - at and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    return _zip_ends(b)[at] - at if at in _zip_ends(b) else None
 
 
 def _mp4_length(b: bytes, at: int) -> int | None:
@@ -208,8 +224,11 @@ def _mp4_length(b: bytes, at: int) -> int | None:
 
 
 def _pdf_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else None
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    ends, links = _places(b, b"%%EOF"), _places(b, b"startxref")
+    k, j = bisect_left(ends, at), bisect_left(links, at)
+    return ends[k] + 5 - at if k < len(ends) and j < len(links) and links[j] + 9 <= ends[k] else None
 
 
 LENGTHS = {

@@ -11,9 +11,11 @@ a node of its own; a score is the sum of its partial scores.
 3. The entries gathered are scored exactly and the best k of each block go on
    to the ranking.
 
-Vectors are packed into blocks of bounded size. Query blocks are dealt to all
-vector blocks by an explicit block number, and each task sees one block of
-either at a time. What is passed between phases is k entries a query and block.
+Vectors are packed into blocks of bounded size, queries into blocks of about
+QUERY_BLOCK by the hash of their ids. Query blocks are dealt to all vector
+blocks by their number, and each task sees one block of either at a time. What
+is passed between phases is k entries a query and block. Whole scores are summed
+only for the entries that lead a list, and then for those that reach the cutoff.
 
 Defined results: vectors that are null, empty or hold a null or non-finite
 component take no part; vectors of another dimension than a query's are none of
@@ -47,6 +49,14 @@ def quantised(vector: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE)))
 
 
+def _closed(dim: int, rows: list) -> dict[str, list]:
+    """A block of (vec_id, components) of one dimension."""
+    ids, data = zip(*rows)
+    held = np.array(data, np.int64)
+    narrow = np.abs(held).max(initial=0) < 2**31
+    return {"dim": [dim], "ids": [list(ids)], "data": [held.astype(np.int32 if narrow else np.int64).tobytes()]}
+
+
 def blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows (vec_id, q) packed within their partitions into blocks of at most size rows of one dimension."""
 
@@ -54,10 +64,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         waiting: dict[int, list] = {}
 
         def close(dim: int) -> pd.DataFrame:
-            ids, data = zip(*waiting.pop(dim))
-            held = np.array(data, np.int64)
-            narrow = np.abs(held).max(initial=0) < 2**31
-            return pd.DataFrame({"dim": [dim], "ids": [list(ids)], "data": [held.astype(np.int32 if narrow else np.int64).tobytes()]})
+            return pd.DataFrame(_closed(dim, waiting.pop(dim)))
 
         for batch in batches:
             for vec_id, q in zip(batch["vec_id"], batch["q"]):
@@ -70,6 +77,25 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInPandas(pack, BLOCK)
 
 
+def dealt_blocks(rows: DataFrame, count: int) -> DataFrame:
+    """Rows (vec_id, q) of distinct ids in blocks 0 to count - 1 of each dimension, by the hash of their ids."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for dim, block, vec_id, q in zip(batch["dim"], batch["block"], batch["vec_id"], batch["q"]):
+                if held and now != (dim, block):
+                    yield pd.DataFrame({"block": [now[1]], **_closed(now[0], held)})
+                    held = []
+                now = (dim, block)
+                held.append((vec_id, q))
+        if held:
+            yield pd.DataFrame({"block": [now[1]], **_closed(now[0], held)})
+
+    rows = rows.select(F.size("q").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("block"), "vec_id", "q")
+    return rows.repartition("dim", "block").sortWithinPartitions("dim", "block", "vec_id").mapInPandas(pack, f"block long, {BLOCK}")
+
+
 def _matrix(dim: int, ids: np.ndarray, data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"i{len(data) // (dim * len(ids))}").reshape(len(ids), dim)
 
@@ -95,11 +121,10 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def first_lists(q, q_ids, v, v_ids, k) -> Iterator[tuple[int, list[int]]]:
     """Phase 1: (query, whole scores of the entries that lead its lists)."""
     parts = _partial(q, v)
-    whole = parts.sum(axis=0)
     for i, query in enumerate(q_ids):
         other = np.flatnonzero(v_ids != query)
-        lead = {int(other[j]) for p in parts for j in _best(p[i, other], v_ids[other], k)}
-        yield int(query), sorted((int(whole[i, j]) for j in lead), reverse=True)[:k]
+        lead = sorted({int(other[j]) for p in parts for j in _best(p[i, other], v_ids[other], k)})
+        yield int(query), sorted((int(x) for x in parts[:, i, lead].sum(axis=0)), reverse=True)[:k]
 
 
 def sufficient(q, q_ids, v, v_ids, cutoff, k) -> Iterator[tuple[int, int, int]]:
@@ -131,11 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
 
     held = written(blocks(usable(vectors), VECTOR_BLOCK))
     asked = written(usable(queries).groupBy("vec_id").agg(F.min("q").alias("q")))
-    asked = blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK)
-    asked = written(asked.select("dim", F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q")))
-    # A row for each block of queries: as many as queries / QUERY_BLOCK.
-    numbers = asked.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    dealt = held.join(numbers, "dim").withColumn("block", F.explode("blocks")).drop("blocks")
+    count = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = written(dealt_blocks(asked, count).select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q")))
+    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     pairs = dealt.join(asked, ["dim", "block"])
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
