@@ -1,14 +1,13 @@
 """Operators that SQL can't say, against plain Python; and what must not change with the future."""
 
 import datetime as dt
-import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import candles, evaluate, features, forecasts, inference, pit, store
+from tidemark.operators import candles, drift, evaluate, features, forecasts, inference, pit, store
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -170,6 +169,20 @@ def test_learners_see_only_matured_rows(spark):
 
 
 def test_drift(spark):
-    rows = [("m", hour(k), 1.0 + 0.01 * k, 1) for k in range(24)] + [("m", hour(24 + k), 5.0 + k, 0) for k in range(8)]
-    out = evaluate.drift(spark.createDataFrame(rows, "model string, origin_at timestamp_ntz, abs_pct double, direction_correct int"), 8, 24, "model").first()
-    assert out["severity"] == "severe" and out["ks"] == pytest.approx(1) and out["direction_drop"] == 1 and out["confidence"] == 0 and math.isfinite(out["shift"])
+    rows = [("m", hour(k), 1.0 + 0.01 * k, 1.0, 1) for k in range(24)] + [("m", hour(24 + k), 5.0 + k, 1.0, 0) for k in range(8)]
+    rows += [("few", hour(k), 1.0, 1.0, 1) for k in range(31)] + [("m", hour(99), None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "model string, target_at timestamp_ntz, abs_pct double, signed_pct double, direction_correct int")
+    (out,) = drift.error_drift(df, 8, 24, drift.Thresholds(), "model").collect()
+    before = [1.0 + 0.01 * k for k in range(24)]
+    middle = float(np.median(before))
+    scale = max(1.4826 * float(np.median(np.abs(np.array(before) - middle))), 0.1 * middle)
+    assert out["severity"] == "severe" and out["abs_ks"] == pytest.approx(1) and out["direction_drop"] == 1
+    assert out["abs_shift"] == pytest.approx((8.5 - middle) / scale, abs=1e-5) and out["signed_shift"] == 0 and out["signed_ks"] == 0
+
+
+def test_drift_events_are_stored_once(spark):
+    signals = [(hour(0), "a", "severe"), (hour(0), "a", "severe"), (hour(0), "b", "none"), (hour(1), "a", "severe"), (hour(0), "a", "warning")]
+    df = spark.createDataFrame(signals, "origin_at timestamp_ntz, signal_key string, severity string")
+    first = drift.drift_events(df, None)
+    assert sorted((r["origin_at"], r["severity"]) for r in first.collect()) == [(hour(0), "severe"), (hour(0), "warning"), (hour(1), "severe")]
+    assert drift.drift_events(df, first).count() == 0

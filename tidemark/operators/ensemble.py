@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions import scalars
+
 
 def static_priors(models: list[str], families: Mapping[str, float], family_of: Mapping[str, str]) -> dict[str, float]:
     """Shares of models by their family's weight, equal within a family, normalised."""
@@ -18,16 +20,22 @@ def static_priors(models: list[str], families: Mapping[str, float], family_of: M
 
 
 def blend(rows: DataFrame, weight: str, *by: str) -> DataFrame:
-    """Geometric mean of prices by weight, its dispersion, and the share of the commonest direction."""
-    move = F.signum(F.col("predicted") - F.col("source_price"))
-    total = F.sum(weight)
-    price = F.exp(F.sum(F.col(weight) * F.log("predicted")) / total)
+    """Geometric mean of prices by weight, its dispersion, and the share of the commonest direction.
+
+    Squares are of differences to the source price, which is near all
+    predictions, so that close prices don't cancel; directions need a change
+    beyond scalars.direction's epsilon.
+    """
+    off = F.col("predicted") - F.col("source_price")
+    move = scalars.direction(off)
+    price = F.exp(F.sum(F.col(weight) * F.log("predicted")) / F.sum(weight))
     out = rows.where("predicted > 0").groupBy(*by).agg(
-        price.alias("price"), F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col("predicted")).alias("wp"), F.sum(F.col(weight) * F.col("predicted") * F.col("predicted")).alias("wpp"),
+        price.alias("price"), F.avg("source_price").alias("base"), F.sum(weight).alias("w"), F.sum(F.col(weight) * off).alias("wo"), F.sum(F.col(weight) * off * off).alias("woo"),
         F.greatest(F.avg((move > 0).cast("int")), F.avg((move < 0).cast("int")), F.avg((move == 0).cast("int"))).alias("agreement"),
     )
-    spread = F.col("wpp") - 2 * F.col("price") * F.col("wp") + F.col("price") * F.col("price") * F.col("w")
-    return out.withColumn("dispersion", F.sqrt(F.greatest(spread / F.col("w"), F.lit(0.0)))).drop("w", "wp", "wpp")
+    gap = F.col("price") - F.col("base")
+    spread = F.col("woo") - 2 * gap * F.col("wo") + gap * gap * F.col("w")
+    return out.withColumn("dispersion", F.sqrt(F.greatest(spread / F.col("w"), F.lit(0.0)))).drop("w", "wo", "woo", "base")
 
 
 def correlation_penalties(weights: DataFrame, correlations: DataFrame, *by: str) -> DataFrame:

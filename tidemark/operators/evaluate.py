@@ -107,32 +107,6 @@ def newest_rows(rows: DataFrame, n: int, *by: str) -> DataFrame:
     return rows.withColumn("back", rank).where(F.col("back") <= n)
 
 
-def drift(rows: DataFrame, recent: int = 8, before: int = 24, *by: str) -> DataFrame:
-    """Robust shift, two-sample Kolmogorov-Smirnov distance and loss of direction of the last rows against those before.
-
-    Only recent + before rows of a group enter, so its arrays are bounded.
-    """
-    last = newest_rows(rows.where("abs_pct IS NOT NULL"), recent + before, *by).withColumn("new", F.col("back") <= recent)
-    arrays = last.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.when(F.col("new"), F.col("abs_pct")))).alias("x"), F.sort_array(F.collect_list(F.when(~F.col("new"), F.col("abs_pct")))).alias("y"),
-        F.avg(F.when(~F.col("new"), F.col("direction_correct"))).alias("hit_before"), F.avg(F.when(F.col("new"), F.col("direction_correct"))).alias("hit_recent"),
-    )
-    full = arrays.where((F.size("x") == recent) & (F.size("y") == before))
-    from tidemark.operators.candles import middle
-
-    spread = middle(F.sort_array(F.transform("y", lambda v: F.abs(v - F.col("median_before")))))
-    below = lambda name, v: F.size(F.filter(name, lambda u: u <= v)) / F.size(name)
-    ks = F.array_max(F.transform(F.concat("x", "y"), lambda v: F.abs(below("x", v) - below("y", v))))
-    out = full.withColumns({"median_before": middle(F.col("y")), "median_recent": middle(F.col("x"))}).withColumns({"mad": spread, "ks": ks})
-    out = out.withColumn("shift", (F.col("median_recent") - F.col("median_before")) / F.greatest(1.4826 * F.col("mad"), F.lit(1e-9)))
-    out = out.withColumn("direction_drop", F.col("hit_before") - F.col("hit_recent"))
-    severe = (F.abs("shift") >= 3.5) | (F.col("ks") >= 0.55) | (F.col("direction_drop") >= 0.25)
-    warn = (F.abs("shift") >= 2) | (F.col("ks") >= 0.35) | (F.col("direction_drop") >= 0.15)
-    out = out.withColumn("severity", F.when(severe, "severe").when(F.coalesce(warn, F.lit(False)), "warning").otherwise("none"))
-    confidence = F.when(F.col("severity") == "severe", 0.0).when(F.col("severity") == "warning", 0.5).otherwise(1.0)
-    return out.withColumn("confidence", confidence).select(*by, "median_before", "median_recent", "shift", "ks", "direction_drop", "severity", "confidence")
-
-
 def causal_quantile(rows: DataFrame, level: float, window: int, least: int, *by: str) -> DataFrame:
     """rows with band: the nearest-rank quantile of the errors of up to `window` rows before, from `least` on."""
     frame = W.partitionBy(*by).orderBy("origin_at").rowsBetween(-window, -1)

@@ -24,7 +24,7 @@ def static_priors(spark, sf_dir):
     return priors(spark).select("model", r6("weight").alias("weight"))
 
 
-@query(f"""WITH {SCORED}, {PRIOR_SQL}, b AS (SELECT origin_at, horizon, exp(sum(weight * ln(predicted)) / sum(weight)) AS price, greatest(avg(CAST(predicted > source_price AS INT)), avg(CAST(predicted < source_price AS INT)), avg(CAST(predicted = source_price AS INT))) AS agreement FROM scored JOIN prior USING (model) WHERE predicted > 0 GROUP BY 1, 2)
+@query(f"""WITH {SCORED}, {PRIOR_SQL}, b AS (SELECT origin_at, horizon, exp(sum(weight * ln(predicted)) / sum(weight)) AS price, greatest(avg(CAST(predicted - source_price > 0.005 AS INT)), avg(CAST(predicted - source_price < -0.005 AS INT)), avg(CAST(abs(predicted - source_price) <= 0.005 AS INT))) AS agreement FROM scored JOIN prior USING (model) WHERE predicted > 0 GROUP BY 1, 2)
 SELECT b.origin_at, b.horizon, round(price, 5) AS price, round(agreement, 6) AS agreement, round(sqrt(greatest(sum(weight * power(predicted - price, 2)) / sum(weight), 0)), 3) AS dispersion FROM b JOIN scored s ON s.origin_at = b.origin_at AND s.horizon = b.horizon JOIN prior USING (model) WHERE predicted > 0 GROUP BY 1, 2, 3, 4""")
 def weighted_ensemble(spark, sf_dir):
     """The geometric blend of every origin and horizon."""

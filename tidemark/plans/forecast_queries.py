@@ -176,18 +176,6 @@ def distributional_scores(spark, sf_dir):
     return out.select("model", "horizon", "rows", *[F.round(c, 5).alias(c) for c in ("pinball_10", "pinball_50", "pinball_90")], *[F.round(c, 4).alias(c) for c in ("winkler", "interval_score", "width_pct")], r6("coverage_error").alias("coverage_error"))
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY model, horizon ORDER BY origin_at DESC) AS k FROM scored WHERE abs_pct IS NOT NULL), x AS (SELECT * FROM r WHERE k <= 32),
-m AS (SELECT model, horizon, median(abs_pct) FILTER (k > 8) AS mb, median(abs_pct) FILTER (k <= 8) AS mr, avg(direction_correct) FILTER (k > 8) AS hb, avg(direction_correct) FILTER (k <= 8) AS hr FROM x GROUP BY 1, 2),
-d AS (SELECT x.model, x.horizon, median(abs(abs_pct - mb)) FILTER (k > 8) AS mad FROM x JOIN m USING (model, horizon) GROUP BY 1, 2),
-k AS (SELECT a.model, a.horizon, max(abs((SELECT count(*) FROM x b WHERE b.model = a.model AND b.horizon = a.horizon AND b.k <= 8 AND b.abs_pct <= a.abs_pct) / 8 - (SELECT count(*) FROM x b WHERE b.model = a.model AND b.horizon = a.horizon AND b.k > 8 AND b.abs_pct <= a.abs_pct) / 24)) AS ks FROM x a GROUP BY 1, 2),
-z AS (SELECT model, horizon, mb, mr, (mr - mb) / greatest(1.4826 * mad, 1e-9) AS shift, ks, hb - hr AS dd FROM m JOIN d USING (model, horizon) JOIN k USING (model, horizon))
-SELECT model, horizon, round(mb, 5) AS median_before, round(mr, 5) AS median_recent, round(shift, 5) AS shift, round(ks, 6) AS ks, round(dd, 6) AS direction_drop,
-CASE WHEN abs(shift) >= 3.5 OR ks >= 0.55 OR dd >= 0.25 THEN 'severe' WHEN abs(shift) >= 2 OR ks >= 0.35 OR dd >= 0.15 THEN 'warning' ELSE 'none' END AS severity FROM z""")
-def error_drift(spark, sf_dir):
-    out = evaluate.drift(scored(spark, sf_dir), 8, 24, "model", "horizon")
-    return out.select("model", "horizon", *[F.round(c, 5).alias(c) for c in ("median_before", "median_recent", "shift")], r6("ks").alias("ks"), r6("direction_drop").alias("direction_drop"), "severity")
-
-
 @query(f"""WITH {SCORED}, l AS (SELECT *, list(abs_pct) OVER (PARTITION BY model, horizon ORDER BY origin_at ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING) AS past FROM scored WHERE abs_pct IS NOT NULL)
 SELECT model, horizon, origin_at, round(abs_pct, 5) AS abs_pct, round(CASE WHEN len(past) >= 12 THEN list_sort(past)[CAST(ceil(0.8 * len(past)) AS INT)] END, 5) AS band FROM l""")
 def causal_error_bands(spark, sf_dir):

@@ -50,17 +50,20 @@ def forward_as_of_join(spark, sf_dir):
     return out.select("event_id", F.when(inside, F.col("found.at")).alias("entry_at"), F.when(inside, r6("found.value")).alias("entry_value"))
 
 
-@query(f"""WITH {BARS}, e AS (SELECT ts AS happened, event_id FROM events WHERE event_type = 'signup' AND user_id % 20 = 0), n AS (
-SELECT b.ts, e.happened, row_number() OVER (PARTITION BY b.ts ORDER BY abs(epoch_us(e.happened) - epoch_us(b.ts)), e.happened) AS k FROM bars b, e)
-SELECT ts, happened AS nearest_at, CASE WHEN abs(epoch_us(happened) - epoch_us(ts)) > 6 * 3600000000 THEN 'non_event' WHEN happened > ts THEN 'pre_event' ELSE 'post_event' END AS segment FROM n WHERE k = 1""")
+@query(f"""WITH {BARS}, e AS (SELECT ts AS happened FROM events WHERE event_type = 'signup'), b1 AS (
+SELECT b.ts, e.happened AS before FROM bars b ASOF LEFT JOIN e ON b.ts >= e.happened), b2 AS (
+SELECT b1.ts, before, e.happened AS after FROM b1 ASOF LEFT JOIN e ON b1.ts <= e.happened), n AS (
+SELECT ts, CASE WHEN before IS NULL OR epoch_us(after) - epoch_us(ts) < epoch_us(ts) - epoch_us(before) THEN after ELSE before END AS happened FROM b2)
+SELECT ts, happened AS nearest_at, CASE WHEN abs(epoch_us(happened) - epoch_us(ts)) > 6 * 3600000000 THEN 'non_event'
+WHEN happened > ts THEN 'pre_event' ELSE 'post_event' END AS segment FROM n""")
 def nearest_event_segments(spark, sf_dir):
     """Every hour as before, after or away from the nearest calendar event."""
-    return segments(spark, sf_dir, kind(spark, sf_dir, "signup").where("user_id % 20 = 0"))
+    return segments(spark, sf_dir, kind(spark, sf_dir, "signup"))
 
 
 @query()
 def nearest_event_segments_whole(spark, sf_dir):
-    """nearest_event_segments with every signup; its SQL, a product, keeps to one user in twenty."""
+    """nearest_event_segments, under the name that it had over the whole table."""
     return segments(spark, sf_dir, kind(spark, sf_dir, "signup"))
 
 
@@ -72,13 +75,13 @@ def segments(spark, sf_dir, signups):
     return out.select("ts", F.col("found.at").alias("nearest_at"), segment.alias("segment"))
 
 
-@query("""WITH w AS (SELECT event_id AS span_id, ts AS opens, ts + INTERVAL 3 HOUR AS closes FROM events WHERE event_type = 'signup' AND user_id % 20 = 0)
+@query("""WITH w AS (SELECT event_id AS span_id, ts AS opens, ts + INTERVAL 3 HOUR AS closes FROM events WHERE event_type = 'signup')
 SELECT span_id, count(*) AS events, round(sum(value), 4) AS value FROM w JOIN events e ON e.ts >= opens AND e.ts < closes GROUP BY 1""")
 def range_join(spark, sf_dir):
-    """Events in the three hours from each calendar event, by time buckets."""
-    spans = hours_from(kind(spark, sf_dir, "signup").where("user_id % 20 = 0"))
-    out = pit.range_join(table(spark, sf_dir, "events").select("ts", "value"), spans, "ts", "opens", "closes", 3600)
-    return out.groupBy("span_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    """Events in the three hours from each signup, by running sums, as pairs would grow with the square of the table."""
+    spans = hours_from(kind(spark, sf_dir, "signup"))
+    out = pit.range_sums(table(spark, sf_dir, "events").select("ts", "value"), spans, "span_id", "ts", "value", "opens", "closes", 3600)
+    return out.select("span_id", "events", F.round("value", 4).alias("value"))
 
 
 def hours_from(signups):
@@ -87,10 +90,8 @@ def hours_from(signups):
 
 @query()
 def range_join_whole(spark, sf_dir):
-    """range_join with every signup, by running sums, as pairs grow with the square of the table; its SQL keeps to one user in twenty."""
-    spans = hours_from(kind(spark, sf_dir, "signup"))
-    out = pit.range_sums(table(spark, sf_dir, "events").select("ts", "value"), spans, "span_id", "ts", "value", "opens", "closes", 3600)
-    return out.select("span_id", "events", F.round("value", 4).alias("value"))
+    """range_join, under the name that it had over the whole table."""
+    return range_join(spark, sf_dir)
 
 
 @query("SELECT event_type, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1")
@@ -117,15 +118,15 @@ def three_way_target_scores(spark, sf_dir):
     return out.groupBy("horizon").agg(F.count("*").alias("matched"), F.round(F.avg("a"), 5).alias("mae_a"), F.round(F.avg("b"), 5).alias("mae_b"), F.round(scalars.guarded_corr(F.col("ra"), F.col("rb")), 5).alias("residual_corr"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30")
 def missing_keys(spark, sf_dir):
     """Set difference of keys."""
-    return unmatched(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0"))
+    return unmatched(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
 @query()
 def missing_keys_whole(spark, sf_dir):
-    """missing_keys of every order; its SQL keeps to even keys."""
+    """missing_keys, under the name that it had over the whole table."""
     return unmatched(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
@@ -252,13 +253,13 @@ def weighted_aggregates(spark, sf_dir):
 
 
 HARMONIC = "(SELECT sum(1.0::DOUBLE / i) FROM range(1, m + 1) t(i))"
-P = "fam AS (SELECT l_returnflag AS family, l_orderkey * 10 + l_linenumber AS id, (l_extendedprice * 7919 % 100000) / 100000 * l_discount AS p FROM lineitem WHERE l_orderkey < 400), ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r, count(*) OVER (PARTITION BY family) AS m FROM fam)"
+P = "fam AS (SELECT l_returnflag AS family, l_orderkey * 10 + l_linenumber AS id, (l_extendedprice * 7919 % 100000) / 100000 * l_discount AS p FROM lineitem), ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS r, count(*) OVER (PARTITION BY family) AS m FROM fam)"
 
 
-def families(spark, sf_dir, whole=False):
+def families(spark, sf_dir):
     p = (F.col("l_extendedprice") * 7919 % 100000) / 100000 * F.col("l_discount")
     rows = table(spark, sf_dir, "lineitem")
-    return (rows if whole else rows.where("l_orderkey < 400")).select(F.col("l_returnflag").alias("family"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), p.alias("p"))
+    return rows.select(F.col("l_returnflag").alias("family"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), p.alias("p"))
 
 
 @query(f"""WITH {P}, l AS (SELECT family, p, r, m, p <= 0.05 / m AS bonferroni, p <= 1 - power(0.95, 1.0 / m) AS sidak, p <= 0.05 / (m - r + 1) AS holm, p <= r * 0.05 / (m * {HARMONIC}) AS bypass, least(p * m, 1) AS adj FROM ranked), x AS (
@@ -271,8 +272,8 @@ def multiple_testing(spark, sf_dir):
 
 @query()
 def multiple_testing_whole(spark, sf_dir):
-    """multiple_testing over every row; its SQL keeps to the first orders."""
-    return rejections(families(spark, sf_dir, whole=True))
+    """multiple_testing, under the name that it had over the whole table."""
+    return rejections(families(spark, sf_dir))
 
 
 def rejections(rows):
@@ -292,8 +293,8 @@ def family_rank(spark, sf_dir):
 
 @query()
 def family_rank_whole(spark, sf_dir):
-    """family_rank over every row; its SQL keeps to the first orders."""
-    return inference.ranks(families(spark, sf_dir, whole=True), ["family"]).select("family", "id", F.col("tied").alias("family_rank"))
+    """family_rank, with ranks as they come."""
+    return inference.ranks(families(spark, sf_dir), ["family"]).select("family", "id", F.col("tied").alias("family_rank"))
 
 
 @query()
