@@ -182,3 +182,11 @@ def folds(origins: DataFrame, count: int, purge_hours: int, embargo_hours: int,
     train = origins.select("series", "ts").join(starts, "series").where(F.col("ts") <= edge).select(F.col("chunk").alias("fold"), F.lit("train").alias("role"), "series", "ts")
     enough = train.groupBy("fold", "series").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("fold", "series")
     return train.unionByName(valid).join(enough, ["fold", "series"], "left_semi").select("fold", "role", "series", "ts")
+
+
+def nested_folds(origins: DataFrame, counts: tuple[int, int], purge_hours: int, embargo_hours: int, least: tuple[int, int]) -> DataFrame:
+    """(outer_fold, inner_fold, role, series, ts): folds within the training rows of each outer fold, so that nothing is chosen on its validation rows."""
+    outer = folds(origins, counts[0], purge_hours, embargo_hours, least[0]).where("role = 'train'")
+    apart = outer.select(F.struct("series", F.col("fold").alias("outer_fold")).alias("series"), "ts")
+    inner = folds(apart, counts[1], purge_hours, embargo_hours, least[1])
+    return inner.select("series.outer_fold", F.col("fold").alias("inner_fold"), "role", "series.series", "ts")

@@ -93,3 +93,50 @@ def family(p_values: DataFrame, method: str, alpha: float, by: list[str]) -> Dat
     rejected = F.coalesce(F.col("rank") < F.col("__end"), F.lit(True)) if method == "holm" else F.coalesce(F.col("rank") <= F.col("__end"), F.lit(False))
     both = rows.alias("a").join(ends.alias("b"), reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]))
     return both.select("a.*", F.when(F.col("a.p").isNotNull(), rejected).alias("rejected"))
+
+
+def long_run_z(pairs: DataFrame, gain: str, lags: int, order: str, *by: str) -> DataFrame:
+    """(by, pairs, mean_gain, z): a paired mean over its long-run error, whose autocovariances up to `lags` rows count with Bartlett weights.
+
+    Overlapping forecasts err together, so neighbouring gains aren't
+    independent; a variance below that of independent ones is raised to it.
+    """
+    mean = F.avg(gain).over(W.partitionBy(*by))
+    off = pairs.where(F.col(gain).isNotNull()).withColumn("__off", F.col(gain) - mean)
+    window = W.partitionBy(*by).orderBy(order)
+    shifted = off.withColumns({f"__c{k}": F.col("__off") * (F.lag("__off", k).over(window) if k else F.col("__off")) for k in range(lags + 1)})
+    out = shifted.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(gain).alias("mean_gain"), *[F.sum(f"__c{k}").alias(f"__c{k}") for k in range(lags + 1)])
+    own = F.col("__c0") / F.col("pairs")
+    rest = sum((2 * (1 - k / (lags + 1)) * F.coalesce(f"__c{k}", F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0)) / F.col("pairs")
+    error = F.sqrt(F.greatest(own + rest, own) / F.col("pairs"))
+    return out.select(*by, "pairs", "mean_gain", (F.col("mean_gain") / F.nullif(error, F.lit(0.0))).alias("z"))
+
+
+#: How likely a Poisson variable of mean 1 is at most 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def poisson_weight(key: Column, iteration: Column) -> Column:
+    """How often a bootstrap sample has a row: from a digest of the row's key and the sample's number, so alike wherever it is computed."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key, iteration)), 1, 8), 16, 10).cast("double") / 2**32
+    return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+
+
+def unpaired_bootstrap(rows: DataFrame, value: str, group: str, key: str, one: str, other: str, iterations: int = 100, least: int = 20, lower_is_better: bool = True, *by: str) -> DataFrame:
+    """Difference of two independent groups' means with its 95 % interval and a conclusion.
+
+    Every row is in each sample a Poisson number of times, so a sample is one
+    sum and no task holds a group; the samples' means are aggregated alike.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(group).isin(one, other)).withColumn("__one", F.col(group) == one)
+    drawn = known.select(*by, "__one", value, key, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("__b")).withColumn("__w", poisson_weight(F.col(key).cast("string"), F.col("__b").cast("string")))
+    mean = lambda side: F.sum(F.when(F.col("__one") == side, F.col("__w") * F.col(value))) / F.nullif(F.sum(F.when(F.col("__one") == side, F.col("__w"))), F.lit(0))
+    samples = drawn.groupBy(*by, "__b").agg((mean(True) - mean(False)).alias("diff"), F.count_if("__one").alias("n_one"), F.count_if(~F.col("__one")).alias("n_other"))
+    better = (F.col("diff") < 0) if lower_is_better else (F.col("diff") > 0)
+    out = samples.groupBy(*by).agg(
+        F.max("n_one").alias("n_one"), F.max("n_other").alias("n_other"), F.avg("diff").alias("difference"), F.percentile("diff", F.lit(0.025)).alias("low"),
+        F.percentile("diff", F.lit(0.975)).alias("high"), F.avg(better.cast("int")).alias("p_better"),
+    )
+    good, bad = (F.col("high") < 0, F.col("low") > 0) if lower_is_better else (F.col("low") > 0, F.col("high") < 0)
+    few = F.least("n_one", "n_other") < least
+    return out.withColumn("conclusion", F.when(few, "insufficient").when(good, "better").when(bad, "worse").otherwise("inconclusive"))

@@ -117,3 +117,19 @@ def non_overlapping(signals: DataFrame, *by: str) -> DataFrame:
         return F.struct(F.when(take, x["target_at"]).otherwise(acc["free"]).alias("free"), F.when(take, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
 
     return ordered.select(*by, F.inline(F.aggregate("all", start, step, lambda acc: acc["kept"])))
+
+
+def repaired(stored: DataFrame, recomputed: dict[str, Column], tolerance: float = 1e-6) -> DataFrame:
+    """stored with its columns put right where they are missing or off what is recomputed, and whether any was."""
+    wrong = {c: F.coalesce(F.abs(F.col(c) - x) > tolerance, F.col(c).isNull() != x.isNull()) for c, x in recomputed.items()}
+    out = stored.withColumn("repaired", F.array_contains(F.array(*wrong.values()), True))
+    return out.withColumns({c: F.when(wrong[c], x).otherwise(F.col(c)) for c, x in recomputed.items()})
+
+
+def resolved_features(registry: DataFrame, names: list[str]) -> DataFrame:
+    """features, lineage and feature_set of some names of a registry (name, version, source); an unknown name raises."""
+    wanted = registry.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    found = wanted.join(registry, "name", "left")
+    sure = F.when(F.col("version").isNull(), F.raise_error(F.concat(F.lit("unknown feature "), "name"))).otherwise(F.concat_ws(":", "name", F.col("version").cast("string"), "source"))
+    out = found.agg(F.count("*").alias("features"), F.array_join(F.array_sort(F.collect_list(sure)), ",").alias("lineage"))  # as many as are named
+    return out.withColumn("feature_set", F.sha2("lineage", 256))

@@ -68,9 +68,9 @@ def events(spark, sf_dir):
     return drift.drift_events(signals, stored)
 
 
-EVENTS = f"""{ERRORS}, {windows_sql(FEATURE_ROWS, "feature", 12, 36, "f")},
+EVENTS = f"""{ERRORS}, {windows_sql(FEATURE_ROWS, "feature", 12, 36, "feature_")},
 logged AS (SELECT 'error:' || model || ':' || horizon || 'h' AS signal_key, 'model_error' AS kind, {SAID.format(g="worst")} AS severity FROM drifts
-  UNION ALL SELECT 'feature:' || feature, 'market_feature', {SAID.format(g="grade")} FROM fg WHERE grade < 2),
+  UNION ALL SELECT 'feature:' || feature, 'market_feature', {SAID.format(g="grade")} FROM feature_g WHERE grade < 2),
 appended AS (SELECT (SELECT max(origin_at) FROM scored) AS origin_at, * FROM logged WHERE severity <> 'none')"""
 
 
