@@ -17,8 +17,11 @@ least one with probability 1 - 5e-6, more similar pairs more surely.
    joins: of n shingles in one common order, the first n - ceil(0.75 n) + 1 hold
    one that a partner of similarity 0.75 has among its own first ones. The order
    puts shingles first that only one component has; they join nothing, so sets
-   that share text but not enough of it drop out before anything is paired. The
-   largest component at a shingle is never paired with itself.
+   that share text but not enough of it drop out before anything is paired. In
+   a few rounds each set is first compared with some that are drawn at each of
+   its shingles, which makes one component of a crowd of near copies; only what
+   stays in different ones is paired, and the largest component at a shingle
+   never with itself.
 
 All candidates are confirmed on full sets. Orders are sorted over ranges of
 (order, signature, set), so a crowded region is as many tasks as it fills.
@@ -53,6 +56,10 @@ TREES = 32
 NEAR, DEPTH = 4, 12
 VALUES = NEAR * TREES
 ROUNDS = 3
+#: Rounds of joining components by samples at most, and how few links of its pairs end them: one in so many.
+MERGES, FEW = 8, 50
+#: Sets that are drawn at a shingle in such a round.
+HOSTS = 3
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
 
@@ -171,19 +178,56 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct()
 
 
-def open_pairs(pool: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked; pool: node, component."""
+def prefixes(pool: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, most, shingle): of each set's prefix the shingles that several components have, and how many of all its
+    shingles are such; pool: node, component."""
     held = sets.join(pool, "node").select("node", "digest", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     span = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
     both = held.join(span.where("low <> high").select("shingle", "often"), "shingle")
-    listed = both.groupBy("node", "digest", "component", "n").agg(F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared"))
+    listed = both.groupBy("node", "digest", "n").agg(F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared"))
     reach = F.expr(f"n - ({PERCENT} * n + 99) DIV 100 + 1") - (F.col("n") - F.size("shared"))  # the rest of the prefix is shingles of one component
-    first = written(listed.where(reach > 0).select("node", "component", "n", F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("s")).select("node", "component", "n", "s.shingle"))
-    by = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("components"), F.max_by("component", F.struct("count", "component")).alias("home"))
-    first = written(first.join(by.where("components > 1").select("shingle", "home"), "shingle"))
-    guest, host = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "home")]) for x in "ab")
-    met = guest.where("component_a <> home_a").join(host, "shingle").where("component_a <> component_b")
-    met = met.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    kept = listed.where(reach > 0).select("node", "n", F.size("shared").alias("most"), F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("s"))
+    return written(kept.select("node", "n", "most", "s.shingle"))
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def merged(first: DataFrame, known: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links found by comparing each set with HOSTS sets drawn at each of its shingles, and the components then.
+
+    Near copies by the thousands become one component in a few of these rounds,
+    each linear in the shingles, so that they needn't be paired with each other.
+    Rounds end when few links are found; what is left open is for open_pairs().
+    """
+    links: list[DataFrame] = []
+    for turn in range(MERGES):
+        placed = first.join(known, "node")
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(HOSTS * turn + k)).alias("at"), F.col("node").alias("host"), F.col("n").alias("n_host"), F.col("component").alias("home"))) for k in range(HOSTS)]
+        hosts = placed.groupBy("shingle").agg(F.array(*drawn).alias("h"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hosts = written(hosts.where("low <> high").select("shingle", F.explode(F.array_distinct("h")).alias("h")).select("shingle", "h.host", "h.n_host", "h.home"))
+        guests = placed.join(hosts, "shingle").where((F.col("component") != F.col("home")) & _sizes_fit("n", "n_host"))
+        pairs = written(guests.select(F.least("node", "host").alias("a"), F.greatest("node", "host").alias("b")).distinct())
+        found = written(linked(compared(pairs, sets)).select("a", "b"))
+        links.append(found)
+        name = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        labels = smallest_labels(found.join(name("a"), "a").join(name("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
+        labels = labels.select(F.col("node").alias("component"), F.col("component").alias("label"))
+        known = written(known.join(labels, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
+        if FEW * found.count() < pairs.count():
+            break
+    return links, known
+
+
+def open_pairs(first: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes."""
+    placed = first.join(known, "node")
+    by = placed.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("components"), F.max_by("component", F.struct("count", "component")).alias("home"))
+    placed = written(placed.join(by.where("components > 1").select("shingle", "home"), "shingle"))
+    guest, host = (placed.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "most", "home")]) for x in "ab")
+    met = guest.where("component_a <> home_a").join(host, "shingle").where("component_a <> component_b").where(_sizes_fit("n_a", "n_b"))
+    met = met.where((100 + PERCENT) * F.least("most_a", "most_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -222,9 +266,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = members.select("near", "node").join(known, "node")
     mixed = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     pool = written(placed.join(mixed.select("near"), "near").select("node", "component").distinct())
-    rest = written(open_pairs(pool, sets).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    first = prefixes(pool, sets)
+    more, pool = merged(first, pool, sets)
+    rest = written(open_pairs(prefixes(pool, sets), pool).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     rest = linked(compared(rest, sets)).select("a", "b")
-    component = smallest_labels(links.union(rest).union(copies)).withColumnRenamed("node", "doc_id")
+    component = smallest_labels(reduce(DataFrame.union, [links, *more, rest, copies])).withColumnRenamed("node", "doc_id")
     out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
