@@ -15,7 +15,8 @@ least one with probability 1 - 5e-6, more similar pairs more surely.
 2. Neighbours can miss a link between groups. So all sets of regions whose sets
    aren't all connected by then are joined exactly, by the prefix filter of set
    joins: of n shingles in one common order, the first n - ceil(0.75 n) + 1 hold
-   one that a partner of similarity 0.75 has among its own first ones. The order
+   one that a partner of similarity 0.75 has among its own first ones, and from
+   the first such one on both have as many left as they must share. The order
    puts shingles first that only one component has; they join nothing, so sets
    that share text but not enough of it drop out before anything is paired. In
    a few rounds each set is first compared with some that are drawn at each of
@@ -179,15 +180,15 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 def prefixes(pool: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, most, shingle): of each set's prefix the shingles that several components have, and how many of all its
-    shingles are such; pool: node, component."""
+    """(node, n, left, shingle): of each set's prefix the shingles that several components have, and how many of all its
+    such shingles come no earlier in the order; pool: node, component."""
     held = sets.join(pool, "node").select("node", "digest", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     span = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
     both = held.join(span.where("low <> high").select("shingle", "often"), "shingle")
     listed = both.groupBy("node", "digest", "n").agg(F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared"))
     reach = F.expr(f"n - ({PERCENT} * n + 99) DIV 100 + 1") - (F.col("n") - F.size("shared"))  # the rest of the prefix is shingles of one component
-    kept = listed.where(reach > 0).select("node", "n", F.size("shared").alias("most"), F.explode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("s"))
-    return written(kept.select("node", "n", "most", "s.shingle"))
+    kept = listed.where(reach > 0).select("node", "n", F.size("shared").alias("most"), F.posexplode(F.slice("shared", F.lit(1), reach.cast("int"))).alias("at", "s"))
+    return written(kept.select("node", "n", (F.col("most") - F.col("at")).alias("left"), "s.shingle"))
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -221,13 +222,18 @@ def merged(first: DataFrame, known: DataFrame, sets: DataFrame) -> tuple[list[Da
 
 
 def open_pairs(first: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes."""
+    """Pairs (a, b) of different components that share a shingle of their prefixes and may share enough from there on.
+
+    At the first shingle that two sets have in common, all that they share is left
+    in both lists; so a similar pair passes there, and what shares a frequent
+    passage but too little else isn't paired at all.
+    """
     placed = first.join(known, "node")
     by = placed.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("components"), F.max_by("component", F.struct("count", "component")).alias("home"))
     placed = written(placed.join(by.where("components > 1").select("shingle", "home"), "shingle"))
-    guest, host = (placed.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "most", "home")]) for x in "ab")
-    met = guest.where("component_a <> home_a").join(host, "shingle").where("component_a <> component_b").where(_sizes_fit("n_a", "n_b"))
-    met = met.where((100 + PERCENT) * F.least("most_a", "most_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
+    guest, host = (placed.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left", "home")]) for x in "ab")
+    enough = (100 + PERCENT) * F.least("left_a", "left_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    met = guest.where("component_a <> home_a").join(host, "shingle").where(F.col("component_a") != F.col("component_b")).where(_sizes_fit("n_a", "n_b") & enough)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
