@@ -1,7 +1,7 @@
 import random
 import re
 
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import near_duplicates, open_pairs, prefixes
 
 
 def shingles(text):
@@ -48,6 +48,18 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Sets of one frequent passage and others: all that are similar are paired, and hardly any that share the passage alone."""
+    rng = random.Random(5)
+    sets = {i: set(range(46)) | {rng.randrange(1000 + 40 * (i // 3), 1040 + 40 * (i // 3)) for _ in range(rng.randint(4, 30))} for i in range(90)}
+    pool = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
+    table = spark.createDataFrame([(i, bytes([i]), sorted(s)) for i, s in sets.items()], "node long, digest binary, shingles array<long>")
+    found = {(r["a"], r["b"]) for r in open_pairs(prefixes(pool, table), pool).collect()}
+    every = [(a, b) for a in sets for b in sets if a < b]
+    similar = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert similar and similar <= found and len(found - similar) < len(every) / 10
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
