@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.language_id import op1_language_id
-from tidemark.llm import html_content, importance, lexical, media, mixing, near_dedup, packing, pii, substring_dedup, top_k
+from tidemark.llm import html_content, importance, lexical, media, mixing, near_dedup, packing, pii, secret_scan, substring_dedup, top_k
 from tidemark.llm.sharding import op7_sharding
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_pii": pii.op9_pii,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
         "op11_importance": importance.op11_importance,
+        "op12_secrets": secret_scan.op12_secrets,
         "op13_lexical": lexical.op13_lexical,
     }
 
