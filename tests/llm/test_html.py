@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.html_content import Forest, Model, extract, labelled_pages, labelled_trees, marginals, train
-from tidemark.llm.html_tree import FEATURES, parse
+from tidemark.llm.html_tree import _Tags, FEATURES, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul></nav><!-- ad --><div class="ad">Buy this now.</div>
@@ -69,6 +69,22 @@ def test_deep_pages_take_linear_time(model):
     model.contents(["<div>" * 4000 + "x", "<div>" * 20000 + "</x>" * 20000])
 
 
+def test_hostile_pages_take_linear_time():
+    for page in ("<a " * 500_000, "<a x=' \"" * 200_000, "<a \"'>" * 200_000, "<!" * 500_000, "<aa" * 500_000, "<form><h1>" * 20_000, "<script>" + "</script" * 200_000, "<p>x<table>" + "<center>" * 50_000):
+        parse(page)
+
+
+def test_tags_by_table_are_those_by_expression():
+    """One broken tag in front changes nothing of what follows it."""
+    body = PAGE + "<p class='a > b' id=\"x\">one</p><!-- > --><?x > y><br/><p title='open>two</p>"
+    plain, broken = parse(body), parse(body + "<p x='")
+    assert plain.text == [t for t in broken.text if t != "<p x='"]
+    table = _Tags(body)
+    table._table()
+    for start in (k for k, c in enumerate(body) if c == "<"):
+        assert table.at(start) == _Tags(body).at(start)
+
+
 def test_broken_pages(model):
     for page in ("", " ", "plain", "<", "<p", "<!--", "<!-- x", "<script>", "<p>a</div></p></p>", "<a href='x", "<b><i></b>", "</html>", "<" * 3000, '<p "' * 500, "<div>" * 3000 + "x"):
         parse(page)

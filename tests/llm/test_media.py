@@ -75,5 +75,32 @@ def test_descriptions():
 
 
 def test_hostile_texts_take_linear_time():
-    for part in (b"%PDF-1 x", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1 startxref "):
-        assert media.sniffed(part * (2_000_000 // len(part))) == []
+    riff = lambda k: b"RIFF" + (1_000_000 - 12 * k - 20).to_bytes(4, "little") + b"WAVE"
+    parts = [b"%PDF-1 x", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1 startxref ", b"\0\0\0\x08ftyp", b"GIF89a\0\0\0\0\0\0\0!\xf9\0", b"BM", b"\xff\xd8\xff\xda\0\2"]
+    for part in parts:
+        assert media.sniffed(part * (1_000_000 // len(part))) == []
+    assert media.sniffed(b"".join(riff(k) for k in range(40_000)) + b"fmt \0\0\0\0" * 80_000) == []
+    pages = media.sniffed((b"OggS\0" + bytes(22)) * 30_000)
+    assert len(pages) == 30_000 and pages[0] == ("ogg", 0, 27 * 30_000)
+
+
+def test_paths_are_those_of_a_plain_walk():
+    """Files within files and behind one another, whose paths run together."""
+    rng = random.Random(3)
+    parts = [b"RIFF", b"WAVE", b"fmt ", b"data", b"\4\0\0\0", b"\x3c\0\0\0", b"\0", b"a", media.as_wav(b"x" * 64), b"RIFF\x34\0\0\0WAVEfmt \4\0\0\0abcd", b"data\x14\0\0\0" + bytes(20)]
+
+    def walked(b, at):
+        total = 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+        if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE" or at + total > len(b):
+            return None
+        place, seen = at + 12, set()
+        while place + 8 <= at + total:
+            seen.add(b[place : place + 4])
+            place += 8 + int.from_bytes(b[place + 4 : place + 8], "little")
+            place += place % 2 ^ at % 2
+        return total if {b"fmt ", b"data"} <= seen and abs(place - at - total) <= 1 else None
+
+    for _ in range(4000):
+        data = b"".join(rng.choices(parts, k=rng.randint(0, 30)))
+        want = [(at, walked(data, at)) for at in range(len(data)) if data.startswith(b"RIFF", at) and walked(data, at)]
+        assert [(at, n) for kind, at, n in media.sniffed(data) if kind == "wav"] == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 #: Element names by what they do to text.
@@ -35,10 +36,11 @@ FEATURES = OWN + len(WITHIN) + len(HINTS)
 FRAMED = frozenset("h1 article main".split())
 
 _TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>)""", re.S)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_MARK = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 
 
 @dataclass
@@ -97,10 +99,55 @@ def inherited(tree: Tree) -> None:
         tree.features[k] = (*tree.features[k], *above[k])
 
 
+class _Tags:
+    """Tags of a page by where they begin, as (end, whether an end tag, name, attributes); (end,) for what isn't one.
+
+    A regular expression does as long as it finds a tag at every `<`. From the
+    first one on that it doesn't, the ends come from a table of the page's `>` and
+    quotes, which says for each where a tag ends that goes on there: at the first
+    `>` outside of quotes, or, with a quote open, at the first of all.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.marks = page, None
+
+    def _table(self) -> None:
+        found = [(m.start(), m[0]) for m in _MARK.finditer(self.page)]
+        self.marks = [p for p, _ in found]
+        self.close: list[int | None] = [None] * (len(found) + 1)
+        self.outside: list[int | None] = [None] * (len(found) + 1)
+        last: dict[str, int] = {}
+        for k in range(len(found) - 1, -1, -1):
+            place, c = found[k]
+            self.close[k] = place if c == ">" else self.close[k + 1]
+            self.outside[k] = place if c == ">" else self.outside[last[c] + 1] if c in last else None
+            last[c] = k
+
+    def at(self, start: int) -> tuple | None:
+        page = self.page
+        if self.marks is None or page.startswith("<!--", start):
+            if m := _TOKEN.match(page, start):
+                return (m.end(),) if m.lastindex is None else (m.end(), m[1], m[2], m[3])
+            self._table()
+        first = bisect_left(self.marks, start)
+        close = self.close[first]
+        if close is None:
+            return None
+        if page[start + 1] in "!?":
+            return (close + 1,)
+        if (m := _NAME.match(page, start)) is None:
+            return None
+        end = self.outside[bisect_left(self.marks, m.end())]
+        end = close if end is None else end
+        return end + 1, m[1], m[2], page[m.end() : end]
+
+
 def parse(page: str) -> Tree:
     """The page's tree; end tags may be missing, and quotes or comments open."""
-    tree = Tree()
-    opened: dict[str, int] = {}
+    tree, tags = Tree(), _Tags(page)
+    opened: dict[str, list[int]] = {}  # where in the stack an element is
+    barriers: list[int] = []
+    forms: list[int] = []  # open forms that hold nothing yet that shows a frame
     stack: list[tuple[str, int]] = [("html", tree.add(-1, None, element_features("html", "")))]
     run: list[str] = []
     anchors = linked = silent = 0
@@ -118,20 +165,19 @@ def parse(page: str) -> Tree:
     def close(upto: int) -> None:
         nonlocal silent
         flush()
-        for t, _ in stack[upto:]:
+        for t, node in reversed(stack[upto:]):
             silent -= t in SILENT
-            opened[t] -= 1
+            opened[t].pop()
+            if t in BARRIERS:
+                barriers.pop()
+            if forms and forms[-1] == node:
+                forms.pop()
         del stack[upto:]
 
-    def open_at(names: frozenset, barriers: frozenset) -> int | None:
-        if not any(opened.get(t) for t in names):
-            return None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in barriers:
-                return None
-        return None
+    def open_at(names: frozenset, bounded: bool) -> int | None:
+        """The innermost open element of these names, unless bounded and beyond a barrier."""
+        k = max((opened[t][-1] for t in names if opened.get(t)), default=None)
+        return None if k is None or bounded and barriers and barriers[-1] > k else k
 
     def say(piece: str) -> None:
         nonlocal linked
@@ -147,16 +193,16 @@ def parse(page: str) -> Tree:
         if start < 0:
             say(page[at:])
             break
-        m = _TOKEN.match(page, start) or _LOOSE.match(page, start)
-        if m is None:
+        found = tags.at(start)
+        if found is None:
             say(page[at : start + 1])
             at = start + 1
             continue
         say(page[at:start])
-        at = m.end()
-        if m.lastindex is None:
+        at = found[0]
+        if len(found) == 1:
             continue
-        ending, tag, attributes = m[1], m[2].lower(), m[3]
+        ending, tag, attributes = found[1], found[2].lower(), found[3]
         if tag in INLINE:
             if tag == "a":
                 anchors = 0 if ending else 1
@@ -164,7 +210,7 @@ def parse(page: str) -> Tree:
                 run.append(" ")
             continue
         if ending:
-            k = open_at(frozenset([tag]), frozenset())
+            k = open_at(frozenset([tag]), False)
             if k is not None:
                 close(k)
                 anchors = 0
@@ -174,25 +220,30 @@ def parse(page: str) -> Tree:
         if tag == "html":
             continue
         if tag in CLOSES:
-            if (k := open_at(CLOSES[tag], BARRIERS)) is not None:
+            if (k := open_at(CLOSES[tag], True)) is not None:
                 close(k)
-        elif tag not in SILENT and (k := open_at(frozenset(["p"]), BARRIERS)) is not None:
+        elif tag not in SILENT and (k := open_at(frozenset(["p"]), True)) is not None:
             close(k)
         if tag in RAW and not attributes.endswith("/"):
             end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
             continue
         flush()
         if tag in VOID:
             continue
         anchors = 0
         silent += tag in SILENT
-        if tag in FRAMED and opened.get("form"):
-            for t, node in stack:
-                if t == "form":
-                    tree.features[node] = (TAG["div"], *tree.features[node][1:])
-        opened[tag] = opened.get(tag, 0) + 1
+        if tag in FRAMED:
+            for node in forms:
+                tree.features[node] = (TAG["div"], *tree.features[node][1:])
+            forms.clear()
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
         stack.append((tag, tree.add(stack[-1][1], None, element_features(tag, attributes))))
+        if tag == "form":
+            forms.append(stack[-1][1])
     close(1)
     inherited(tree)
     return tree

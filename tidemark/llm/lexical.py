@@ -363,7 +363,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST, doc_id: str = "doc_
         first = index.where(F.col("block").isin(list(seeds)))
         for r in top(scores_of(first, asked, least, documents, length, k, item_type, seeds), k).where(F.col("rank") == k).collect():  # a row a query
             least[place[r["item_id"]]] = r["score"]
-        alive = index.join(reaching(index, asked, least), "block").sortWithinPartitions(F.col("reach").desc())
+        alive = index.join(written(reaching(index, asked, least)), "block").sortWithinPartitions(F.col("reach").desc())
         found.append(written(scores_of(alive, asked, least, documents, length, k, item_type)))
     drop_table(index)
     drop_table(queries)

@@ -11,6 +11,11 @@ samples of a WAVE, a bitmap or a PNG image; which, the payload's checksum says.
 finds the medium again by sniffing, parses the stored bytes and computes
 everything from what it reads back.
 
+Paths of chunks, blocks, pages and boxes are remembered by place, so many headers
+on one path cost no more than one: time grows in proportion for every format that
+a text can hold. Binary data can still make PNG's checksums and gzip's streams,
+whose magic bytes no text has, overlap and be read once for each header.
+
 Defined results: a null text or payload is an empty one; an empty payload has no
 type; repeated rows repeat; columns named like the results are replaced and all
 others pass through.
@@ -25,7 +30,7 @@ import sys
 import types
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -88,18 +93,70 @@ def as_png(samples: bytes) -> bytes:
 STORES = (as_wav, as_bmp, as_png)
 
 
+class _Chain:
+    """Places of a buffer, each with the one after it. However many paths lead over a place, it is looked at once.
+
+    step(place) gives the next place, or None where the path ends, and a kind;
+    of every place the end of its path is known, and for each of the sought
+    kinds the first place that has it. A jump goes far ahead on the path, so
+    that the first place beyond a given one is found in a logarithm's steps.
+    """
+
+    def __init__(self, step: Callable[[int], tuple[int | None, bytes]], sought: tuple[bytes, ...]):
+        self.step, self.sought, self.known = step, sought, {}
+
+    def of(self, place: int) -> tuple[int, int, int, int, tuple[int | None, ...]]:
+        """next, jump, steps to the end, end, and the first places of the sought kinds."""
+        new = []
+        while place not in self.known:
+            after, kind = self.step(place)
+            new.append((place, after, kind))
+            if after is None:
+                break
+            place = after
+        for here, after, kind in reversed(new):
+            if after is None:
+                self.known[here] = (here, here, 0, here, tuple(here if kind == x else None for x in self.sought))
+                continue
+            _, jump, steps, end, first = self.known[after]
+            _, beyond, from_jump, _, _ = self.known[jump]
+            far = beyond if steps - from_jump == from_jump - self.known[beyond][2] else after
+            self.known[here] = (after, far, steps + 1, end, tuple(here if kind == x else f for x, f in zip(self.sought, first)))
+        return self.known[new[0][0] if new else place]
+
+    def beyond(self, place: int, bound: int) -> int:
+        """The first place on the path beyond the bound, or its end."""
+        while place <= bound:
+            after, jump, _, end, _ = self.of(place)
+            if place == end:
+                break
+            place = jump if jump <= bound else after
+        return place
+
+
+@lru_cache(maxsize=4)
+def _riff_chain(b: bytes, odd: int) -> _Chain:
+    """Chunks that begin at places as odd or even as their file."""
+
+    def step(place: int):
+        if place + 8 > len(b):
+            return None, b""
+        after = place + 8 + int.from_bytes(b[place + 4 : place + 8], "little")
+        return after + (after % 2 ^ odd), b[place : place + 4]
+
+    return _Chain(step, (b"fmt ", b"data"))
+
+
 def _wav_length(b: bytes, at: int) -> int | None:
     if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     total = 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if at + total > len(b):
         return None
-    place, seen = at + 12, set()
-    while place + 8 <= at + total:
-        seen.add(b[place : place + 4])
-        place += 8 + int.from_bytes(b[place + 4 : place + 8], "little")
-        place += place % 2 ^ at % 2
-    return total if {b"fmt ", b"data"} <= seen and abs(place - at - total) <= 1 else None
+    chain, last = _riff_chain(b, at % 2), at + total - 8
+    if last < at + 12 or any(x is None or x > last for x in chain.of(at + 12)[4]):
+        return None
+    return total if abs(chain.beyond(at + 12, last) - at - total) <= 1 else None
 
 
 def _bmp_length(b: bytes, at: int) -> int | None:
@@ -111,52 +168,75 @@ def _bmp_length(b: bytes, at: int) -> int | None:
     return total if good else None
 
 
+@lru_cache(maxsize=2)
+def _png_chain(b: bytes) -> _Chain:
+    def step(place: int):
+        end = place + 12 + int.from_bytes(b[place : place + 4], "big")
+        if place + 12 > len(b) or end > len(b) or zlib.crc32(b[place + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+            return None, b""
+        kind = b[place + 4 : place + 8]
+        return (None if kind == b"IEND" else end), kind
+
+    return _Chain(step, (b"IEND",))
+
+
 def _png_length(b: bytes, at: int) -> int | None:
-    place, first = at + 8, True
-    while place + 12 <= len(b):
-        size, kind = int.from_bytes(b[place : place + 4], "big"), b[place + 4 : place + 8]
-        end = place + 12 + size
-        if end > len(b) or (first and (kind != b"IHDR" or size != 13)) or zlib.crc32(b[place + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
-            return None
-        if kind == b"IEND":
-            return end - at
-        place, first = end, False
-    return None
+    if b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
+    end = _png_chain(b).of(at + 8)[4][0]
+    return None if end is None else end + 12 + int.from_bytes(b[end : end + 4], "big") - at
+
+
+@lru_cache(maxsize=2)
+def _gif_chain(b: bytes) -> _Chain:
+    """Twice a place where a block begins, and one more where a part of its data does."""
+
+    def step(twice: int):
+        place = twice // 2
+        if place >= len(b):
+            return None, b""
+        lead = b[place]
+        if twice % 2:
+            return 2 * (place + 1 + lead) + (lead > 0), b""
+        if lead == 0x2C and place + 10 < len(b):
+            return 2 * (place + 10 + (3 << (b[place + 9] & 7) + 1 if b[place + 9] & 128 else 0) + 1) + 1, b""
+        if lead == 0x21:
+            return 2 * (place + 2) + 1, b""
+        return None, b"\x3b" if lead == 0x3B else b""
+
+    return _Chain(step, (b"\x3b",))
 
 
 def _gif_length(b: bytes, at: int) -> int | None:
     if len(b) - at < 14 or b[at + 4 : at + 6] not in (b"7a", b"9a"):
         return None
-    place = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    while place < len(b):
-        lead, place = b[place], place + 1
-        if lead == 0x3B:
-            return place - at
-        if lead == 0x2C and place + 9 < len(b):
-            place += 9 + (3 << (b[place + 8] & 7) + 1 if b[place + 8] & 128 else 0) + 1
-        elif lead == 0x21:
-            place += 1
-        else:
-            return None
-        while place < len(b) and b[place]:
-            place += 1 + b[place]
-        place += 1
-    return None
+    first = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
+    end = _gif_chain(b).of(2 * first)[4][0]
+    return None if end is None else end // 2 + 1 - at
 
 
-def _jpeg_length(b: bytes, at: int) -> int | None:
-    place = at + 2
-    while place + 2 <= len(b) and b[place] == 0xFF:
+@lru_cache(maxsize=2)
+def _jpeg_chain(b: bytes) -> _Chain:
+    marks = [m.start() for m in re.finditer(rb"\xff(?=[^\0\xd0-\xd7])", b, re.S)]
+
+    def step(place: int):
+        if place + 2 > len(b) or b[place] != 0xFF:
+            return None, b""
         kind = b[place + 1]
         if kind == 0xD9:
-            return place + 2 - at
-        place += 2 + int.from_bytes(b[place + 2 : place + 4], "big")
+            return None, b"\xd9"
+        after = place + 2 + int.from_bytes(b[place + 2 : place + 4], "big")
         if kind == 0xDA:
-            while (place := b.find(b"\xff", place)) >= 0 and place + 1 < len(b) and (b[place + 1] == 0 or 0xD0 <= b[place + 1] <= 0xD7):
-                place += 2
-            if place < 0:
-                return None
-    return None
+            k = bisect_left(marks, after)
+            return (marks[k] if k < len(marks) else None), b""
+        return after, b""
+
+    return _Chain(step, (b"\xd9",))
+
+
+def _jpeg_length(b: bytes, at: int) -> int | None:
+    end = _jpeg_chain(b).of(at + 2)[4][0]
+    return None if end is None else end + 2 - at
 
 
 def _flac_length(b: bytes, at: int) -> int | None:
@@ -164,15 +244,23 @@ def _flac_length(b: bytes, at: int) -> int | None:
     return len(b) - at if good else None
 
 
-def _ogg_length(b: bytes, at: int) -> int | None:
-    place = at
-    while place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
+@lru_cache(maxsize=2)
+def _ogg_chain(b: bytes) -> _Chain:
+    """Pages; a path with one that is cut off has the kind of that."""
+
+    def step(place: int):
+        if place + 27 > len(b) or b[place : place + 5] != b"OggS\0":
+            return None, b""
         n = b[place + 26]
         end = place + 27 + n + sum(b[place + 27 : place + 27 + n])
-        if end > len(b):
-            return None
-        place = end
-    return place - at or None
+        return (end, b"") if end <= len(b) else (None, b"cut")
+
+    return _Chain(step, (b"cut",))
+
+
+def _ogg_length(b: bytes, at: int) -> int | None:
+    _, _, _, end, (cut,) = _ogg_chain(b).of(at)
+    return None if cut is not None else end - at or None
 
 
 def _gzip_length(b: bytes, at: int) -> int | None:
@@ -212,15 +300,20 @@ def _zip_length(b: bytes, at: int) -> int | None:
     return _zip_ends(b)[at] - at if at in _zip_ends(b) else None
 
 
-def _mp4_length(b: bytes, at: int) -> int | None:
-    place, kinds = at, []
-    while place + 8 <= len(b):
+@lru_cache(maxsize=2)
+def _mp4_chain(b: bytes) -> _Chain:
+    def step(place: int):
         size, kind = int.from_bytes(b[place : place + 4], "big"), b[place + 4 : place + 8]
-        if size < 8 or place + size > len(b) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        place += size
-    return place - at if kinds[:1] == [b"ftyp"] and b"moov" in kinds else None
+        if place + 8 > len(b) or size < 8 or place + size > len(b) or not kind.isalnum():
+            return None, b""
+        return place + size, kind
+
+    return _Chain(step, (b"moov",))
+
+
+def _mp4_length(b: bytes, at: int) -> int | None:
+    _, _, _, end, (moov,) = _mp4_chain(b).of(at)
+    return None if moov is None else end - at
 
 
 def _pdf_length(b: bytes, at: int) -> int | None:
