@@ -116,6 +116,13 @@ def _wide(raw: bytes, count: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // count}").astype(np.int64) if count else np.zeros(0, np.int64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one by one; packed numbers stay where they are."""
+    packed = [pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) for c in batch.columns]
+    for i in range(batch.num_rows):
+        yield {n: c[i].as_buffer() if raw else c[i].as_py() for n, c, raw in zip(batch.schema.names, batch.columns, packed)}
+
+
 _KINDS = ("vocabulary", "held_by", "maxima", "lengths", "sizes", "codes", "often")
 
 
@@ -212,7 +219,7 @@ def weigh(rows: list, index: DataFrame, documents: int) -> Queries:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(held.value.vocabulary), np.int64)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 mine, theirs = held.value.places(np.frombuffer(r["vocabulary"], "<u8"))
                 total[mine] += _wide(r["held_by"], r["n_terms"])[theirs]
         found = np.flatnonzero(total)
@@ -253,8 +260,7 @@ def scores_of(blocks: DataFrame, asked: Queries, least: np.ndarray, documents: i
         best = [Best(k, x) for x in least.tolist()]
         ends = np.append(asked.first[1:], len(asked.terms))
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
+            for r in _rows(batch):
                 vocabulary = np.frombuffer(r["vocabulary"], "<u8")
                 bounds = asked.bounds(vocabulary, _wide(r["maxima"], r["n_terms"]))
                 todo = [q for q in (range(len(best)) if only is None else only[r["block"]]) if bounds[q] >= best[q].least]
@@ -306,7 +312,7 @@ def highest_bounds(index: DataFrame, asked: Queries) -> dict[int, list[int]]:
         n = len(held.value.ids)
         high, at = np.zeros((SEEDS, n), np.int64), np.full((SEEDS, n), -1)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 low = high.argmin(axis=0)
                 bounds = held.value.bounds(np.frombuffer(r["vocabulary"], "<u8"), _wide(r["maxima"], r["n_terms"]))
                 q = np.flatnonzero(bounds > high[low, np.arange(n)])
@@ -330,7 +336,7 @@ def reaching(index: DataFrame, asked: Queries, least: np.ndarray) -> DataFrame:
         asked, least = held.value
         for batch in batches:
             blocks, reach = [], []
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 over = (asked.bounds(np.frombuffer(r["vocabulary"], "<u8"), _wide(r["maxima"], r["n_terms"])) / least).max()
                 if over >= 1:
                     blocks.append(r["block"])
