@@ -158,7 +158,7 @@ def stale_policy(age_hours: Column, threshold_hours: float, exclude_hours: float
     return F.when(age_hours.isNull(), "exclude").when(age_hours <= threshold_hours, "fresh").when(age_hours <= exclude_hours, "downgrade").otherwise("exclude")
 
 
-def bounded_normalize(weights: Column, floor: float = 0.03, cap: float = 0.55, rounds: int = 100) -> Column:
+def bounded_normalize(weights: Column, floor: float = 0.03, cap: float | Column = 0.55, rounds: int = 100) -> Column:
     """An array of weights scaled by one factor, clipped to [floor, cap], so that they sum to 1.
 
     The factor is found by bisection inside a higher-order function; if the

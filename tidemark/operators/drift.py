@@ -40,13 +40,18 @@ def two_windows(rows: DataFrame, value: str, at: str, recent: int, before: int,
     last = newest_rows(known, recent + before, *by).withColumn("new", F.col("back") <= recent)
     kept = lambda new: F.sort_array(F.collect_list(F.when(F.col("new") == new, F.col(value))))
     both = last.groupBy(*by).agg(kept(True).alias("x"), kept(False).alias("y")).where((F.size("x") == recent) & (F.size("y") == before))
-    both = both.withColumns({"median_before": middle(F.col("y")), "median_recent": middle(F.col("x"))})
+    return compared_windows(both).select(*by, "median_before", "median_recent", "shift", "ks")
+
+
+def compared_windows(rows: DataFrame) -> DataFrame:
+    """rows (x and y, the sorted values of the recent and the earlier window) with their medians, the robust shift and the distance."""
+    both = rows.withColumns({"median_before": middle(F.col("y")), "median_recent": middle(F.col("x"))})
     mad = middle(F.sort_array(F.transform("y", lambda v: F.abs(v - F.col("median_before")))))
     scale = F.greatest(1.4826 * mad, 0.1 * F.abs("median_before"), F.lit(1e-6))
     below = lambda name, v: F.size(F.filter(name, lambda u: u <= v)) / F.size(name)
     ks = F.array_max(F.transform(F.concat("x", "y"), lambda v: F.abs(below("x", v) - below("y", v))))
     shift = F.abs(F.col("median_recent") - F.col("median_before")) / scale
-    return both.select(*by, "median_before", "median_recent", F.round(shift, 6).alias("shift"), F.round(ks, 6).alias("ks"))
+    return both.withColumns({"shift": F.round(shift, 6), "ks": F.round(ks, 6)})
 
 
 def distribution_grade(limits: Thresholds) -> Column:
