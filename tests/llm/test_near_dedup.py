@@ -63,3 +63,21 @@ def test_no_similar_pair_is_left_out(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    """Sets that share much, but not enough, aren't paired at all, though their shingles are frequent."""
+    from tidemark.llm import near_dedup
+    from pyspark.sql import functions as F
+
+    common = " ".join(f"t{i}" for i in range(84))
+    docs = spark.createDataFrame([(i, f"{common} " + " ".join(f"u{i}x{k}" for k in range(16))) for i in range(600)], "doc_id long, text string")
+    shingles = F.expr("transform(sequence(0, 95), i -> xxhash64(array_join(slice(split(text, ' '), i + 1, 5), ' ')))")
+    sets = docs.select(F.col("doc_id").alias("node"), F.xxhash64("doc_id").cast("string").cast("binary").alias("digest"), shingles.alias("shingles"))
+    known = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+    first = near_dedup.prefixes(known, sets)
+    assert first.count() > 0
+    guests, hosts = near_dedup.sizes_met(first), first.withColumn("class", near_dedup.size_class(F.col("n")))
+    assert guests.join(hosts, ["shingle", "class"]).count() == 0
+    out = near_dedup.near_duplicates(docs)
+    assert out.where("kept").count() == 600

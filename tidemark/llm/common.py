@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,24 +32,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Rows of a small table to one file, and its least number of files.
+FILE_ROWS, LEAST_FILES = 250_000, 8
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written once to the shared folder and read back.
 
     Cuts the lineage: a lost executor makes Spark read the table again, not
-    compute it again, and later uses read only the columns they need.
+    compute it again, and later uses read only the columns they need. rows: how
+    many there are at most, where that is known; few rows become few files,
+    whatever the number of partitions, as each file costs more than its rows.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"tidemark-{uuid.uuid4().hex}")
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by written(); nothing may read it afterwards."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Where the tables of written() are, by the frame that reads them.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by written(); nothing may read them afterwards."""
+    for df in tables:
+        held, name = _PATHS.pop(id(df), (None, ""))
+        if held is not None and held() is df:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -70,27 +86,26 @@ def smallest_labels(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
     on a hub's key are split by adaptive execution.
     """
     edges = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component")))
+    left = edges.count()
+    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component")), 2 * left)
+    named = nodes.count()
     for _ in range(rounds):
-        if edges.isEmpty():
+        if not left:
+            drop_table(edges)
             return nodes
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("to")))
-        step = written(both.groupBy("node").agg(F.min("to").alias("to")))
+        step = written(both.groupBy("node").agg(F.min("to").alias("to")), 2 * left)
         for _ in range(2):
             over = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = written(step.join(over, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
-        nodes = written(
-            nodes.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        )
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
-        edges = written(
-            edges.join(left, "a")
-            .join(right, "b")
-            .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-            .where("a < b")
-            .distinct()
-        )
+            further = written(step.join(over, "to", "left").select("node", F.coalesce("next", "to").alias("to")), 2 * left)
+            drop_table(step)
+            step = further
+        found = nodes.join(step.select(F.col("node").alias("component"), "to"), "component", "left")
+        found = written(found.select("node", F.coalesce("to", "component").alias("component")), named)
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b")
+        rest = written(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a < b").distinct(), left)
+        drop_table(nodes, edges, step)
+        nodes, edges, left = found, rest, rest.count()
     raise RuntimeError(f"components not found in {rounds} rounds")
 
 

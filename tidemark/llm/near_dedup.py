@@ -37,6 +37,7 @@ the id and text columns are read. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import read, smallest_labels, written
+from tidemark.llm.common import drop_table, read, smallest_labels, written
 from tidemark.llm.shingles import shingle_sets, signatures
 
 WIDTH = 5
@@ -61,6 +62,8 @@ ROUNDS = 3
 MERGES, FEW = 8, 50
 #: Sets that are drawn at a shingle in such a round.
 HOSTS = 3
+#: Width of the classes of set sizes in which pairs are looked for.
+SIZE_STEP = 0.05
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 17
 
@@ -202,7 +205,7 @@ def merged(first: DataFrame, known: DataFrame, sets: DataFrame) -> tuple[list[Da
     each linear in the shingles, so that they needn't be paired with each other.
     Rounds end when few links are found; what is left open is for open_pairs().
     """
-    links: list[DataFrame] = []
+    links, nodes = [], known.count()
     for turn in range(MERGES):
         placed = first.join(known, "node")
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(HOSTS * turn + k)).alias("at"), F.col("node").alias("host"), F.col("n").alias("n_host"), F.col("component").alias("home"))) for k in range(HOSTS)]
@@ -210,30 +213,48 @@ def merged(first: DataFrame, known: DataFrame, sets: DataFrame) -> tuple[list[Da
         hosts = written(hosts.where("low <> high").select("shingle", F.explode(F.array_distinct("h")).alias("h")).select("shingle", "h.host", "h.n_host", "h.home"))
         guests = placed.join(hosts, "shingle").where((F.col("component") != F.col("home")) & _sizes_fit("n", "n_host"))
         pairs = written(guests.select(F.least("node", "host").alias("a"), F.greatest("node", "host").alias("b")).distinct())
-        found = written(linked(compared(pairs, sets)).select("a", "b"))
+        many = pairs.count()
+        found = written(linked(compared(pairs, sets)).select("a", "b"), 4 * many)
         links.append(found)
         name = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         labels = smallest_labels(found.join(name("a"), "a").join(name("b"), "b").select("c_a", "c_b"), "c_a", "c_b")
         labels = labels.select(F.col("node").alias("component"), F.col("component").alias("label"))
-        known = written(known.join(labels, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
-        if FEW * found.count() < pairs.count():
+        before, known = known, written(known.join(labels, "component", "left").select("node", F.coalesce("label", "component").alias("component")), nodes)
+        drop_table(before, hosts, pairs)
+        if FEW * found.count() < many:
             break
     return links, known
 
 
+def sizes_met(entries: DataFrame) -> DataFrame:
+    """entries (n, left) once for each class of sizes that a partner may have.
+
+    At the first shingle that two sets have in common, all that they share is left
+    in both lists, so a partner's size is between three quarters of a set's own
+    and what the rest of the list suffices for. Classes are SIZE_STEP wide.
+    """
+    low = F.expr(f"({PERCENT} * n + 99) DIV 100")
+    high = F.least(F.expr(f"100 * n DIV {PERCENT}"), F.expr(f"(100 + {PERCENT}) * left DIV {PERCENT} - n"))
+    return entries.where(low <= high).withColumn("class", F.explode(F.sequence(size_class(low), size_class(high))))
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(1 + SIZE_STEP)).cast("int")
+
+
 def open_pairs(first: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle of their prefixes and may share enough from there on.
 
-    At the first shingle that two sets have in common, all that they share is left
-    in both lists; so a similar pair passes there, and what shares a frequent
-    passage but too little else isn't paired at all.
+    The join is on the shingle and the class of sizes, so what shares a frequent
+    passage but too little else doesn't meet at all.
     """
     placed = first.join(known, "node")
     by = placed.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("components"), F.max_by("component", F.struct("count", "component")).alias("home"))
     placed = written(placed.join(by.where("components > 1").select("shingle", "home"), "shingle"))
-    guest, host = (placed.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "left", "home")]) for x in "ab")
+    guests = sizes_met(placed.where("component <> home")).withColumnsRenamed({c: f"{c}_a" for c in ("node", "component", "n", "left")}).drop("home")
+    hosts = placed.withColumn("class", size_class(F.col("n"))).withColumnsRenamed({c: f"{c}_b" for c in ("node", "component", "n", "left")}).drop("home")
     enough = (100 + PERCENT) * F.least("left_a", "left_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    met = guest.where("component_a <> home_a").join(host, "shingle").where(F.col("component_a") != F.col("component_b")).where(_sizes_fit("n_a", "n_b") & enough)
+    met = guests.join(hosts, ["shingle", "class"]).where(F.col("component_a") != F.col("component_b")).where(_sizes_fit("n_a", "n_b") & enough)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -259,24 +280,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     placed = members.drop("node").join(single, "digest")
     beside = written(adjacent(placed.select("tree", order_key(F.col("tree"), DEPTH).alias("key"), "node")))
+    many, near = compare.count(), beside.count()
     tests: list[DataFrame] = []
     waiting = beside
     for _ in range(ROUNDS):
-        tests.append(written(compared(nearest(waiting), sets)))
+        tests.append(written(compared(nearest(waiting), sets), many))
         found = linked(tests[-1]).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        waiting = waiting.join(tests[-1].select("a", "b"), ["a", "b"], "left_anti")
-        waiting = written(waiting.join(found.withColumnRenamed("node", "a"), "a", "left_anti").join(found.withColumnRenamed("node", "b"), "b", "left_anti"))
+        rest = waiting.join(tests[-1].select("a", "b"), ["a", "b"], "left_anti")
+        rest = written(rest.join(found.withColumnRenamed("node", "a"), "a", "left_anti").join(found.withColumnRenamed("node", "b"), "b", "left_anti"), near)
+        drop_table(waiting)
+        waiting = rest
     tested = reduce(DataFrame.union, tests)
-    links = written(linked(tested).select("a", "b"))
-    known = written(compare.join(smallest_labels(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    links = written(linked(tested).select("a", "b"), ROUNDS * many)
+    labels = smallest_labels(links)
+    known = written(compare.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), many)
     placed = members.select("near", "node").join(known, "node")
     mixed = placed.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    pool = written(placed.join(mixed.select("near"), "near").select("node", "component").distinct())
+    pool = written(placed.join(mixed.select("near"), "near").select("node", "component").distinct(), many)
+    drop_table(waiting, labels, known, members, compare)
     first = prefixes(pool, sets)
     more, pool = merged(first, pool, sets)
-    rest = written(open_pairs(prefixes(pool, sets), pool).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    rest = linked(compared(rest, sets)).select("a", "b")
-    component = smallest_labels(reduce(DataFrame.union, [links, *more, rest, copies])).withColumnRenamed("node", "doc_id")
+    drop_table(first)
+    first = prefixes(pool, sets)
+    rest = written(open_pairs(first, pool).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    last = written(linked(compared(rest, sets)).select("a", "b"))
+    component = smallest_labels(reduce(DataFrame.union, [links, *more, last, copies])).withColumnRenamed("node", "doc_id")
+    drop_table(first, pool, rest, last, sets, single, links, *more, *tests)
     out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
