@@ -66,3 +66,54 @@ def test_unknown_features_raise(spark):
     assert store.resolved_features(registry, ["a"]).first()["features"] == 1
     with pytest.raises(Exception, match="unknown feature"):
         store.resolved_features(registry, ["a", "z"]).collect()
+
+
+def bars_of(spark, spec):
+    """series to candles: hours from the start, with a close and a volume."""
+    rows = [(s, hour(k), c, c, c, c, v) for s, points in spec.items() for k, c, v in points]
+    return spark.createDataFrame(rows, "series string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+
+
+def test_every_branch_of_provider_selection(spark):
+    good, holed, far = [(k, 10.0, 5.0) for k in range(40)], [(k, 10.0, 5.0) for k in range(40) if k != 7], [(k, 90.0, 5.0) for k in range(40)]
+    bad = [(k, 10.0 if k else -1.0, 5.0) for k in range(40)]
+    primary = {"well": good, "differ": good, "unwell_differ": good, "cut": holed, "apart": [(k - 100, c, v) for k, c, v in holed], "bad": holed}
+    secondary = {"well": good, "differ": far, "unwell_differ": [(k, c, v) for k, c, v in far if k != 9], "cut": good, "apart": good, "bad": [x for x in bad if x[0] != 9], "gone": good, "gone_bad": bad}
+    now = F.lit(hour(40))
+    out = monitoring.selected_source(bars_of(spark, primary), bars_of(spark, secondary), ["missing_interval", "non_positive_price"], now).collect()
+    assert {r["series"]: (r["reason"], r["source"]) for r in out} == {
+        "well": ("primary_healthy", "primary"), "differ": ("providers_disagree", None), "unwell_differ": ("providers_disagree", None), "cut": ("failover", "secondary"),
+        "apart": ("failover_without_agreement", None), "bad": ("none_healthy", None), "gone": ("primary_outage", "secondary"), "gone_bad": ("none_healthy", None),
+    }
+
+
+def test_withheld_forecasts_raise_an_alert(spark):
+    report = spark.createDataFrame([("a", 0, 2, "withhold"), ("b", 0, 5, "withhold"), ("c", 0, 0, "withhold"), ("d", 9, 0, "none"), ("e", 0, 0, None)], "series string, gaps long, withhold_gaps long, policy string")
+    alerts = monitoring.threshold_alerts(report, {"gaps": (0, 9), "withhold_gaps": (0, 3)}, "series", F.col("policy") == "withhold")
+    assert sorted(tuple(r) for r in alerts.collect()) == [
+        ("a", "forecast_withheld", 2, "critical", 3), ("b", "withhold_gaps", 5, "critical", 3), ("c", "forecast_withheld", 1, "critical", 3), ("d", "gaps", 9, "critical", 9)
+    ]
+    assert {r["series"]: (r["level"], r["alerts"]) for r in monitoring.overall_level(alerts, "series", report).collect()} == {"a": ("critical", 1), "b": ("critical", 1), "c": ("critical", 1), "d": ("critical", 1), "e": ("ok", 0)}
+
+
+def test_every_code_of_the_validator(spark):
+    from tidemark.operators.candles import QualityLimits, quality_report
+
+    fine = [(k, 10.0, 5.0) for k in range(70)]
+    spec = {
+        "fine": fine, "short": fine[-9:], "jump": [(k, 10.0 if k < 30 else 20.0, v) for k, _, v in fine], "loud": [(k, c, 5.0 if k != 50 else 900.0) for k, c, _ in fine], "still": [(k, c, 5.0 if k != 50 else 0.0) for k, c, _ in fine],
+        "twice": [*fine, fine[3]], "hole": [x for x in fine if x[0] != 9], "old": [(k - 9, c, v) for k, c, v in fine], "ahead": [(k + 9, c, v) for k, c, v in fine], "sunk": [(k, -1.0 if k == 5 else c, v) for k, c, v in fine], "nan": [(k, float("nan") if k == 5 else c, v) for k, c, v in fine],
+    }
+    bars = bars_of(spark, spec).unionByName(bars_of(spark, {"bent": fine}).withColumns({"high": F.when(F.hour("ts") == 3, 9.0).otherwise(F.col("high")), "low": F.when(F.hour("ts") == 5, 5.0).otherwise(F.col("low"))}))
+    got = {}
+    for r in quality_report(bars, F.lit(hour(70)), QualityLimits()).collect():
+        got.setdefault(r["series"], {})[r["code"]] = r["rows"]
+    prices = lambda kind: {f"{kind}_{c}": 1 for c in ("open", "high", "low", "close")}
+    assert got == {
+        "short": {"insufficient_candles": 1}, "jump": {"extreme_hourly_return": 1}, "loud": {"extreme_volume": 1}, "still": {"non_positive_volume": 1}, "twice": {"duplicate_timestamp": 1}, "hole": {"missing_or_irregular_candle": 1},
+        "old": {"stale_data": 1}, "ahead": {"future_timestamp": 1}, "sunk": prices("non_positive"), "nan": prices("non_finite"), "bent": {"invalid_ohlc": 3, "extreme_candle_range": 3},
+    }
+    late = bars_of(spark, {"late": fine}).withColumn("came", F.col("ts") + F.when(F.col("ts") == F.lit(hour(5)), F.expr("INTERVAL 4 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")))
+    assert {r["code"]: r["rows"] for r in quality_report(late, F.lit(hour(70)), QualityLimits(), "came").collect()} == {"out_of_order_timestamp": 1, "missing_or_irregular_candle": 2}
+    early = spark.createDataFrame([("x", dt.datetime(1970, 1, 1))], "series string, ts timestamp_ntz").withColumns({c: F.lit(1.0) for c in ("open", "high", "low", "close", "volume")})
+    assert {r["code"] for r in quality_report(early, F.lit(hour(0))).collect()} == {"invalid_timestamp", "insufficient_candles", "stale_data"}

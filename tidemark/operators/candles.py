@@ -173,6 +173,60 @@ def validate(candles: DataFrame, now: Column, interval_seconds: int = 3600, stal
     return found.unionByName(stale.select("series", F.lit("stale").alias("code"), F.lit(1).cast("long").alias("rows")))
 
 
+@dataclass(frozen=True)
+class QualityLimits:
+    """What a series of candles must keep to."""
+
+    interval_seconds: int = 3600
+    least_candles: int = 64
+    stale_minutes: float = 90.0
+    future_seconds: int = 60
+    return_pct: float = 20.0
+    range_pct: float = 30.0
+    volume_ratio: float = 50.0
+    lookback: int = 168
+    least_history: int = 24
+
+
+def quality_report(candles: DataFrame, now: Column, limits: QualityLimits = QualityLimits(), arrival: str = "ts") -> DataFrame:
+    """(series, code, rows): every rule that a series breaks, and how many candles do.
+
+    arrival: a column in whose order candles came, so that late ones show.
+    Relations of prices are judged where all prices of the series are finite,
+    returns where all closes are positive besides, ranges where all lows are,
+    and volumes where all volumes are. A series without errors has no row.
+    """
+    group, order = W.partitionBy("series"), W.partitionBy("series").orderBy(arrival, "ts")
+    every = lambda c: F.min(F.coalesce(c, F.lit(False)).cast("int")).over(group) == 1
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    prices = ["open", "high", "low", "close"]
+    step = seconds(F.col("ts")) - seconds(F.lag("ts").over(order))
+    past = order.rowsBetween(-limits.lookback, -1)
+    usual = middle(F.sort_array(F.collect_list(F.col("volume").cast("double")).over(past)))  # of `lookback` values at most
+    marked = candles.withColumns(
+        {
+            "__step": step, "__usual": usual, "__seen": F.row_number().over(order), "__before": F.lag("close").over(order), "__n": F.count("*").over(group), "__last": F.last("ts").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+            "__finite": every(finite("open") & finite("high") & finite("low") & finite("close")), "__closes": every(F.col("close") > 0), "__lows": every(F.col("low") > 0), "__volumes": every(finite("volume") & (F.col("volume") > 0)),
+        }
+    )
+    age = seconds(now) - seconds(F.col("__last"))
+    first = F.col("__seen") == 1
+    bounded = (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high"))
+    rules = {
+        "insufficient_candles": first & (F.col("__n") < limits.least_candles), "invalid_timestamp": seconds(F.col("ts")) <= 0,
+        **{f"non_finite_{c}": ~finite(c) for c in [*prices, "volume"]}, **{f"non_positive_{c}": F.col(c) <= 0 for c in [*prices, "volume"]},
+        "invalid_ohlc": F.col("__finite") & ~bounded,
+        "extreme_hourly_return": F.col("__finite") & F.col("__closes") & (F.abs(F.col("close") / F.col("__before") - 1) * 100 > limits.return_pct),
+        "extreme_candle_range": F.col("__finite") & F.col("__lows") & ((F.col("high") / F.nullif(F.col("low"), F.lit(0.0)) - 1) * 100 > limits.range_pct),
+        "extreme_volume": F.col("__volumes") & (F.col("__seen") > limits.least_history) & (F.col("volume") / F.nullif(F.col("__usual"), F.lit(0.0)) > limits.volume_ratio),
+        "duplicate_timestamp": F.col("__step") == 0, "out_of_order_timestamp": F.col("__step") < 0,
+        "missing_or_irregular_candle": (F.col("__step") > 0) & (F.col("__step") != limits.interval_seconds),
+        "future_timestamp": first & (age < -limits.future_seconds), "stale_data": first & (age > limits.stale_minutes * 60),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]))
+    return marked.select("series", F.explode(codes).alias("code")).groupBy("series", "code").agg(F.count("*").alias("rows"))
+
+
 def winsorise_volume(candles: DataFrame, window: int = 168, multiplier: float = 20.0) -> DataFrame:
     """Volumes capped at a multiple of the median of the last `window` capped ones.
 

@@ -31,26 +31,41 @@ def reconciliation(primary: DataFrame, secondary: DataFrame, policy: candles.Gap
     return out.withColumn("policy_action", state)
 
 
-def threshold_alerts(report: DataFrame, limits: Mapping[str, tuple[int, int]], key: str) -> DataFrame:
-    """(key, metric, value, level, threshold): metrics that reach their warning or critical count, the severer one only."""
-    metric = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value"), F.lit(w).alias("warn"), F.lit(c).alias("critical")) for m, (w, c) in limits.items()]
-    long = report.select(key, F.explode(F.array(*metric)).alias("m")).select(key, "m.*")
-    level = F.when(F.col("value") >= F.col("critical"), "critical").when((F.col("warn") > 0) & (F.col("value") >= F.col("warn")), "warning")
-    out = long.withColumn("level", level).where("level IS NOT NULL")
-    return out.select(key, "metric", "value", "level", F.when(F.col("level") == "critical", F.col("critical")).otherwise(F.col("warn")).cast("long").alias("threshold"))
+def threshold_alerts(report: DataFrame, limits: Mapping[str, tuple[int, int]], key: str, withheld: Column | None = None, gaps: str = "withhold_gaps") -> DataFrame:
+    """(key, metric, value, level, threshold): metrics that reach their warning or critical count, the severer one only.
 
-
-def overall_level(alerts: DataFrame, key: str) -> DataFrame:
-    return alerts.groupBy(key).agg(F.when(F.max(F.col("level") == "critical"), "critical").otherwise("warning").alias("level"), F.count("*").alias("alerts"))
+    A warning count of 0 gives no warnings. withheld: whether the policy
+    withholds the forecast; where it does, or gaps that withhold it are counted,
+    and these raised no alert of their own, forecast_withheld is critical.
+    """
+    metric = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value"), F.lit(w).cast("long").alias("warn"), F.lit(c).cast("long").alias("critical")) for m, (w, c) in limits.items()]
+    fires = lambda m: (m["value"] >= m["critical"]) | ((m["warn"] > 0) & (m["value"] >= m["warn"]))
+    fired = F.filter(F.array(*metric), fires)
+    if withheld is not None:
+        count = F.coalesce(F.col(gaps).cast("long"), F.lit(0).cast("long"))
+        own = F.struct(F.lit("forecast_withheld").alias("metric"), F.greatest(count, F.lit(1).cast("long")).alias("value"), F.lit(0).cast("long").alias("warn"), F.lit(limits[gaps][1]).cast("long").alias("critical"))
+        silent = (F.coalesce(withheld, F.lit(False)) | (count > 0)) & ~F.exists(fired, lambda m: m["metric"] == gaps)
+        fired = F.when(silent, F.concat(fired, F.array(own))).otherwise(fired)
+    out = report.select(key, F.explode(fired).alias("m")).select(key, "m.*")
+    critical = (F.col("value") >= F.col("critical")) | (F.col("metric") == "forecast_withheld")
+    return out.select(key, "metric", "value", F.when(critical, "critical").otherwise("warning").alias("level"), F.when(critical, F.col("critical")).otherwise(F.col("warn")).alias("threshold"))
+
+
+def overall_level(alerts: DataFrame, key: str, every: DataFrame) -> DataFrame:
+    """(key, level, alerts) of every key: ok where no alert fired."""
+    found = alerts.groupBy(key).agg(F.max((F.col("level") == "critical").cast("int")).alias("__worst"), F.count("*").alias("alerts"))
+    level = F.when(F.col("__worst") == 1, "critical").when(F.col("__worst") == 0, "warning").otherwise("ok")
+    return every.select(key).distinct().join(found, key, "left").select(key, level.alias("level"), F.coalesce("alerts", F.lit(0).cast("long")).alias("alerts"))
 
 
 def selected_source(primary: DataFrame, secondary: DataFrame, failing: list[str], now: Column, policy: candles.GapPolicy = candles.GapPolicy()) -> DataFrame:
     """(series, source, reason): the provider to read each series from.
 
     A provider is unhealthy if a candle of it breaks one of the failing rules or
-    it has none. Two healthy ones that disagree give no source at all; an
-    unhealthy primary is replaced only by a secondary that agrees with it where
-    both have candles.
+    it has none. Two that disagree where both have candles give no source,
+    however healthy either is. An unhealthy primary that has candles is replaced
+    only by a healthy secondary that was compared with it on enough of them; one
+    without any candle by any healthy secondary.
     """
     every = primary.select("series").union(secondary.select("series")).distinct()
     for name, side in (("primary", primary), ("secondary", secondary)):
@@ -60,14 +75,16 @@ def selected_source(primary: DataFrame, secondary: DataFrame, failing: list[str]
     both = every.join(candles.overlap_report(primary, secondary, policy).select("series", "status"), "series", "left")
     well = {n: (F.coalesce(f"rows_{n}", F.lit(0)) > 0) & (F.coalesce(f"bad_{n}", F.lit(0)) == 0) for n in ("primary", "secondary")}
     agree, differ = F.coalesce(F.col("status") == "agree", F.lit(False)), F.coalesce(F.col("status") == "divergent", F.lit(False))
+    outage = F.coalesce("rows_primary", F.lit(0)) == 0
     reason = (
-        F.when(well["primary"] & well["secondary"] & differ, "providers_disagree")
+        F.when(differ, "providers_disagree")
         .when(well["primary"], "primary_healthy")
+        .when(well["secondary"] & outage, "primary_outage")
         .when(well["secondary"] & agree, "failover")
         .when(well["secondary"], "failover_without_agreement")
         .otherwise("none_healthy")
     )
-    source = F.when(F.col("reason") == "primary_healthy", "primary").when(F.col("reason") == "failover", "secondary")
+    source = F.when(F.col("reason") == "primary_healthy", "primary").when(F.col("reason").isin("failover", "primary_outage"), "secondary")
     return both.withColumn("reason", reason).withColumn("source", source).select("series", "source", "reason")
 
 

@@ -123,6 +123,30 @@ def candle_validation(spark, sf_dir):
     return candles.validate(typed(spark, sf_dir), now())
 
 
+QUALITY = candles.QualityLimits()
+
+
+@query(f"""WITH {TYPED}, a AS (SELECT *, ts + CASE WHEN volume <= 1 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS came FROM typed), w AS (
+  SELECT *, epoch(ts) - epoch(lag(ts) OVER o) AS step, row_number() OVER o AS seen, lag(close) OVER o AS before, count(*) OVER g AS n, last(ts) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_ts,
+    median(volume) OVER (o ROWS BETWEEN {QUALITY.lookback} PRECEDING AND 1 PRECEDING) AS usual, bool_and(isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close)) OVER g AS fin,
+    bool_and(close > 0) OVER g AS closes, bool_and(low > 0) OVER g AS lows, bool_and(volume > 0) OVER g AS volumes
+  FROM a WINDOW o AS (PARTITION BY series ORDER BY came, ts), g AS (PARTITION BY series)), c AS (SELECT series, unnest(list_filter([
+    CASE WHEN seen = 1 AND n < {QUALITY.least_candles} THEN 'insufficient_candles' END, CASE WHEN epoch(ts) <= 0 THEN 'invalid_timestamp' END,
+    {", ".join(f"CASE WHEN NOT isfinite({x}::DOUBLE) THEN 'non_finite_{x}' END, CASE WHEN {x} <= 0 THEN 'non_positive_{x}' END" for x in ("open", "high", "low", "close", "volume"))},
+    CASE WHEN fin AND (high < greatest(open, close, low) OR low > least(open, close, high)) THEN 'invalid_ohlc' END,
+    CASE WHEN fin AND closes AND abs(close / before - 1) * 100 > {QUALITY.return_pct} THEN 'extreme_hourly_return' END,
+    CASE WHEN fin AND lows AND (high / low - 1) * 100 > {QUALITY.range_pct} THEN 'extreme_candle_range' END,
+    CASE WHEN volumes AND seen > {QUALITY.least_history} AND volume / nullif(usual, 0) > {QUALITY.volume_ratio} THEN 'extreme_volume' END,
+    CASE WHEN step = 0 THEN 'duplicate_timestamp' END, CASE WHEN step < 0 THEN 'out_of_order_timestamp' END, CASE WHEN step > 0 AND step <> {QUALITY.interval_seconds} THEN 'missing_or_irregular_candle' END,
+    CASE WHEN seen = 1 AND epoch({NOW}) - epoch(last_ts) < -{QUALITY.future_seconds} THEN 'future_timestamp' END,
+    CASE WHEN seen = 1 AND epoch({NOW}) - epoch(last_ts) > {QUALITY.stale_minutes * 60} THEN 'stale_data' END], lambda x: x IS NOT NULL)) AS code FROM w)
+SELECT series, code, count(*) AS rows FROM c GROUP BY 1, 2""")
+def candle_quality(spark, sf_dir):
+    """All rules of the validator over series whose thin candles come three hours late."""
+    late = F.col("ts") + F.when(F.col("volume") <= 1, F.expr("INTERVAL 3 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    return candles.quality_report(typed(spark, sf_dir).withColumn("came", late), now(), QUALITY, "came")
+
+
 @query()
 def winsorised_volume(spark, sf_dir):
     """Sequential: a cap's median sees earlier caps."""

@@ -20,10 +20,13 @@ report_ AS (SELECT e.series, CAST(coalesce(common, 0) AS BIGINT) AS overlapping,
   CAST(coalesce(f, 0) AS BIGINT) AS fill_gaps, CAST(coalesce(g, 0) AS BIGINT) AS degrade_gaps, CAST(coalesce(w, 0) AS BIGINT) AS withhold_gaps, CAST(coalesce(n, 0) AS BIGINT) AS filled_candles,
   CASE WHEN w > 0 THEN 'withhold' WHEN g > 0 THEN 'degrade' WHEN f > 0 THEN 'fill' ELSE 'none' END AS policy_action
   FROM every_ e LEFT JOIN agreed USING (series) LEFT JOIN gg USING (series) LEFT JOIN sg USING (series) LEFT JOIN sf USING (series) LEFT JOIN dg USING (series))"""
-LIMITS = {"gaps_detected": (3, 60), "missing_candles_total": (6, 200), "silent_fill_candidates": (1, 150), "withhold_gaps": (1, 3)}
+LIMITS = {"gaps_detected": (3, 60), "missing_candles_total": (6, 200), "silent_fill_candidates": (1, 150), "withhold_gaps": (0, 3)}
 ALERTS = f"""{REPORT}, limits(metric, warn, critical) AS (VALUES {', '.join(f"('{m}', {w}, {c})" for m, (w, c) in LIMITS.items())}),
 long_ AS (SELECT series, metric, value, warn, critical FROM (SELECT series, {', '.join(LIMITS)} FROM report_) UNPIVOT (value FOR metric IN ({', '.join(LIMITS)})) JOIN limits USING (metric)),
-alerts AS (SELECT series, metric, value, CASE WHEN value >= critical THEN 'critical' ELSE 'warning' END AS level, CAST(CASE WHEN value >= critical THEN critical ELSE warn END AS BIGINT) AS threshold FROM long_ WHERE value >= warn)"""
+fired AS (SELECT series, metric, value, CASE WHEN value >= critical THEN 'critical' ELSE 'warning' END AS level, CAST(CASE WHEN value >= critical THEN critical ELSE warn END AS BIGINT) AS threshold
+  FROM long_ WHERE value >= critical OR (warn > 0 AND value >= warn)),
+alerts AS (SELECT * FROM fired UNION ALL SELECT series, 'forecast_withheld', greatest(withhold_gaps, 1), 'critical', {LIMITS["withhold_gaps"][1]} FROM report_
+  WHERE (policy_action = 'withhold' OR withhold_gaps > 0) AND series NOT IN (SELECT series FROM fired WHERE metric = 'withhold_gaps'))"""
 
 
 def report(spark, sf_dir):
@@ -38,13 +41,15 @@ def reconciliation_report(spark, sf_dir):
 
 @query(f"WITH {ALERTS} SELECT * FROM alerts")
 def gap_alerts(spark, sf_dir):
-    """Metrics of the report that reach a threshold."""
-    return monitoring.threshold_alerts(report(spark, sf_dir), LIMITS, "series")
+    """Metrics of the report that reach a threshold, and forecasts that the policy withholds without one."""
+    return monitoring.threshold_alerts(report(spark, sf_dir), LIMITS, "series", F.col("policy_action") == "withhold")
 
 
-@query(f"WITH {ALERTS} SELECT series, CASE WHEN bool_or(level = 'critical') THEN 'critical' ELSE 'warning' END AS level, count(*) AS alerts FROM alerts GROUP BY 1")
+@query(f"""WITH {ALERTS} SELECT series, CASE WHEN bool_or(level = 'critical') THEN 'critical' WHEN count(level) > 0 THEN 'warning' ELSE 'ok' END AS level, count(level) AS alerts
+FROM report_ LEFT JOIN alerts USING (series) GROUP BY 1""")
 def gap_alert_levels(spark, sf_dir):
-    return monitoring.overall_level(monitoring.threshold_alerts(report(spark, sf_dir), LIMITS, "series"), "series")
+    rows = report(spark, sf_dir)
+    return monitoring.overall_level(monitoring.threshold_alerts(rows, LIMITS, "series", F.col("policy_action") == "withhold"), "series", rows)
 
 
 UNWELL = ("missing_interval", "non_positive_price")
@@ -53,9 +58,10 @@ BAD = """(SELECT series, bool_or(step > 3600 OR least(open, high, low, close) <=
 
 
 @query(f"""WITH {THINNED}, {TYPED}, {OVERLAP}, p AS {BAD.format(t="thinned")}, s AS {BAD.format(t="typed")}, q AS (
-SELECT series, CASE WHEN NOT p.bad AND NOT s.bad AND status = 'divergent' THEN 'providers_disagree' WHEN NOT p.bad THEN 'primary_healthy' WHEN NOT s.bad AND status = 'agree' THEN 'failover'
+SELECT series, CASE WHEN p.series IS NOT NULL AND s.series IS NOT NULL AND status = 'divergent' THEN 'providers_disagree' WHEN NOT p.bad THEN 'primary_healthy'
+  WHEN NOT s.bad AND p.series IS NULL THEN 'primary_outage' WHEN NOT s.bad AND status = 'agree' THEN 'failover'
   WHEN NOT s.bad THEN 'failover_without_agreement' ELSE 'none_healthy' END AS reason FROM p FULL JOIN s USING (series) LEFT JOIN agreed USING (series))
-SELECT series, reason, CASE reason WHEN 'primary_healthy' THEN 'primary' WHEN 'failover' THEN 'secondary' END AS source FROM q""")
+SELECT series, reason, CASE reason WHEN 'primary_healthy' THEN 'primary' WHEN 'failover' THEN 'secondary' WHEN 'primary_outage' THEN 'secondary' END AS source FROM q""")
 def provider_selection(spark, sf_dir):
     """Which provider each series is read from, and why."""
     return monitoring.selected_source(thinned(spark, sf_dir), typed(spark, sf_dir), list(UNWELL), now())
