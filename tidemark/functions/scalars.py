@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -158,6 +160,11 @@ def stale_policy(age_hours: Column, threshold_hours: float, exclude_hours: float
     return F.when(age_hours.isNull(), "exclude").when(age_hours <= threshold_hours, "fresh").when(age_hours <= exclude_hours, "downgrade").otherwise("exclude")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used, even for each element of an array."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def bounded_normalize(weights: Column, floor: float = 0.03, cap: float | Column = 0.55, rounds: int = 100) -> Column:
     """An array of weights scaled by one factor, clipped to [floor, cap], so that they sum to 1.
 
@@ -165,17 +172,20 @@ def bounded_normalize(weights: Column, floor: float = 0.03, cap: float | Column
     bounds can't be met, all weights are equal.
     """
     n = F.size(weights)
-    positive = F.transform(weights, lambda w: F.greatest(w, F.lit(1e-12)))
     clip = lambda w, s: F.least(F.greatest(w * s, F.lit(floor)), F.lit(cap))
-    total = lambda s: F.aggregate(positive, F.lit(0.0), lambda acc, w: acc + clip(w, s))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = total(mid) < 1.0
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+    def clipped(positive: Column) -> Column:
+        total = lambda s: F.aggregate(positive, F.lit(0.0), lambda acc, w: acc + clip(w, s))
+
+        def halve(acc: Column, _: Column) -> Column:
+            mid = (acc["lo"] + acc["hi"]) / 2
+            low = total(mid) < 1.0
+            return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+
+        start = F.struct(F.lit(0.0).alias("lo"), (F.lit(cap) / F.array_min(positive)).alias("hi"))
+        scale = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+        return let(scale, lambda s: F.transform(positive, lambda w: clip(w, s)))
 
-    start = F.struct(F.lit(0.0).alias("lo"), (F.lit(cap) / F.array_min(positive)).alias("hi"))
-    scale = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
     feasible = (n * floor <= 1.0) & (n * cap >= 1.0)
     equal = F.transform(weights, lambda w: 1.0 / n)
-    return F.when(feasible, F.transform(positive, lambda w: clip(w, scale))).otherwise(equal)
+    return F.when(feasible, let(F.transform(weights, lambda w: F.greatest(w, F.lit(1e-12))), clipped)).otherwise(equal)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -95,9 +96,11 @@ def family(p_values: DataFrame, method: str, alpha: float, by: list[str]) -> Dat
     return both.select("a.*", F.when(F.col("a.p").isNotNull(), rejected).alias("rejected"))
 
 
-def long_run_z(pairs: DataFrame, gain: str, lags: int, order: str, *by: str) -> DataFrame:
+def long_run_z(pairs: DataFrame, gain: str, lags: int, order: str, *by: str, also: Sequence[Column] = ()) -> DataFrame:
     """(by, pairs, mean_gain, z): a paired mean over its long-run error, whose autocovariances up to `lags` rows count with Bartlett weights.
 
+    also: further aggregates of the same rows.
+
     Overlapping forecasts err together, so neighbouring gains aren't
     independent; a variance below that of independent ones is raised to it.
     """
@@ -105,11 +108,12 @@ def long_run_z(pairs: DataFrame, gain: str, lags: int, order: str, *by: str) ->
     off = pairs.where(F.col(gain).isNotNull()).withColumn("__off", F.col(gain) - mean)
     window = W.partitionBy(*by).orderBy(order)
     shifted = off.withColumns({f"__c{k}": F.col("__off") * (F.lag("__off", k).over(window) if k else F.col("__off")) for k in range(lags + 1)})
-    out = shifted.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(gain).alias("mean_gain"), *[F.sum(f"__c{k}").alias(f"__c{k}") for k in range(lags + 1)])
+    out = shifted.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(gain).alias("mean_gain"), *also, *[F.sum(f"__c{k}").alias(f"__c{k}") for k in range(lags + 1)])
+    kept = [c for c in out.columns if not c.startswith("__c")]
     own = F.col("__c0") / F.col("pairs")
     rest = sum((2 * (1 - k / (lags + 1)) * F.coalesce(f"__c{k}", F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0)) / F.col("pairs")
     error = F.sqrt(F.greatest(own + rest, own) / F.col("pairs"))
-    return out.select(*by, "pairs", "mean_gain", (F.col("mean_gain") / F.nullif(error, F.lit(0.0))).alias("z"))
+    return out.select(*kept, (F.col("mean_gain") / F.nullif(error, F.lit(0.0))).alias("z"))
 
 
 #: How likely a Poisson variable of mean 1 is at most 0, 1, 2, ...

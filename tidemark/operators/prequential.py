@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.scalars import bounded_normalize
+from tidemark.functions.scalars import bounded_normalize, let
 from tidemark.operators.drift import Thresholds, adaptive_confidence, compared_windows, distribution_grade, severity
 from tidemark.operators.inference import long_run_z
 from tidemark.operators.pit import as_of
@@ -128,8 +128,8 @@ def naive_wins(stats: str) -> Column:
 
 def blended(weights: str) -> Column:
     """The geometric mean of the models' prices by weight."""
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
     change = F.aggregate(F.zip_with("m", weights, lambda x, w: w * F.log(x["predicted"] / F.col("source_price"))), F.lit(0.0), lambda acc, x: acc + x)
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
     return F.col("source_price") * F.exp(change / F.nullif(total, F.lit(0.0)))
 
 
@@ -199,8 +199,8 @@ def specialist_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]]
 def paired_report(rows: DataFrame, least: int, lags: int, *by: str) -> DataFrame:
     """(by, samples, both errors and directions, gain, z, verdict) of rows with baseline_ and candidate_ error and right."""
     known = rows.where("baseline_error IS NOT NULL AND candidate_error IS NOT NULL").withColumn("__gain", F.col("baseline_error") - F.col("candidate_error"))
-    means = known.groupBy(*by).agg(*[F.avg(f"{k}_{x}").alias(f"{k}_{y}") for k in ("baseline", "candidate") for x, y in (("error", "mae"), ("right", "direction"))])
-    out = long_run_z(known, "__gain", lags, "origin_at", *by).join(means, list(by))
+    means = [F.avg(f"{k}_{x}").alias(f"{k}_{y}") for k in ("baseline", "candidate") for x, y in (("error", "mae"), ("right", "direction"))]
+    out = long_run_z(known, "__gain", lags, "origin_at", *by, also=means)
     verdict = F.when(F.col("pairs") < least, "low_sample").when(F.col("z") > 1.96, "candidate_better").when(F.col("z") < -1.96, "baseline_better").otherwise("inconclusive")
     return out.withColumn("verdict", verdict)
 
@@ -240,11 +240,15 @@ def decayed(rows: DataFrame, policies: Sequence[Decay], *keys: str) -> DataFrame
     seen = outcomes(rows).withColumn("__new", F.reverse(F.collect_list(item).over(order.rowsBetween(1 - most, 0))))
 
     def sums(p: Decay) -> Column:
-        mine = F.transform(F.slice("__new", 1, p.window), lambda x, age: F.struct(p.weight(age).alias("w"), age.alias("age"), x.alias("x")))
-        add = lambda f: F.aggregate(mine, F.lit(0.0), lambda acc, i: acc + f(i))
-        fields = {"n": F.size(mine).cast("double"), "w": add(lambda i: i["w"]), "ww": add(lambda i: i["w"] * i["w"]), "aged": add(lambda i: i["w"] * i["age"])}
-        fields |= {c: add(lambda i, c=c: i["w"] * i["x"][c]) for c in ("abs", "signed", "right")} | {c: add(lambda i, c=c: i["x"][c]) for c in ("within", "intervals")}
-        return F.struct(*[v.alias(k) for k, v in fields.items()])
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "w", "ww", "aged", *MEASURES[1:])])
+        weighted = ("abs", "signed", "right")
+
+        def add(acc: Column, i: Column) -> Column:
+            more = {"n": F.lit(1.0), "w": i["w"], "ww": i["w"] * i["w"], "aged": i["w"] * i["age"]} | {c: i["w"] * i["x"][c] if c in weighted else i["x"][c] for c in MEASURES[1:]}
+            return F.struct(*[(acc[k] + v).alias(k) for k, v in more.items()])
+
+        aged = F.transform(F.slice("__new", 1, p.window), lambda x, age: F.struct(p.weight(age).cast("double").alias("w"), age.cast("double").alias("age"), x.alias("x")))
+        return F.aggregate(aged, start, add)
 
     return seen.select(F.struct(*keys).alias("__key"), F.col("target_at").alias("origin_at"), F.struct(*[sums(p).alias(p.name) for p in policies]).alias("past"))
 
@@ -260,30 +264,37 @@ def drift_grades(rows: DataFrame, recent: int = 8, before: int = 24, limits: Thr
     return asked.groupBy(*by, "series", "origin_at").agg(F.coalesce(F.max("found.value"), F.lit(0)).alias("grade"))
 
 
-def _shifted(p: Decay, unit: float) -> dict[str, Column]:
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _shifted(p: Decay, unit: float) -> Column:
     """A policy's weights from those of production, what held it back, and how old its samples are on average."""
     past = lambda side: side[p.name]
     own, whole = _counted("own", past), _counted("whole", past)
-    few = F.greatest(own, whole) < LEAST
-    picked = F.transform("m", lambda x: F.when(own >= LEAST, past(x["own"])).otherwise(past(x["whole"])))
+    production = F.col("production_weights")
 
     def score(s: Column) -> Column:
         base = F.exp(-2.5 * s["abs"] / s["w"] / unit) * (1 + 0.25 * (s["right"] / s["w"] - 0.5) * 2) * F.exp(-0.35 * F.abs(s["signed"] / s["w"]) / unit)
         off = F.when(s["intervals"] >= 3, F.exp(-0.35 * F.abs(s["within"] / F.nullif(s["intervals"], F.lit(0.0)) - 0.8))).otherwise(1.0)
         return F.greatest(base * off, F.lit(1e-9))
 
-    raw = F.transform(picked, score)
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    worth = F.array_min(F.transform(picked, lambda s: s["w"] * s["w"] / s["ww"]))
-    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (worth - LEAST) / (FULL - LEAST)))
-    delta = F.zip_with("production_weights", raw, lambda w, r: p.blend * progress * F.col("confidence") * (r / total - w))
-    far = F.array_max(F.transform(delta, F.abs))
-    moved = F.zip_with("production_weights", delta, lambda w, d: w + d * F.least(F.lit(1.0), p.shift / F.nullif(far, F.lit(0.0))))
-    aged = lambda c: F.aggregate(picked, F.lit(0.0), lambda acc, s: acc + s[c])
-    return {
-        "weights": F.when(few | (F.coalesce(far, F.lit(0.0)) == 0), F.col("production_weights")).otherwise(moved), "anchored": few.cast("int"),
-        "capped": F.coalesce(~few & (far > p.shift), F.lit(False)).cast("int"), "memory": F.when(~few, aged("aged") / F.nullif(aged("w"), F.lit(0.0))),
-    }
+    def fields(weights: Column, anchored: int, capped: Column, memory: Column) -> Column:
+        return F.struct(weights.alias("weights"), F.lit(anchored).alias("anchored"), capped.cast("int").alias("capped"), memory.alias("memory"))
+
+    def moved(picked: Column, delta: Column) -> Column:
+        memory = _sum(F.transform(picked, lambda s: s["aged"])) / F.nullif(_sum(F.transform(picked, lambda s: s["w"])), F.lit(0.0))
+        near = lambda far: F.zip_with(production, delta, lambda w, d: w + d * F.when(far > p.shift, p.shift / far).otherwise(1.0))
+        return let(F.array_max(F.transform(delta, F.abs)), lambda far: fields(near(far), 0, far > p.shift, memory))
+
+    def changed(picked: Column, raw: Column) -> Column:
+        worth = F.array_min(F.transform(picked, lambda s: s["w"] * s["w"] / s["ww"]))
+        blend = p.blend * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (worth - LEAST) / (FULL - LEAST))) * F.col("confidence")
+        return let(F.struct(blend.alias("b"), _sum(raw).alias("t")), lambda c: let(F.zip_with(production, raw, lambda w, r: c["b"] * (r / c["t"] - w)), lambda delta: moved(picked, delta)))
+
+    found = let(F.transform("m", lambda x: F.when(own >= LEAST, past(x["own"])).otherwise(past(x["whole"]))), lambda picked: let(F.transform(picked, score), lambda raw: changed(picked, raw)))
+    stays = fields(production, 1, F.lit(False), F.lit(None).cast("double"))
+    return F.when(F.greatest(own, whole) < LEAST, stays).otherwise(found)
 
 
 def recency_replay(rows: DataFrame, folded: DataFrame, priors: Mapping[str, Mapping[str, float]], policies: Sequence[Decay] = DECAYS, limit: int = BASELINE_LIMIT, unit: float = 1.0) -> DataFrame:
@@ -309,10 +320,11 @@ def recency_replay(rows: DataFrame, folded: DataFrame, priors: Mapping[str, Mapp
     groups = groups.withColumn("segment", F.when(F.col("grade") > 0, "drift").otherwise("normal")).withColumn("confidence", adaptive_confidence(severity(F.col("grade"))))
     groups = adaptive(groups, "production", lambda s: s[f"l{limit}"], F.col("confidence"), unit)
     naive = F.transform("m", lambda x: (x["model"] == PERSISTENCE).cast("double"))
-    none = {"anchored": F.lit(0), "capped": F.lit(0), "memory": F.lit(None).cast("double")}
-    choices = {"production": {"weights": F.col("production_weights"), **none}, PERSISTENCE: {"weights": naive, **none}} | {p.name: _shifted(p, unit) for p in policies}
-    each = F.array(*[F.struct(F.lit(n).alias("policy"), *[c.alias(k) for k, c in fields.items()]) for n, fields in choices.items()])
-    long = groups.select("fold", *ORIGIN, "segment", "source_price", "actual", "m", F.explode(each).alias("p")).select("fold", *ORIGIN, "segment", "source_price", "actual", "m", "p.*")
+    plain = lambda w: F.struct(w.alias("weights"), F.lit(0).alias("anchored"), F.lit(0).alias("capped"), F.lit(None).cast("double").alias("memory"))
+    choices = {"production": plain(F.col("production_weights")), PERSISTENCE: plain(naive)} | {p.name: _shifted(p, unit) for p in policies}
+    each = F.array(*[F.struct(F.lit(n).alias("policy"), c.alias("c")) for n, c in choices.items()])
+    shown = ["fold", *ORIGIN, "segment", "source_price", "actual", "m"]
+    long = groups.select(*shown, F.explode(each).alias("p")).select(*shown, "p.policy", "p.c.*")
     price = F.coalesce(blended("weights"), F.col("source_price"))
     before = F.lag("weights").over(W.partitionBy("fold", "series", "horizon", "policy").orderBy("origin_at"))
     turnover = F.when(F.size(before) == F.size("weights"), F.aggregate(F.zip_with(before, "weights", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x))
@@ -321,11 +333,9 @@ def recency_replay(rows: DataFrame, folded: DataFrame, priors: Mapping[str, Mapp
 
 def recency_report(replay: DataFrame, least: int, lags: int, *by: str) -> DataFrame:
     """(by, policy, ...): errors, stability and guards of every policy, and its gain over production with a verdict."""
-    means = replay.groupBy(*by, "policy").agg(
-        F.count("error").alias("samples"), F.avg("error").alias("mae"), F.avg("right").alias("direction"), F.avg("turnover").alias("turnover"), F.avg("memory").alias("memory"),
-        F.sum("anchored").alias("anchored"), F.sum("capped").alias("capped"),
-    )
-    base = replay.where("policy = 'production'").select("fold", *ORIGIN, F.col("error").alias("baseline_error"), F.col("right").alias("baseline_right"))
-    pairs = replay.where("policy <> 'production'").withColumnsRenamed({"error": "candidate_error", "right": "candidate_right"}).join(base, ["fold", *ORIGIN])
-    found = paired_report(pairs, least, lags, *by, "policy").select(*by, "policy", "mean_gain", "z", "verdict")
-    return means.join(found, [*by, "policy"], "left")
+    origin = W.partitionBy("fold", *ORIGIN)
+    both = replay.withColumn("__base", F.max(F.when(F.col("policy") == "production", F.col("error"))).over(origin)).withColumn("__gain", F.col("__base") - F.col("error"))
+    means = [F.avg(c).alias(n) for n, c in (("mae", "error"), ("direction", "right"), ("turnover", "turnover"), ("memory", "memory"))] + [F.sum(c).alias(c) for c in ("anchored", "capped")]
+    out = long_run_z(both, "__gain", lags, "origin_at", *by, "policy", also=means).withColumnRenamed("pairs", "samples")
+    verdict = F.when(F.col("samples") < least, "low_sample").when(F.col("z") > 1.96, "candidate_better").when(F.col("z") < -1.96, "baseline_better").otherwise("inconclusive")
+    return out.withColumn("verdict", F.when(F.col("policy") != "production", verdict))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import evaluate, features, forecasts
-from tidemark.plans.base import market, query, r6
+from tidemark.operators import evaluate, features, forecasts, moments
+from tidemark.plans.base import market, query, r6, typed
 from tidemark.plans.candle_queries import FEATURES, regimes
 
 H = "(VALUES (2), (4), (8), (16)) h(horizon)"
@@ -338,21 +340,33 @@ def ar1_forecast(spark, sf_dir):
     return out.select("ts", r6("phi").alias("phi"), r6(F.aggregate("path", F.lit(0.0), lambda a, r: a + r)).alias("return_16h"))
 
 
-def training(spark, sf_dir, horizon=8):
-    names = ["volatility_6h", "volatility_24h", "mean_range_24h", "volume_z", "rsi_14", "momentum_6h", "momentum_24h"]
-    return forecasts.training_rows(features.market_features(market(spark, sf_dir)), names, horizon)
+LINEAR = ["volatility_6h", "volatility_24h", "mean_range_24h", "volume_z", "rsi_14", "momentum_6h", "momentum_24h"]
+
+
+def training(bars, names, horizons):
+    """Features and returns of every origin whose target is known, for each horizon."""
+    found = features.market_features(bars)
+    each = [forecasts.training_rows(found, names, h).withColumn("horizon", F.lit(h)) for h in horizons]
+    return reduce(DataFrame.unionByName, each)
+
+
+def linear(spark, sf_dir, **how):
+    designs = [moments.Design("all", tuple(LINEAR))]
+    return moments.linear_replay(training(typed(spark, sf_dir), LINEAR, [8]), LINEAR, designs, least=100, **how).select("series", "ts", r6("prediction").alias("prediction"), r6("y").alias("y"))
 
 
 @query()
 def ridge_walk_forward(spark, sf_dir):
-    return forecasts.walk_forward_linear(training(spark, sf_dir), 8).select("ts", r6("prediction").alias("prediction"), r6("y").alias("y"))
+    """Ridge forecasts of every origin of each series, from sums over what was known by then."""
+    return linear(spark, sf_dir, penalty=10.0)
 
 
 @query()
 def elastic_net_walk_forward(spark, sf_dir):
-    return forecasts.walk_forward_linear(training(spark, sf_dir), 8, "elastic").select("ts", r6("prediction").alias("prediction"), r6("y").alias("y"))
+    """Elastic-net forecasts, fitted anew every day."""
+    return linear(spark, sf_dir, penalty=1e-3, method="elastic", every_origin=False, part_hours=24)
 
 
 @query()
 def boosted_tree_forecast(spark, sf_dir):
-    return forecasts.boosted_trees(training(spark, sf_dir)).select("ts", r6("prediction").alias("prediction"), r6("y").alias("y"))
+    return forecasts.boosted_trees(training(market(spark, sf_dir), LINEAR, [8]).drop("horizon")).select("ts", r6("prediction").alias("prediction"), r6("y").alias("y"))

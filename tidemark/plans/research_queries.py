@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from tidemark.operators import drift, ensemble, evaluate, forecasts, inference, specialists, store
-from tidemark.plans.base import market, query, r6, table
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.operators import drift, ensemble, evaluate, features, forecasts, inference, moments, specialists, store
+from tidemark.plans.base import market, query, r6, table, typed
 from tidemark.plans.candle_queries import FEATURES, NAMES, regimes
 from tidemark.plans.drift_queries import windows_sql
 from tidemark.plans.ensemble_queries import CONF, PRIORS, confidence_rows
-from tidemark.plans.forecast_queries import NOW, SCORE, SCORED, now, scored
+from tidemark.plans.forecast_queries import NOW, SCORE, SCORED, now, scored, training
 
 OVER = "greatest(0, ({x} - {s}) / {w})".format
 V6, V24, V7 = "greatest(volatility_6h, 1e-6)", "greatest(volatility_24h, 1e-6)", "greatest(volatility_168h, 1e-6)"
@@ -329,18 +331,45 @@ def drift_states(spark, sf_dir):
     return out.select("cutoff", "model", "horizon", F.round("shift", 4).alias("shift"), "ks", drift.severity(drift.distribution_grade(drift.Thresholds())).alias("state"))
 
 
+ABLATED = [n for n in NAMES if n != "momentum_168h"]
+ABLATIONS = {"momentum": "momentum", "volatility": "volatility", "volume": "volume", "range": "mean_range", "strength": "rsi"}
+
+
 @query()
 def feature_ablation(spark, sf_dir):
-    """What each family of features adds to a ridge model: paired errors with and without it at the same origins."""
-    f = regimes(spark, sf_dir)
-    families = {"momentum": [n for n in NAMES if n.startswith("momentum")], "volatility": [n for n in NAMES if n.startswith("volatility")], "volume": ["volume_z"]}
-    fitted = lambda names: forecasts.walk_forward_linear(forecasts.training_rows(f, names, 8), 8, "ridge", 100, 48).select("series", "ts", F.abs(F.col("prediction") - F.col("y")).alias("error"))
-    whole = fitted(NAMES).withColumnRenamed("error", "with_it")
-    out = None
-    for family, names in families.items():
-        less = fitted([n for n in NAMES if n not in names])
-        pairs = whole.join(less, ["series", "ts"]).select(F.lit(family).alias("family"), "ts", (F.col("error") - F.col("with_it")).alias("gain"))
-        out = pairs if out is None else out.unionByName(pairs)
-    found = inference.long_run_z(out, "gain", 8, "ts", "family")
-    keep = F.when(F.col("z") > 1.96, "keep").when(F.col("z") < -1.96, "drop").otherwise("unsure")
-    return found.select("family", "pairs", F.round("mean_gain", 6).alias("mean_gain"), F.round("z", 3).alias("z"), keep.alias("recommendation"))
+    """What each family of features adds to a ridge model: paired errors with and without it, all from the same sums."""
+    designs = [moments.Design("all", tuple(ABLATED)), *[moments.Design(family, tuple(n for n in ABLATED if not n.startswith(start))) for family, start in ABLATIONS.items()]]
+    report = moments.interaction_report(moments.linear_replay(training(typed(spark, sf_dir), ABLATED, [8]), ABLATED, designs, 10.0, 100), "all")
+    keep = F.when(F.col("z") < -1.96, "keep").when(F.col("z") > 1.96, "drop").otherwise("unsure")
+    return report.select("series", F.col("design").alias("family"), "pairs", (-F.round("mean_gain", 6)).alias("mean_gain"), (-F.round("z", 3)).alias("z"), keep.alias("recommendation"))
+
+
+CROSSED = ["volatility_6h", "volatility_24h", "volatility_168h", "volume_z", "rsi_14", "momentum_6h", "momentum_24h", "trending"]
+BASE = tuple(CROSSED[:-1])
+INTERACTIONS = [
+    moments.Interaction("volume_x_momentum", ("volume_z",), ("momentum_6h", "momentum_24h")),
+    moments.Interaction("strength_x_volatility", ("rsi_14",), ("volatility_24h", "volatility_168h")),
+    moments.Interaction("momentum_x_trend", ("momentum_6h", "momentum_24h"), gate="trending"),
+]
+
+
+def interactions(spark, sf_dir):
+    bars = typed(spark, sf_dir)
+    found = features.market_features(bars).withColumn("trending", (features.heuristic_regime() == "trending").cast("double"))
+    each = [forecasts.training_rows(found, CROSSED, h).withColumn("horizon", F.lit(h)) for h in (2, 8, 16)]
+    rows = reduce(DataFrame.unionByName, each)
+    designs = [moments.Design("market", BASE), *[moments.Design(i.name, BASE, i) for i in INTERACTIONS]]
+    return moments.interaction_report(moments.linear_replay(rows, CROSSED, designs, 1.0, 100), "market")
+
+
+@query()
+def interaction_evaluation(spark, sf_dir):
+    """What interactions of features add to a ridge model at every horizon, and whether they would be promoted."""
+    shown = [F.round(c, 6).alias(c) for c in ("baseline_mae", "candidate_mae", "relative_gain", "baseline_direction", "candidate_direction")]
+    return interactions(spark, sf_dir).select("series", "horizon", "design", "pairs", *shown, F.round("z", 3).alias("z"), "folds", "improved", "stable", "status")
+
+
+@query()
+def interaction_overview(spark, sf_dir):
+    """Of each interaction the gain over all horizons and the recommendation."""
+    return moments.interaction_overall(interactions(spark, sf_dir)).withColumn("mean_gain", r6("mean_gain"))
