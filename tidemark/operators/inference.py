@@ -144,3 +144,106 @@ def unpaired_bootstrap(rows: DataFrame, value: str, group: str, key: str, one: s
     good, bad = (F.col("high") < 0, F.col("low") > 0) if lower_is_better else (F.col("low") > 0, F.col("high") < 0)
     few = F.least("n_one", "n_other") < least
     return out.withColumn("conclusion", F.when(few, "insufficient").when(good, "better").when(bad, "worse").otherwise("inconclusive"))
+
+
+METHODS = ("iid", "moving_block", "stationary")
+
+
+def resampled_means(gain: np.ndarray, method: str, block: int, iterations: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of resamples: of single values, of circular blocks, or of circular runs whose lengths are geometric."""
+    n = len(gain)
+    total = np.concatenate([[0.0], np.cumsum(np.concatenate([gain, gain]))])
+    if method == "iid":
+        return np.array([gain[rng.integers(0, n, n)].mean() for _ in range(iterations)])
+    if method == "moving_block":
+        starts = rng.integers(0, n, (iterations, -(-n // block)))
+        sums = (total[starts + block] - total[starts]).sum(axis=1)
+        over = starts.shape[1] * block - n  # the last block is cut
+        last = starts[:, -1] + block
+        return (sums - (total[last] - total[last - over])) / n
+    out = np.empty(iterations)
+    for k in range(iterations):
+        runs = rng.geometric(1 / block, max(8, 2 * n // block))
+        while runs.sum() < n:
+            runs = np.concatenate([runs, rng.geometric(1 / block, len(runs))])
+        ends = np.minimum(np.cumsum(runs), n)
+        runs = np.diff(ends, prepend=0)
+        runs = runs[runs > 0]
+        starts = rng.integers(0, n, len(runs))
+        out[k] = (total[starts + runs] - total[starts]).sum() / n
+    return out
+
+
+def variance_correction(gain: np.ndarray, block: int) -> float:
+    """How much wider than the blocks' the long-run error is: blocks weigh autocovariances down by their distance."""
+    n, off = len(gain), gain - gain.mean()
+    if block <= 1 or n <= block:
+        return 1.0
+    own = float(off @ off) / n
+    lags = [float(off[:-k] @ off[k:]) / n for k in range(1, block)]
+    blocks, whole = own + sum(2 * (1 - k / block) * c for k, c in enumerate(lags, 1)), own + 2 * sum(lags)
+    return float(np.sqrt(whole / blocks)) if blocks > 1e-12 and whole > blocks else 1.0
+
+
+def bootstrap_comparisons(pairs: DataFrame, candidate: str, baseline: str, order: str, by: list[str], methods: Sequence[str] = METHODS, iterations: int = 1000, block: int | None = None, least_block: int = 24, lower_is_better: bool = True) -> DataFrame:
+    """(by, method, samples, means, improvement, block, correction, draws): the sorted resampled means of every comparison.
+
+    The block is the cube root of the samples but `least_block` at least, which
+    is the overlap of neighbouring forecasts. A comparison's gains, one number an
+    origin, are a group; its seed is its key. Levels are read off the draws, so
+    a family's adjusted level needs no second resampling.
+    """
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*by).schema], "method string, samples long, candidate_mean double, baseline_mean double, improvement double, effect double, block int, correction double, draws array<double>"])
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.dropna(subset=[candidate, baseline]).sort_values(order, kind="stable")
+        a, b = part[candidate].to_numpy(float), part[baseline].to_numpy(float)
+        gain, n, out = (b - a if lower_is_better else a - b), len(part), []
+        for method in methods if n else ():
+            size = min(n, max(least_block, block or round(n ** (1 / 3)))) if method != "iid" else 1
+            draws = resampled_means(gain, method, size, iterations, np.random.default_rng(zlib.crc32(repr((*key, method)).encode())))
+            wider = variance_correction(gain, size) if method == "moving_block" else 1.0
+            draws = np.sort(gain.mean() + wider * (draws - draws.mean()) if wider != 1.0 else draws)
+            sd = float(gain.std(ddof=1)) if n > 1 else 0.0
+            out.append((*key, method, n, float(a.mean()), float(b.mean()), float(gain.mean()), float(gain.mean()) / sd if sd > 1e-12 else None, size, wider, draws.tolist()))
+        return pd.DataFrame(out, columns=[*by, *[c.split()[0] for c in "method samples candidate_mean baseline_mean improvement effect block correction draws".split()]])
+
+    return pairs.groupBy(*by).applyInPandas(run, shape)
+
+
+def quantile_of(ordered: str, level: Column) -> Column:
+    """The quantile of a sorted array, between its neighbours in proportion."""
+    at = level * (F.size(ordered) - 1)
+    low, high = F.get(F.col(ordered), F.floor(at).cast("int")), F.get(F.col(ordered), F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def concluded(comparisons: DataFrame, name: str, confidence: Column, least: int = 32, least_effective: float = 8.0) -> DataFrame:
+    """comparisons with <name>_low, _high, _conclusion and _reason at a level of confidence, and p_better."""
+    low, high = (f"{name}_{x}" for x in ("low", "high"))
+    effective = F.col("samples") / F.col("block")
+    out = comparisons.withColumns({low: quantile_of("draws", (1 - confidence) / 2), high: quantile_of("draws", (1 + confidence) / 2), "p_better": F.size(F.filter("draws", lambda d: d > 0)) / F.size("draws")})
+    reason = (
+        F.when(F.col("samples") < least, "insufficient_samples").when(effective < least_effective, "insufficient_effective_samples")
+        .when(F.col(low) > 0, "confidence_interval_above_zero").when(F.col(high) < 0, "confidence_interval_below_zero").otherwise("confidence_interval_crosses_zero")
+    )
+    out = out.withColumn(f"{name}_reason", reason)
+    conclusion = F.when(F.col(f"{name}_reason") == "confidence_interval_above_zero", "candidate_better").when(F.col(f"{name}_reason") == "confidence_interval_below_zero", "baseline_better").otherwise("inconclusive")
+    return out.withColumn(f"{name}_conclusion", conclusion)
+
+
+def family_assessment(comparisons: DataFrame, by: list[str], method: str = "holm", alpha: float = 0.05, confidence: float = 0.9) -> DataFrame:
+    """comparisons (one row each, by family) with raw and adjusted conclusions, the latter at the level that rank and family give.
+
+    p is the share of draws without a gain, a rank is one more than the number of
+    smaller ones in the family, and a comparison survives if it is better at the
+    adjusted level too; selected is the candidate with the smallest mean.
+    """
+    raw = concluded(comparisons, "raw", F.lit(confidence)).withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.col("p_better"))))
+    group = W.partitionBy(*by)  # a family is a list of candidates
+    ranked = raw.withColumns({"comparisons": F.count("*").over(group), "rank": F.rank().over(group.orderBy("p"))})
+    level = scalars.per_comparison_alpha(method, alpha, F.col("comparisons"), F.col("rank"))
+    ranked = ranked.withColumns({"alpha": level, "adjusted_p": scalars.adjusted_p(method, F.col("p"), F.col("comparisons"), F.col("rank"))})
+    out = concluded(ranked, "adjusted", F.when(F.col("comparisons") <= 1, F.lit(confidence)).otherwise(1 - F.col("alpha")))
+    chosen = F.row_number().over(group.orderBy("candidate_mean", *[c for c in comparisons.columns if c not in by and c in ("model", "candidate")])) == 1
+    return out.withColumns({"survives": F.col("adjusted_conclusion") == "candidate_better", "selected": chosen}).drop("draws")

@@ -11,6 +11,7 @@ from tidemark.plans.base import market, query, r6, table, typed
 from tidemark.plans.candle_queries import FEATURES, NAMES, regimes
 from tidemark.plans.drift_queries import windows_sql
 from tidemark.plans.ensemble_queries import CONF, PRIORS, confidence_rows
+from tidemark.plans.replay_queries import scored_typed
 from tidemark.plans.forecast_queries import NOW, SCORE, SCORED, now, scored, training
 
 OVER = "greatest(0, ({x} - {s}) / {w})".format
@@ -373,3 +374,26 @@ def interaction_evaluation(spark, sf_dir):
 def interaction_overview(spark, sf_dir):
     """Of each interaction the gain over all horizons and the recommendation."""
     return moments.interaction_overall(interactions(spark, sf_dir)).withColumn("mean_gain", r6("mean_gain"))
+
+
+def compared(spark, sf_dir, methods=inference.METHODS):
+    """Paired errors of every model and persistence at the same origins, by series and horizon, resampled."""
+    rows = scored_typed(spark, sf_dir).where("abs_pct IS NOT NULL")
+    base = rows.where("model = 'persistence'").select("series", "horizon", "origin_at", F.col("abs_pct").alias("base"))
+    pairs = rows.where("model <> 'persistence'").select("series", "horizon", "model", "origin_at", "abs_pct").join(base, ["series", "horizon", "origin_at"])
+    return inference.bootstrap_comparisons(pairs, "abs_pct", "base", "origin_at", ["series", "horizon", "model"], methods, 500)
+
+
+@query()
+def bootstrap_methods(spark, sf_dir):
+    """Three ways to resample the same paired errors, and what each concludes."""
+    out = inference.concluded(compared(spark, sf_dir), "raw", F.lit(0.9))
+    return out.select("series", "horizon", "model", "method", "samples", "block", *[F.round(c, 4).alias(c) for c in ("improvement", "effect", "correction", "raw_low", "raw_high", "p_better")], "raw_conclusion", "raw_reason")
+
+
+@query()
+def family_assessment(spark, sf_dir):
+    """Every model against persistence at the plain level and at that of its rank among all models of the series and horizon."""
+    out = inference.family_assessment(compared(spark, sf_dir, ["moving_block"]), ["series", "horizon"], "holm", 0.05)
+    shown = [F.round(c, 6).alias(c) for c in ("p", "alpha", "adjusted_p", "raw_low", "raw_high", "adjusted_low", "adjusted_high")]
+    return out.select("series", "horizon", "model", "samples", "comparisons", "rank", *shown, "raw_conclusion", "adjusted_conclusion", "survives", "selected")
