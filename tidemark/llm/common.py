@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -67,6 +69,15 @@ def drop_table(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Hand what this Python worker has freed back to the system, at the end of a task: workers outlive their tasks,
+    and an executor's memory is shared by the next stage's workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     have = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bigru import STEPS, BiGRU, cut
-from tidemark.llm.common import read
+from tidemark.llm.common import give_back, read
 
 UNKNOWN = "und"
 #: Bytes that are held as windows at a time.
@@ -134,6 +134,7 @@ def predictor(model: Identifier):
                 name[at] = [model.names[b] for b in best]
                 score[at], share[at] = np.round(np.clip(p[rows, best], 0, 1), 4), np.round(v[rows, best], 4)
             yield pd.DataFrame({"lang_pred": name, "score": score, "label_share": share})
+        give_back()
 
     return predict
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import drop_table, read, written
+from tidemark.llm.common import drop_table, give_back, read, written
 from tidemark.llm.terms import hashes, lowered, pieces, runs
 
 BEST = 20
@@ -162,6 +162,7 @@ def build_index(docs: DataFrame, documents: int, length: int, doc_id: str = "doc
                     ids, parts, many = [], [], 0
         if ids:
             yield block(ids, parts)
+        give_back()
 
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, shape)
     return written(found.withColumn("block", F.monotonically_increasing_id()))
@@ -294,6 +295,7 @@ def scores_of(blocks: DataFrame, asked: Queries, least: np.ndarray, documents: i
                         best[q].add([r["ids"][d] for d in good], score[good].tolist())
         rows = [(asked.ids[q], i, -s) for q, b in enumerate(best) for s, i in b.rows if -s >= b.least]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else ([], [], []), types)], shape.names)
+        give_back()
 
     return blocks.mapInArrow(run, shape)
 

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import drop_table, read, smallest_labels, written
+from tidemark.llm.common import drop_table, give_back, read, smallest_labels, written
 from tidemark.llm.shingles import shingle_sets, signatures
 
 WIDTH = 5
@@ -93,6 +93,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "minima": [minima[at[i]].tobytes() if counts[i] else None for i in range(len(counts))],
                 }
             )
+    give_back()
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,6 +103,7 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = np.split(values.view(np.int64), np.cumsum(counts)[:-1])
             digests = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             yield pd.DataFrame({"node": rows["doc_id"].values, "digest": digests, "shingles": parts})
+    give_back()
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import read, written
+from tidemark.llm.common import give_back, read, written
 from tidemark.llm.shingles import words_of
 
 LENGTH = 2048
@@ -275,6 +275,7 @@ def pack(items: DataFrame, limits: tuple[tuple[str, int], ...], size: str) -> Da
                         yield out
         if held is not None and len(held):
             yield packed(held.reset_index(drop=True), True)[0]
+        give_back()
 
     tasks = max(1, items.count() // PIECES_PER_TASK)
     dealt = items.repartition(tasks).sortWithinPartitions(*[c for c, kind in items.dtypes if not kind.startswith("map")])

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bilstm_crf import BiLSTMCRF
-from tidemark.llm.common import read
+from tidemark.llm.common import give_back, read
 
 #: In the order in which kinds are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -316,6 +316,7 @@ def finder(net: BiLSTMCRF):
                     "clean": [redacted(t, s) if s else None for t, s in zip(texts, spans)],
                 }
             )
+        give_back()
 
     return find
 
