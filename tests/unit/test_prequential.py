@@ -192,6 +192,61 @@ def test_recency_policies_equal_a_loop(spark, data, frame):
     assert checked == len(out) > 500
 
 
+def test_uncertainty_equals_a_loop(data, frame):
+    c = pq.Uncertainty(limit=40, least=6, full=20, evidence=15, ratio=1.2)
+    out = {(r["series"], r["origin_at"], r["horizon"]): r for r in pq.uncertainty_replay(frame, PRIORS, c).collect()}
+    clipped = 0
+    for (series, at), by in origins(data):
+        for h, rows in by.items():
+            got, models = out[(series, at, h)], ["a", "b", "persistence"]
+            seen = sorted([r for r in data if r[0] == series and r[2] == h and r[8] <= at and r[7] is not None], key=lambda r: r[8])
+            source, _, base = learned(seen, models, rows[0][4], 200, 1.0)
+            raw, info = {}, {}
+            for m in models:
+                hits = [r[12] for r in [r for r in seen if r[3] == m][-40:] if r[12] is not None]
+                cover = sum(hits) / len(hits) if hits else None
+                penalty = 1 - 0.7 * min(1, (len(hits) - 6) / 14) * (1 - math.exp(-2 * abs(cover - 0.8))) if len(hits) >= 6 else 1.0
+                info[m] = (len(hits), len(hits) >= 6 and cover < 0.7)
+                raw[m] = base[m] * penalty
+                mine = next(x for x in got["calibration"] if x["model"] == m)
+                assert (mine["samples"], mine["overconfident"]) == info[m] and mine["penalty"] == pytest.approx(penalty)
+            top = sorted(raw, key=lambda m: (raw[m], info[m][0] >= 15 and not info[m][1], m), reverse=True)
+            if not (info[top[0]][0] >= 15 and not info[top[0]][1]) and raw[top[0]] > 1.2 * raw[top[1]]:
+                raw[top[0]] = 1.2 * raw[top[1]]
+                clipped += 1
+            weights = base if source == "insufficient_history" else dict(zip(models, normalised([raw[m] for m in models], 0.03, 0.55)))
+            assert got["candidate"] == pytest.approx(price_of(rows, weights), rel=1e-9)
+    assert clipped > 20
+
+
+def test_stack_equals_a_fit_on_training_rows(spark, frame):
+    points = frame.select("series", F.col("origin_at").alias("ts")).distinct()
+    folded = evaluate.folds(points, 2, 4, 1, 10)
+    replay = pq.specialist_replay(frame, PRIORS, spans={2: 10, 4: 20})
+    replay = spark.createDataFrame(replay.collect(), replay.schema)
+    roles = {}
+    for r in folded.collect():
+        roles.setdefault((r["fold"], r["series"]), {})[r["ts"]] = r["role"]
+    rows = [r for r in replay.collect() if r["actual"] is not None]
+    out = {(r["fold"], r["series"], r["origin_at"], r["horizon"]): r for r in pq.stack_replay(replay, folded).collect()}
+    checked = 0
+    for (fold, series), role in roles.items():
+        for h in (2, 4):
+            mine = [r for r in rows if r["series"] == series and r["horizon"] == h]
+            x = lambda r: [r[c] / r["source_price"] - 1 for c in pq.SPECIALISTS]
+            train = [r for r in mine if role.get(r["origin_at"]) == "train"]
+            a, y = np.array([x(r) for r in train]), np.array([r["actual"] / r["source_price"] - 1 for r in train])
+            w = pq.simplex_fit(a.T @ a, a.T @ y)
+            assert w.min() >= 0 and w.sum() == pytest.approx(1)
+            for r in mine:
+                if role.get(r["origin_at"]) == "validate":
+                    got = out[(fold, series, r["origin_at"], h)]
+                    assert got["trained"] == len(train) and got["stacked"] == pytest.approx(sum(v * r[c] for v, c in zip(w, pq.SPECIALISTS)), rel=1e-9)
+                    checked += 1
+    assert checked == len(out) > 100
+    assert pq.stack_report(pq.stack_replay(replay, folded), 32, 4, "horizon").where("segment = 'overall'").count() == 4
+
+
 def test_reports(frame):
     report = pq.paired_report(pq.specialist_replay(frame, PRIORS), 32, 4, "series", "horizon").collect()
     assert len(report) == 4 and all(r["verdict"] in ("candidate_better", "baseline_better", "inconclusive", "low_sample") for r in report)

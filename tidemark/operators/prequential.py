@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalars import bounded_normalize, let
@@ -158,15 +159,17 @@ EXPERTS = {"range": Expert(160, 0.80, 0.38, 0.15, 0.10), "trending": Expert(240,
 BASELINE_LIMIT = 200
 
 
-def specialist_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]], experts: Mapping[str, Expert] = EXPERTS, limit: int = BASELINE_LIMIT, unit: float = 1.0) -> DataFrame:
+def specialist_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]], experts: Mapping[str, Expert] = EXPERTS, limit: int = BASELINE_LIMIT, unit: float = 1.0, spans: Mapping[int, int] | None = None) -> DataFrame:
     """Each origin and horizon with its regime, expert, fallback reason, and the price, error and direction of baseline and candidate.
 
+    spans: outcomes to look at by horizon; then `spanned` is the price of weights from these.
+
     The baseline weighs models by what was known at the origin; the candidate
     does so with the specialist of the origin's regime. An origin without a known
     regime, or at which a horizon has too little history, takes the fallback: half
     equal weights, half the priors.
     """
-    groups = by_origin(with_past(rows, sorted({limit, *[e.limit for e in experts.values()]})), priors)
+    groups = by_origin(with_past(rows, sorted({limit, *[e.limit for e in experts.values()], *(spans or {}).values()})), priors)
     groups = adaptive(groups, "base", lambda s: s[f"l{limit}"], F.lit(1.0), unit)
     of = lambda field: reduce(lambda acc, r: acc.when(F.col("regime") == r, F.lit(getattr(experts[r], field))), experts, F.when(F.lit(False), F.lit(0.0)))
 
@@ -190,9 +193,12 @@ def specialist_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]]
     level = F.transform("m", lambda x: 0.5 * x["prior"] + 0.5 / n)
     groups = groups.withColumn("__raw", F.when(F.col("fallback").isNotNull(), level).otherwise(raised))
     groups = groups.withColumn("candidate_weights", F.when(n == 1, F.array(F.lit(1.0))).otherwise(bounded_normalize(F.col("__raw"), FLOOR, F.when(F.col("fallback").isNotNull(), CAP).otherwise(cap))))
+    if spans:
+        groups = adaptive(groups, "span", lambda side: reduce(lambda out, h: F.when(F.col("horizon") == h, side[f"l{spans[h]}"]).otherwise(out), spans, side[f"l{limit}"]), F.lit(1.0), unit)
+        groups = groups.withColumn("spanned", blended("span_weights"))
     out = groups.withColumns({"baseline": blended("base_weights"), "candidate": blended("candidate_weights"), "expert": F.when(F.col("fallback").isNull(), F.col("regime")).otherwise("fallback")})
     measured = {f"{k}_{x}": f(F.col(k)) for k in ("baseline", "candidate") for x, f in (("error", error_pct), ("right", right_way))}
-    kept = [*ORIGIN, "regime", "expert", "fallback", "base_source", "source_price", "actual", "baseline", "candidate"]
+    kept = [*ORIGIN, "regime", "expert", "fallback", "base_source", "source_price", "actual", "baseline", "candidate", *(["spanned"] if spans else [])]
     return out.select(*kept, *[c.alias(k) for k, c in measured.items()])
 
 
@@ -339,3 +345,117 @@ def recency_report(replay: DataFrame, least: int, lags: int, *by: str) -> DataFr
     out = long_run_z(both, "__gain", lags, "origin_at", *by, "policy", also=means).withColumnRenamed("pairs", "samples")
     verdict = F.when(F.col("samples") < least, "low_sample").when(F.col("z") > 1.96, "candidate_better").when(F.col("z") < -1.96, "baseline_better").otherwise("inconclusive")
     return out.withColumn("verdict", F.when(F.col("policy") != "production", verdict))
+
+
+#: Outcomes that the specialist of each horizon looks at.
+SPANS = {2: 80, 4: 120, 8: 160, 16: 240}
+SPECIALISTS = ("baseline", "spanned", "candidate")
+
+
+def simplex_fit(gram: np.ndarray, right: np.ndarray, ridge: float = 1e-3, steps: int = 400) -> np.ndarray:
+    """Non-negative weights that sum to 1, by gradient steps that are cut at 0 and scaled back."""
+    matrix = gram + ridge * np.eye(len(right))
+    w, step = np.full(len(right), 1 / len(right)), 1 / max(float(np.linalg.norm(matrix, 2)), 1.0)
+    for _ in range(steps):
+        w = np.maximum(w - step * (matrix @ w - right), 0)
+        w = w / w.sum() if w.sum() else np.full(len(w), 1 / len(w))
+    return w
+
+
+def stack_replay(replay: DataFrame, folded: DataFrame, specialists: Sequence[str] = SPECIALISTS) -> DataFrame:
+    """Validation origins of purged folds with the stacked price and its error, and those of the first specialist and of persistence.
+
+    replay: specialist_replay() with spans; folded: (fold, role, series, ts). The
+    weights of a fold, series and horizon come from the second moments of its
+    training rows' relative changes, summed in one window; without training rows
+    they are equal.
+    """
+    x = [F.col(c) / F.col("source_price") - 1 for c in specialists]
+    y = F.col("actual") / F.col("source_price") - 1
+    key = ["fold", "series", "horizon"]
+    usable = reduce(lambda a, c: a & F.col(c).isNotNull(), specialists, F.col("actual") > 0)
+    mine = replay.where(usable).join(folded.withColumnRenamed("ts", "origin_at"), ["series", "origin_at"])
+    group = W.partitionBy(*key)
+    train = lambda c: F.coalesce(F.sum(F.when(F.col("role") == "train", c)).over(group), F.lit(0.0))
+    n = len(specialists)
+    sums = {"trained": F.count_if(F.col("role") == "train").over(group), "gram": F.array(*[train(a * b) for a in x for b in x]), "right": F.array(*[train(a * y) for a in x])}
+    asked = mine.withColumns(sums).where("role = 'validate'")
+
+    def fit(batches):
+        known: dict[tuple, list[float]] = {}  # one fit for each fold, series and horizon
+        for batch in batches:
+            weights = []
+            for g, r, t in zip(batch["gram"], batch["right"], batch["trained"]):
+                found = (t, *g, *r)
+                if found not in known:
+                    known[found] = simplex_fit(np.array(g, float).reshape(n, n), np.array(r, float)).tolist() if t else [1 / n] * n
+                weights.append(known[found])
+            yield batch.drop(columns=["gram", "right"]).assign(weights=weights)
+
+    kept = asked.select(*key, "origin_at", "regime", "source_price", "actual", *specialists, "trained", "gram", "right")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in ("gram", "right"))
+    fitted = kept.mapInPandas(fit, f"{types}, weights array<double>")
+    stacked = sum((F.col("weights")[k] * F.col(c) for k, c in enumerate(specialists)), F.lit(0.0))
+    out = fitted.withColumn("stacked", stacked)
+    agrees = lambda price: ((price - F.col("source_price")) * (F.col("actual") - F.col("source_price")) >= 0).cast("int")
+    prices = {"stack": F.col("stacked"), "production": F.col(specialists[0]), "persistence": F.col("source_price")}
+    return out.select(*key, "origin_at", "regime", "trained", "weights", "stacked", *[c.alias(f"{k}_{name}") for k, p in prices.items() for name, c in (("error", error_pct(p)), ("right", agrees(p)))])
+
+
+def stack_report(stacked: DataFrame, least: int, lags: int, *by: str) -> DataFrame:
+    """(against, segment, by, ...): the stack against production and persistence, over all and in each regime."""
+    versus = F.array(*[F.struct(F.lit(k).alias("against"), F.col(f"{k}_error").alias("baseline_error"), F.col(f"{k}_right").alias("baseline_right")) for k in ("production", "persistence")])
+    long = stacked.withColumnsRenamed({"stack_error": "candidate_error", "stack_right": "candidate_right"}).withColumn("v", F.explode(versus)).withColumn("segment", F.explode(F.array(F.lit("overall"), F.col("regime"))))
+    return paired_report(long.select("*", "v.*"), least, lags, "against", "segment", *by)
+
+
+@dataclass(frozen=True)
+class Uncertainty:
+    """How the calibration of intervals discounts a model's weight."""
+
+    limit: int = 200
+    target: float = 0.8
+    gap: float = 0.15
+    least: int = 6
+    full: int = 24
+    strength: float = 0.6
+    blend: float = 0.7
+    ratio: float = 2.0
+    evidence: int = 32
+
+
+def uncertainty_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]], config: Uncertainty = Uncertainty(), limit: int = BASELINE_LIMIT, unit: float = 1.0) -> DataFrame:
+    """Each origin and horizon with the prices of adaptive weights and of the same discounted by calibrated uncertainty, and calibration,
+    an array of every model's samples, coverage, error, state and penalty as known at the origin.
+
+    A model whose newest intervals missed the target share by e keeps
+    1 - b (1 - exp(-strength e)) of its weight, b growing with its intervals; one
+    with too few has none taken away. A leader without enough evidence, or
+    overconfident, gets at most `ratio` times the runner-up's.
+    """
+    groups = adaptive(by_origin(with_past(rows, sorted({limit, config.limit})), priors), "base", lambda s: s[f"l{limit}"], F.lit(1.0), unit)
+
+    def judged(x: Column) -> Column:
+        s = x["whole"][f"l{config.limit}"]
+        n = F.coalesce(s["intervals"], F.lit(0.0))
+        coverage = s["within"] / F.nullif(n, F.lit(0.0))
+        error, known = F.abs(coverage - config.target), n >= config.least
+        progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (n - config.least) / (config.full - config.least)))
+        penalty = F.when(known, 1 - config.blend * progress * (1 - F.exp(-config.strength * error))).otherwise(1.0)
+        over = known & (coverage < config.target - config.gap)
+        return F.struct(x["model"].alias("model"), n.alias("samples"), coverage.alias("coverage"), error.alias("error"), F.when(known, "calibrated").otherwise("sparse_fallback").alias("state"), F.coalesce(over, F.lit(False)).alias("overconfident"), penalty.alias("penalty"))
+
+    groups = groups.withColumn("calibration", F.transform("m", judged))
+    groups = groups.withColumn("__raw", F.zip_with("base_weights", "calibration", lambda w, c: w * c["penalty"]))
+    places = F.reverse(F.array_sort(F.zip_with("__raw", "calibration", lambda w, c: F.struct(w.alias("w"), ((c["samples"] >= config.evidence) & ~c["overconfident"]).alias("proved"), c["model"].alias("model")))))
+    groups = groups.withColumn("__top", places)
+    leader, second = F.get("__top", F.lit(0)), F.get("__top", F.lit(1))
+    clipped = second.isNotNull() & ~leader["proved"] & (leader["w"] > config.ratio * second["w"])
+    groups = groups.withColumn("clipped", F.coalesce(clipped, F.lit(False)))
+    guarded = F.zip_with("__raw", "calibration", lambda w, c: F.when(F.col("clipped") & (c["model"] == F.get("__top", F.lit(0))["model"]), config.ratio * F.get("__top", F.lit(1))["w"]).otherwise(w))
+    groups = groups.withColumn("__guarded", guarded)
+    fixed = F.col("base_source") == "insufficient_history"
+    groups = groups.withColumn("candidate_weights", F.when(fixed, F.col("base_weights")).otherwise(bounded_normalize(F.col("__guarded"), FLOOR, CAP)))
+    out = groups.withColumns({"baseline": blended("base_weights"), "candidate": blended("candidate_weights")})
+    measured = {f"{k}_{x}": f(F.col(k)) for k in ("baseline", "candidate") for x, f in (("error", error_pct), ("right", right_way))}
+    return out.select(*ORIGIN, "regime", "base_source", "source_price", "actual", "clipped", "calibration", "baseline", "candidate", *[c.alias(k) for k, c in measured.items()])

@@ -131,3 +131,39 @@ def recency_evaluation(spark, sf_dir):
     out = pq.recency_report(replay, 32, 16, "segment", "horizon")
     shown = [F.round(c, 4).alias(c) for c in ("mae", "direction", "turnover", "memory", "mean_gain")]
     return out.select("segment", "horizon", "policy", "samples", *shown, "anchored", "capped", F.round("z", 3).alias("z"), "verdict")
+
+
+@query()
+def stack_evaluation(spark, sf_dir):
+    """A stack of three weightings, fitted on each purged fold's training rows, against production and persistence."""
+    rows = scored_typed(spark, sf_dir)
+    folded = evaluate.folds(rows.select("series", F.col("origin_at").alias("ts")).distinct(), 3, 16, 8, 48)
+    replay = pq.specialist_replay(rows, REGIME_PRIORS, unit=UNIT, spans=pq.SPANS)
+    out = pq.stack_report(pq.stack_replay(replay, folded), 32, 16, "series", "horizon")
+    return out.select("against", "segment", "series", "horizon", "pairs", *[F.round(c, 4).alias(c) for c in ("baseline_mae", "candidate_mae", "candidate_direction", "mean_gain")], F.round("z", 3).alias("z"), "verdict")
+
+
+UNSURE = pq.Uncertainty()
+CALIBRATION = f"""known AS (SELECT * FROM scored WHERE actual > 0 AND abs_pct IS NOT NULL), asked AS (SELECT series, origin_at, horizon, model FROM scored WHERE predicted > 0 AND source_price > 0), seen AS (
+  SELECT q.*, o.within, row_number() OVER (PARTITION BY q.series, q.origin_at, q.horizon, q.model ORDER BY o.target_at DESC) AS k
+  FROM asked q LEFT JOIN known o ON o.series = q.series AND o.horizon = q.horizon AND o.model = q.model AND o.target_at <= q.origin_at), c AS (
+  SELECT series, origin_at, horizon, model, count(within) AS n, avg(CAST(within AS INT)) AS cov FROM seen WHERE k <= {UNSURE.limit} GROUP BY ALL), p AS (
+  SELECT *, CASE WHEN n >= {UNSURE.least} THEN 1 - {UNSURE.blend} * least(1, (n - {UNSURE.least}) / ({UNSURE.full} - {UNSURE.least})) * (1 - exp(-{UNSURE.strength} * abs(cov - {UNSURE.target}))) ELSE 1 END AS penalty FROM c)"""
+
+
+@query(f"""WITH {SCORED_TYPED}, {CALIBRATION} SELECT series, horizon, model, count(*) AS origins, CAST(count_if(n >= {UNSURE.least}) AS BIGINT) AS calibrated, CAST(count_if(n >= {UNSURE.least} AND cov < {UNSURE.target - UNSURE.gap}) AS BIGINT) AS overconfident,
+  round(avg(penalty), 6) AS mean_penalty, round(min(penalty), 6) AS least_penalty FROM p GROUP BY ALL""")
+def uncertainty_states(spark, sf_dir):
+    """What calibrated uncertainty took from each model's weight, as known at every origin."""
+    each = pq.uncertainty_replay(scored_typed(spark, sf_dir), REGIME_PRIORS, unit=UNIT).select("series", "horizon", F.explode("calibration").alias("c")).select("series", "horizon", "c.*")
+    return each.groupBy("series", "horizon", "model").agg(
+        F.count("*").alias("origins"), F.count_if(F.col("state") == "calibrated").alias("calibrated"), F.count_if("overconfident").alias("overconfident"),
+        r6(F.avg("penalty")).alias("mean_penalty"), r6(F.min("penalty")).alias("least_penalty"),
+    )
+
+
+@query()
+def uncertainty_evaluation(spark, sf_dir):
+    """Weights discounted by calibrated uncertainty against the plain adaptive ones."""
+    out = pq.paired_report(pq.uncertainty_replay(scored_typed(spark, sf_dir), REGIME_PRIORS, unit=UNIT), 32, 16, "series", "horizon")
+    return out.select("series", "horizon", "pairs", *[F.round(c, 4).alias(c) for c in ("baseline_mae", "candidate_mae", "mean_gain")], F.round("z", 3).alias("z"), "verdict")
