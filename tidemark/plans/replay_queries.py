@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ensemble, evaluate, features, forecasts, prequential as pq
+from tidemark.operators import ensemble, evaluate, features, forecasts, ledger, prequential as pq
 from tidemark.plans.base import BARS, TYPED, query, r6, typed
 from tidemark.plans.ensemble_queries import FAMILIES, FAMILY, MODELS
-from tidemark.plans.forecast_queries import SCORED
+from tidemark.plans.forecast_queries import NOW, SCORED, now
 
 #: SCORED with a series for each event type.
 SCORED_TYPED = SCORED.replace(BARS, TYPED.replace("typed AS", "bars AS")).replace(
@@ -167,3 +167,26 @@ def uncertainty_evaluation(spark, sf_dir):
     """Weights discounted by calibrated uncertainty against the plain adaptive ones."""
     out = pq.paired_report(pq.uncertainty_replay(scored_typed(spark, sf_dir), REGIME_PRIORS, unit=UNIT), 32, 16, "series", "horizon")
     return out.select("series", "horizon", "pairs", *[F.round(c, 4).alias(c) for c in ("baseline_mae", "candidate_mae", "mean_gain")], F.round("z", 3).alias("z"), "verdict")
+
+
+FROZEN = f"frozen AS (SELECT * FROM (SELECT *, max(target_at) OVER (PARTITION BY series, origin_at) AS final FROM scored) WHERE final <= {NOW})"
+
+
+@query(f"""WITH {SCORED_TYPED}, {FROZEN}, r AS (SELECT series, origin_at, CAST(epoch(origin_at) AS BIGINT) AS t, horizon, model, sha256(CAST(epoch(origin_at) AS BIGINT) || '|' || horizon || '|' || model || '|'
+  || coalesce(CAST(CAST(round(source_price * 10000) AS BIGINT) AS VARCHAR), '') || '|' || coalesce(CAST(CAST(round(actual * 10000) AS BIGINT) AS VARCHAR), '')) AS d FROM frozen),
+d AS (SELECT series, t // 86400 AS day, sha256(string_agg(d, '' ORDER BY t, horizon, model)) AS d, count(*) AS n, min(origin_at) AS low, max(origin_at) AS high FROM r GROUP BY ALL)
+SELECT series, CAST(sum(n) AS BIGINT) AS rows, min(low) AS first_at, max(high) AS last_at, sha256(string_agg(d, '' ORDER BY day)) AS digest FROM d GROUP BY 1""")
+def frozen_cohort(spark, sf_dir):
+    """Digests of the origins whose every target could be known, over their prices and outcomes."""
+    frozen = ledger.frozen_origins(scored_typed(spark, sf_dir), now())
+    return ledger.cohort_digest(frozen, ["horizon", "model"], ["source_price", "actual"])
+
+
+@query(f"""WITH {SCORED_TYPED}, {FROZEN}, b AS (SELECT *, max(CASE WHEN model = 'persistence' AND actual IS NOT NULL AND predicted IS NOT NULL THEN abs_pct END) OVER (PARTITION BY series, origin_at, horizon) AS base FROM frozen)
+SELECT model, horizon, count(*) AS attempts, CAST(count_if(predicted IS NULL) AS BIGINT) AS failures, count(CASE WHEN predicted IS NOT NULL THEN actual END) AS exact, count(CASE WHEN predicted IS NOT NULL AND actual IS NOT NULL THEN base END) AS paired,
+  round(avg(CASE WHEN base IS NOT NULL THEN abs_pct END), 4) AS mae, round(avg(CASE WHEN abs_pct IS NOT NULL THEN base END), 4) AS baseline_mae, CAST(count_if(abs_pct < base) AS BIGINT) AS wins FROM b GROUP BY 1, 2""")
+def frozen_evidence(spark, sf_dir):
+    """Exact and paired outcomes of the frozen origins by model and horizon."""
+    frozen = ledger.frozen_origins(scored_typed(spark, sf_dir), now())
+    out = ledger.cohort_evidence(frozen, "persistence", "horizon")
+    return out.select("model", "horizon", "attempts", "failures", "exact", "paired", *[F.round(c, 4).alias(c) for c in ("mae", "baseline_mae")], "wins")
