@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import Window as W, functions as F, types as T
 
 from tidemark.functions import scalars
 from tidemark.operators import evaluate, forecasts, inference, pit, store
 from tidemark.plans.base import BARS, market, query, r6, table
+from tidemark.sources import readers
 from tidemark.plans.forecast_queries import NOW, PAIRS, SCORED, now, scored
 
 AT = "CAST({} AS TIMESTAMP)"
@@ -345,3 +346,22 @@ def scalar_labels(spark, sf_dir):
     """Buckets, strata and parsed keys."""
     key = F.concat((F.col("user_id") % 20).cast("string"), F.when(F.col("user_id") % 3 == 0, "h").otherwise("m"))
     return table(spark, sf_dir, "events").select("event_id", scalars.time_of_day(F.col("ts")).alias("part"), scalars.bucket(F.col("value"), 20, 80).alias("bucket"), F.coalesce(scalars.horizon_hours(key), F.lit(-1)).alias("hours"))
+
+
+STATE = "event_id bigint, user_id bigint, value double, note string"
+
+
+@query("""WITH t AS (SELECT event_type, CASE WHEN event_id % 50 = 0 THEN '{"event_id": ' || event_id WHEN event_id % 41 = 0 THEN ' ' ELSE '{"event_id":' || event_id || ',"user_id":' || user_id
+  || CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 11 = 0 THEN ',"value":"n/a"' ELSE ',"value":' || value END || CASE WHEN event_id % 7 = 0 THEN ',"version":2' ELSE '' END || '}' END AS said FROM events),
+d AS (SELECT event_type, CASE WHEN trim(said) = '' THEN 'absent' WHEN NOT json_valid(said) THEN 'corrupt' WHEN json_type(said, '$.value') = 'VARCHAR' THEN 'mistyped' WHEN json_type(said, '$.value') IS NULL THEN 'missing' ELSE 'usable' END AS defect,
+  json_valid(said) AND list_contains(json_keys(CASE WHEN json_valid(said) THEN said ELSE '{}' END), 'version') AS drifted FROM t)
+SELECT event_type, defect, count(*) AS rows, CAST(count_if(drifted) AS BIGINT) AS drifted FROM d GROUP BY 1, 2""")
+def state_scan(spark, sf_dir):
+    """JSON states of events decoded by a schema: usable ones, and those set aside with their defect; fields may be new."""
+    i = F.col("event_id")
+    value = F.when(i % 13 == 0, "").when(i % 11 == 0, ',"value":"n/a"').otherwise(F.concat(F.lit(',"value":'), F.col("value").cast("string")))
+    whole = F.concat(F.lit('{"event_id":'), i.cast("string"), F.lit(',"user_id":'), F.col("user_id").cast("string"), value, F.when(i % 7 == 0, ',"version":2').otherwise(""), F.lit("}"))
+    said = F.when(i % 50 == 0, F.concat(F.lit('{"event_id": '), i.cast("string"))).when(i % 41 == 0, " ").otherwise(whole)
+    schema = T.StructType.fromDDL(STATE)
+    out = readers.decoded(table(spark, sf_dir, "events").select("event_type", said.alias("said")), "said", schema, ["event_id", "user_id", "value"])
+    return out.groupBy("event_type", F.coalesce("defect", F.lit("usable")).alias("defect")).agg(F.count("*").alias("rows"), F.count_if(F.array_contains("drift", "version")).alias("drifted"))

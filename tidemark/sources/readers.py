@@ -6,7 +6,10 @@ schemas are never inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 CANDLES = "series string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 RAW = "ts string, open string, high string, low string, close string, volume string"
@@ -65,3 +68,34 @@ def epoch_to_ts(column: str):
     """Epoch seconds or milliseconds, told apart by size."""
     n = F.col(column).cast("double")
     return F.timestamp_millis(F.when(n > 1e10, n).otherwise(n * 1000).cast("long")).cast("timestamp_ntz")
+
+
+def decoded(rows: DataFrame, column: str, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
+    """rows with state (the JSON column by the schema), defect, and drift, the keys that the schema doesn't know.
+
+    defect is null for a usable row, else absent (null or blank), corrupt (no
+    JSON object), mistyped (a known field of another type) or missing (a
+    required field that isn't there or is null); states of defective rows are
+    null, so nothing half read goes on. Fields may be added at any time: they
+    show in drift and are no defect.
+    """
+    text = F.col(column)
+    whole = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
+    out = rows.withColumns({"__keys": F.json_object_keys(text), "__state": F.from_json(text, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})})
+    lacking = reduce(lambda acc, c: acc | F.col(f"__state.{c}").isNull(), required, F.lit(False))
+    defect = (
+        F.when(text.isNull() | (F.trim(text) == ""), "absent").when(F.col("__keys").isNull() | F.col("__state").isNull(), "corrupt")
+        .when(F.col("__state.__corrupt").isNotNull(), "mistyped").when(lacking, "missing")
+    )
+    out = out.withColumn("defect", defect)
+    state = F.when(F.col("defect").isNull(), F.struct(*[F.col(f"__state.{f.name}").alias(f.name) for f in schema.fields]))
+    drift = F.array_sort(F.array_except(F.coalesce("__keys", F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in schema.fields])))
+    return out.withColumns({"state": state, "drift": drift}).drop("__keys", "__state")
+
+
+def newest_states(rows: DataFrame, column: str, schema: T.StructType, key: str, at: str, keep: int, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(usable, set aside): the newest `keep` usable states of each key, and all defective rows with their defect."""
+    both = decoded(rows, column, schema, required)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))
+    usable = both.where("defect IS NULL").withColumn("__nth", nth).where(F.col("__nth") <= keep).drop("__nth", "defect")
+    return usable, both.where("defect IS NOT NULL").drop("state")
