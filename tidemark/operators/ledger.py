@@ -78,3 +78,61 @@ def rollback(current: DataFrame, log: DataFrame, at: Column) -> tuple[DataFrame,
     out = current.crossJoin(F.broadcast(some)).where("__ok").drop("__ok").join(last, "key", "left")  # one row is broadcast
     moved = out.where("back IS NOT NULL").select("key", F.lit("rolled_back").alias("status"), F.col("multiplier").alias("before"), F.col("back").alias("after"))
     return out.select("key", F.coalesce("back", "multiplier").alias("multiplier")), entries(moved, at, "rollback")
+
+
+STAGES = ("raw_cumulative", "pre_coherence", "final")
+
+
+def interval_gate(predictions: DataFrame, outcomes: DataFrame, audit: DataFrame, horizons: Sequence[int], least_pairs: int = 200, days: int = 30) -> DataFrame:
+    """(reason, horizon, rows): every reason for which intervals may not be judged yet; none if they may.
+
+    predictions: origin_at, horizon, target_at, stage, source_identity and
+    candidate_identity, a row for each stage of a forecast. outcomes: origin_at,
+    horizon, target_at, actual, actual_at and matured_at. audit, of one row:
+    status, manifest_sha256, exact_target_coverage, prospective_period_ready,
+    pipeline_ready, frozen_at, prospective_start and evaluated_at; what is absent
+    or null blocks. rows counts what breaks the rule, or is there of what it asks.
+    """
+    spark = predictions.sparkSession
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    length = F.make_dt_interval(F.lit(days))
+    facts = spark.range(1).drop("id").join(audit, F.lit(True), "left")
+    ready = yes((F.col("status") == "ready") & F.col("manifest_sha256").rlike("^[0-9a-f]{64}$") & F.col("exact_target_coverage") & F.col("prospective_period_ready"))
+    timed = yes((F.col("prospective_start") >= F.col("frozen_at")) & (F.col("evaluated_at") >= F.col("prospective_start") + length))
+    said = F.array(F.when(~ready, F.lit("audit_not_ready")), F.when(~timed, F.lit("temporal_manifest")), F.when(~yes(F.col("pipeline_ready")), F.lit("pipeline_not_ready")))
+    of_audit = facts.select(F.explode(F.array_compact(said)).alias("reason"), F.lit(None).cast("int").alias("horizon"), F.lit(1).cast("long").alias("rows"))
+    times = facts.select(*[F.when(timed, F.col(c)).alias(c) for c in ("frozen_at", "prospective_start", "evaluated_at")])
+
+    key = ["origin_at", "horizon", "target_at"]
+    exact = yes((F.col("horizon") > 0) & (F.col("target_at") == F.col("origin_at") + F.make_dt_interval(F.lit(0), F.col("horizon"))))
+    sound = exact & yes(F.col("stage").isin(*STAGES)) & yes((F.col("source_identity") != "") & (F.col("candidate_identity") != ""))
+    ids = F.struct("source_identity", "candidate_identity")
+    linked = predictions.withColumn("sound", sound).groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("stage").alias("stages"), F.countDistinct(ids).alias("ids"), F.min(F.col("sound").cast("int")).alias("sound"))
+    linked = linked.withColumn("complete", (F.col("n") == len(STAGES)) & (F.col("stages") == len(STAGES)) & (F.col("ids") == 1) & (F.col("sound") == 1))
+    met = outcomes.crossJoin(F.broadcast(times))  # one row is broadcast
+    right = exact & yes(F.col("actual").isNotNull() & (F.col("actual_at") == F.col("target_at")) & (F.col("matured_at") >= F.col("target_at")) & (F.col("evaluated_at") > F.col("target_at")) & (F.col("evaluated_at") > F.col("matured_at")))
+    met = met.withColumn("right", right).groupBy(*key).agg(F.count("*").alias("times"), F.min(F.col("right").cast("int")).alias("right"), *[F.first(c).alias(c) for c in ("frozen_at", "prospective_start", "evaluated_at")])
+    both = met.join(linked.where("complete").select(*key, F.lit(1).alias("has")), key, "left")
+    both = both.withColumn("paired", (F.col("times") == 1) & (F.col("right") == 1) & F.col("has").isNotNull())
+    before = yes(F.col("origin_at") < F.col("frozen_at"))
+    ahead = yes((F.col("origin_at") >= F.col("prospective_start")) & (F.col("origin_at") < F.col("evaluated_at")))
+    both = both.withColumn("period", F.when(before, "evaluation").when(ahead, "prospective"))
+    whole = lambda df, reason, wrong, some: df.agg(F.count_if(wrong).alias("rows"), F.count_if(some).alias("__some")).where("rows > 0 OR __some = 0").select(F.lit(reason).alias("reason"), F.lit(None).cast("int").alias("horizon"), "rows")
+    paired = both.where("paired")
+    lineage = whole(linked, "incomplete_lineage", ~F.col("complete"), F.col("complete"))
+    pairing = whole(both, "unpaired_outcomes", ~F.col("paired"), F.col("paired"))
+    outside = paired.where("period IS NULL").groupBy().agg(F.count("*").alias("rows")).where("rows > 0").select(F.lit("outside_periods").alias("reason"), F.lit(None).cast("int").alias("horizon"), "rows")
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon"))
+    when = lambda p, c: F.when(F.col("period") == p, c)
+    per = paired.groupBy("horizon").agg(
+        F.count(when("evaluation", F.lit(1))).alias("old"), F.count(when("prospective", F.lit(1))).alias("new"), F.min(when("prospective", F.col("origin_at"))).alias("low"), F.max(when("prospective", F.col("origin_at"))).alias("high"), F.first("prospective_start").alias("start"),
+    )
+    per = asked.join(per, "horizon", "left").fillna(0, ["old", "new"])
+    hour = F.expr("INTERVAL 1 HOUR")
+    spans = yes((F.col("low") <= F.col("start") + hour) & (F.col("low") >= F.col("start") - hour) & (F.col("high") - F.col("low") >= length))
+    short = per.where(~spans).select(F.lit("short_prospective_span").alias("reason"), "horizon", F.col("new").alias("rows"))
+    few = per.where(F.least("old", "new") < least_pairs).select(F.lit("too_few_pairs").alias("reason"), "horizon", F.least("old", "new").alias("rows"))
+    out = of_audit
+    for part in (lineage, pairing, outside, short, few):
+        out = out.unionByName(part)
+    return out

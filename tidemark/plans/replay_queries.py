@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ensemble, evaluate, features, forecasts, ledger, prequential as pq
 from tidemark.plans.base import BARS, TYPED, query, r6, typed
 from tidemark.plans.ensemble_queries import FAMILIES, FAMILY, MODELS
-from tidemark.plans.forecast_queries import NOW, SCORED, now
+from tidemark.plans.forecast_queries import NOW, SCORED, now, scored
 
 #: SCORED with a series for each event type.
 SCORED_TYPED = SCORED.replace(BARS, TYPED.replace("typed AS", "bars AS")).replace(
@@ -190,3 +190,16 @@ def frozen_evidence(spark, sf_dir):
     frozen = ledger.frozen_origins(scored_typed(spark, sf_dir), now())
     out = ledger.cohort_evidence(frozen, "persistence", "horizon")
     return out.select("model", "horizon", "attempts", "failures", "exact", "paired", *[F.round(c, 4).alias(c) for c in ("mae", "baseline_mae")], "wins")
+
+
+@query()
+def interval_gate(spark, sf_dir):
+    """Why the blend's intervals may not be judged yet: its record over all events, frozen halfway, against the gate."""
+    rows = scored(spark, sf_dir).where("model = 'blend'")
+    stages = F.explode(F.array(*[F.lit(s) for s in ledger.STAGES])).alias("stage")
+    lines = rows.select("origin_at", "horizon", "target_at", stages, F.col("series").alias("source_identity"), F.col("model").alias("candidate_identity"))
+    met = rows.where("actual IS NOT NULL").select("origin_at", "horizon", "target_at", "actual", F.col("target_at").alias("actual_at"), F.col("target_at").alias("matured_at"))
+    half = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
+    audit = rows.agg(F.max("target_at").alias("evaluated_at"), F.sha2(F.count("*").cast("string").cast("binary"), 256).alias("manifest_sha256"))
+    audit = audit.select(F.lit("ready").alias("status"), "manifest_sha256", *[F.lit(True).alias(c) for c in ("exact_target_coverage", "prospective_period_ready", "pipeline_ready")], half.alias("frozen_at"), half.alias("prospective_start"), "evaluated_at")
+    return ledger.interval_gate(lines, met, audit, [2, 4, 8, 16], 200, 14)
