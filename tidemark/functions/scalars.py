@@ -34,6 +34,11 @@ def within(actual: Column, low: Column, high: Column) -> Column:
     return (low <= actual) & (actual <= high)
 
 
+def within_tolerance(coverage: Column, target: float, tolerance: float) -> Column:
+    """Whether a coverage is near enough to its target; not if there is none."""
+    return F.coalesce(F.abs(coverage - target) <= tolerance + 1e-9, F.lit(False))
+
+
 def pinball(actual: Column, quantile: Column, level: float) -> Column:
     """The quantile loss max(q e, (q - 1) e) of the error e = actual - quantile."""
     e = actual - quantile

@@ -116,16 +116,22 @@ def causal_quantile(rows: DataFrame, level: float, window: int, least: int, *by:
 
 
 def conformal(rows: DataFrame, target: float = 0.8, *by: str) -> DataFrame:
-    """The multiplier of half-widths at which intervals would have covered the target share, within 0.5 and 3."""
+    """The multiplier of half-widths at which intervals would have covered the target share, within 0.5 and 3.
+
+    It is the score of one rank, so scores are counted first and then ranked; no group is gathered into an array.
+    Intervals without width have no score.
+    """
     half = (F.col("q90") - F.col("q10")) / 2
     score = F.abs(F.col("actual") - F.col("predicted")) / F.nullif(half, F.lit(0.0))
-    n = F.size("scores")
-    level = F.least(F.lit(1.0), F.ceil((n + 1) * target) / n)
-    at = (F.ceil(level * (n - 1)) + 1).cast("int")
-    out = rows.where("actual IS NOT NULL AND q10 IS NOT NULL").withColumn("score", score).groupBy(*by).agg(F.sort_array(F.collect_list("score")).alias("scores"), F.avg(F.col("within").cast("int")).alias("coverage"))
+    known = rows.where("actual IS NOT NULL AND q10 IS NOT NULL").select(*by, score.alias("score"), "within")
+    n = F.col("samples")
+    level = F.least(F.lit(1.0), F.ceil((n + 1) * target) / F.nullif(n, F.lit(0)))
+    counted = known.groupBy(*by).agg(F.count("score").alias("samples"), F.avg(F.col("within").cast("int")).alias("coverage")).withColumn("at", (F.ceil(level * (n - 1)) + 1).cast("long"))
+    ranked = known.where("score IS NOT NULL").withColumn("nth", F.row_number().over(W.partitionBy(*by).orderBy("score"))).select(*[F.col(c).alias(f"__{c}") for c in by], "score", "nth")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("nth") == F.col("at"))
     legacy = F.sqrt(target / F.greatest(F.col("coverage"), F.lit(0.1)))
-    multiplier = F.when(n >= 20, F.greatest(F.least(F.try_element_at("scores", at), F.lit(3.0)), F.lit(0.5))).when(n >= 10, F.greatest(F.least(legacy, F.lit(1.75)), F.lit(0.75))).otherwise(1.0)
-    return out.select(*by, n.alias("samples"), "coverage", multiplier.alias("multiplier"))
+    multiplier = F.when(n >= 20, F.greatest(F.least(F.col("score"), F.lit(3.0)), F.lit(0.5))).when(n >= 10, F.greatest(F.least(legacy, F.lit(1.75)), F.lit(0.75))).otherwise(1.0)
+    return counted.join(ranked, same, "left").select(*by, "samples", "coverage", multiplier.alias("multiplier"))
 
 
 def reliability(rows: DataFrame, probability: Column, outcome: Column, bins: int = 10) -> DataFrame:
