@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import base, calibration_queries, candle_queries, drift_queries, ensemble_queries, forecast_queries, monitoring_queries, quality_queries, replay_queries, research_queries, store_queries  # noqa: F401
+from tidemark.plans import alignment_queries, base, calibration_queries, candle_queries, drift_queries, ensemble_queries, forecast_queries, monitoring_queries, quality_queries, replay_queries, research_queries, store_queries  # noqa: F401
 
 FLAGSHIP = "performance_summary"
 
