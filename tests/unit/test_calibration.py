@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibration, evaluate
+from tidemark.operators import calibration, evaluate, ledger
 
 START = dt.datetime(2024, 3, 1)
 NOW = START + dt.timedelta(hours=400)
@@ -138,3 +138,37 @@ def test_conformal_ranks_scores_without_gathering_them(spark):
         covered = sum(s <= 1 for s in scores) / len(scores)
         want = higher(scores, 0.8) if len(scores) >= 20 else min(1.75, max(0.75, math.sqrt(0.8 / max(covered, 0.1))))
         assert got[model]["samples"] == len(scores) and near(got[model]["multiplier"], want)
+
+
+@pytest.mark.parametrize("before", [None, 1.0, 2.5, 9.0])
+def test_recalibration_moves_by_bounded_steps_of_the_present_bucket(spark, before):
+    """Against rules written plainly: the bucket's coverage decides, and directions of all rows are alerted."""
+    rows = history(7)
+    policy = calibration.Policy(limit=60, tolerance=0.001)
+    found, _ = looped(rows, NOW, policy)
+    frame, current, now = frames(spark, rows, {"a": "range:high", "b": "range:low"})
+    price = 100.5  # every forecast of 100 says down
+    set_ = spark.createDataFrame([("a", before)] if before else [], "model string, multiplier double")
+    got = {r["model"]: r for r in calibration.rolling_recalibration(frame.withColumn("source_price", F.lit(price)), current, set_, now, ["model"], policy).collect()}
+    for model, bucket in (("a", "range:high"), ("b", "range:low")):
+        k, m, _, after, ok = found[model, bucket]
+        old, want = (before or 1.0) if model == "a" else 1.0, round(m, 4)
+        status = "kept" if ok or k < policy.least else "unsafe_change" if abs(want - old) / old > 0.5 else "applied"
+        hits = [r[7] - price < 0 for r in rows if r[0] == model and r[3] <= NOW]
+        row = got[model]
+        assert (row["samples"], row["status"], row["hits"]) == (k, status, len(hits)) and near(row["coverage"], after) and near(row["hit_rate"], sum(hits) / len(hits))
+        assert near(row["after"], max(old * 0.9, min(want, old * 1.1)) if status == "applied" else old)
+        drift = len(hits) >= 20 and sum(hits) / len(hits) < 0.45
+        assert row["alerts"] == ["direction_drift"] * drift + [status] * (status == "unsafe_change")
+
+
+def test_a_log_is_written_once_and_rolled_back(spark):
+    frame, current, now = frames(spark, history(7), {"a": "range:high"})
+    policy = calibration.Policy(limit=60, tolerance=0.001)
+    set_ = spark.createDataFrame([("a", 2.5)], "model string, multiplier double")
+    made = calibration.rolling_recalibration(frame.withColumn("source_price", F.lit(100.0)), current, set_, now, ["model"], policy)
+    log = ledger.appended(calibration.audited(made, ["model"], now), None)
+    assert [(r["key"], r["status"], r["before"]) for r in log.collect()] == [("a", "applied", 2.5)]
+    assert ledger.appended(calibration.audited(made, ["model"], now), log).count() == 0
+    held, said = ledger.rollback(made.select(F.col("model").alias("key"), F.col("after").alias("multiplier")), log, now + F.expr("INTERVAL 1 HOUR"))
+    assert [tuple(r) for r in held.collect()] == [("a", 2.5)] and [r["status"] for r in said.collect()] == ["rolled_back"]

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import scalars
+from tidemark.operators import ledger, specialists
 
 EPSILON = 1e-9
 
@@ -56,6 +57,13 @@ def _covered(scores: str, multiplier: Column) -> Column:
     return F.size(F.filter(scores, lambda s: s <= multiplier))
 
 
+def _usable(now: Column) -> Column:
+    """Whether a row's outcome was known and its interval makes sense."""
+    half = (F.col("q90") - F.col("q10")) / 2
+    score = F.abs(F.col("actual") - F.col("predicted")) / half
+    return (F.col("target_at") <= now) & (F.col("actual") > 0) & (F.col("predicted") > 0) & (half > 0) & (score < float("inf"))
+
+
 def bucket_calibration(history: DataFrame, current: DataFrame, now: Column, by: list[str], policy: Policy = Policy()) -> DataFrame:
     """One row for each group and bucket that its history or its current row holds.
 
@@ -69,8 +77,7 @@ def bucket_calibration(history: DataFrame, current: DataFrame, now: Column, by:
     """
     half = (F.col("q90") - F.col("q10")) / 2
     score = F.abs(F.col("actual") - F.col("predicted")) / half
-    usable = (F.col("target_at") <= now) & (F.col("actual") > 0) & (F.col("predicted") > 0) & (half > 0) & (score < float("inf"))
-    samples = history.where(usable).select(*by, "bucket", "origin_at", score.alias("score"), (2 * half / F.col("predicted") * 100).alias("width"))
+    samples = history.where(_usable(now)).select(*by, "bucket", "origin_at", score.alias("score"), (2 * half / F.col("predicted") * 100).alias("width"))
     newest = [F.desc("origin_at"), F.asc("score")]
     kept = samples.withColumn("own", F.row_number().over(W.partitionBy(*by, "bucket").orderBy(*newest))).where(F.col("own") <= policy.limit)
     kept = kept.withColumn("recent", F.row_number().over(W.partitionBy(*by).orderBy(*newest)) <= policy.limit)
@@ -165,3 +172,26 @@ def coverage_width_report(section: DataFrame, horizon: str, by: list[str]) -> Da
         F.array_join(F.array_sort(F.collect_list(F.when(fell, F.col(horizon)))).cast("array<string>"), ",").alias("fallback_horizons"),
     )
     return out.withColumn("all_validated", F.col("fallback_horizons") == "")
+
+
+def rolling_recalibration(history: DataFrame, current: DataFrame, multipliers: DataFrame, now: Column, by: list[str], policy: Policy = Policy(), floor: float = 0.5, slack: float = 0.05) -> DataFrame:
+    """One row for each group of current (by, bucket): whether its multiplier moves, to what, and what is alerted.
+
+    The coverage and the recommended multiplier are those of the current bucket;
+    directions are of all matured rows of the group, a move of 0 counting as up
+    (history needs source_price). multipliers: by, multiplier; a group without
+    one starts from 1. The step is bounded as in specialists.recalibration().
+    """
+    up = lambda c: F.col(c) - F.col("source_price") >= 0
+    hit = F.when(F.col("source_price") > 0, (up("predicted") == up("actual")).cast("int"))
+    directions = history.where(_usable(now)).groupBy(*by).agg(F.count(hit).alias("hits"), F.avg(hit).alias("hit_rate"))
+    chosen = bucket_calibration(history, current, now, by, policy).join(current.select(*by, "bucket"), [*by, "bucket"])
+    out = chosen.join(directions, by, "left").fillna(0, ["hits"]).join(multipliers.select(*by, F.col("multiplier").alias("before")), by, "left")
+    evidence = out.select(*by, "bucket", "samples", F.col("coverage_after").alias("coverage"), "hits", "hit_rate", F.coalesce("before", F.lit(1.0)).alias("before"), F.round("multiplier", 4).alias("recommended"))
+    return specialists.recalibration(evidence, policy.target, policy.tolerance, policy.least, floor, slack)
+
+
+def audited(proposals: DataFrame, by: list[str], at: Column) -> DataFrame:
+    """Log entries of the proposals that change something or were refused; the key is the group's values joined by slashes."""
+    key = F.concat_ws("/", *[F.col(c).cast("string") for c in by])
+    return ledger.entries(proposals.where("status <> 'kept'").select(key.alias("key"), "status", "before", "after"), at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibration, evaluate, features
+from tidemark.operators import calibration, evaluate, features, ledger
 from tidemark.plans.base import query, r6, typed
 from tidemark.plans.forecast_queries import NOW, now
 from tidemark.plans.replay_queries import SCORED_TYPED, scored_typed
@@ -93,3 +93,39 @@ def conditional_report(spark, sf_dir):
     """How well each model's horizons are covered after calibration, and which fell back."""
     out = calibration.coverage_width_report(section(spark, sf_dir), "horizon", ["series", "model"])
     return out.select("series", "model", "horizons", "verified_horizons", "sparse_horizons", "violation_buckets", r6("mean_coverage").alias("mean_coverage"), F.round("mean_width_pct", 4).alias("mean_width_pct"), "fallback_horizons")
+
+
+PROPOSED = f"""{BUCKETS}, dirs AS (
+  SELECT {G}, count(*) AS hits, avg(CAST((predicted - source_price >= 0) = (actual - source_price >= 0) AS INT)) AS rate
+  FROM hist WHERE target_at <= {NOW} AND actual > 0 AND predicted > 0 AND q90 > q10 AND source_price > 0 GROUP BY ALL), prop0 AS (
+  SELECT {G}, bucket, n, after AS coverage, coalesce(hits, 0) AS hits, rate, round(mult, 4) AS recommended,
+    CASE WHEN ok OR n < {P.least} THEN 'kept' WHEN abs(1 - round(mult, 4)) > 0.5 THEN 'unsafe_change' ELSE 'applied' END AS status
+  FROM (SELECT {G}, bucket FROM cur) JOIN ent USING ({G}, bucket) LEFT JOIN dirs USING ({G})), prop AS (
+  SELECT *, CASE WHEN status = 'applied' THEN greatest(0.9, least(recommended, 1.1)) ELSE 1.0 END AS moved,
+    concat_ws(',', CASE WHEN hits >= {P.least} AND rate < 0.45 THEN 'direction_drift' END, CASE WHEN status = 'unsafe_change' THEN status END) AS alerts FROM prop0)"""
+
+
+def proposals(spark, sf_dir):
+    history, current = with_states(spark, sf_dir)
+    unset = spark.createDataFrame([], "series string, model string, horizon int, multiplier double")
+    return calibration.rolling_recalibration(history, current, unset, now(), BY, P)
+
+
+@query(f"WITH {PROPOSED} SELECT {G}, bucket, n AS samples, round(coverage, 6) AS coverage, hits, round(rate, 6) AS hit_rate, recommended, status, round(moved, 6) AS after, alerts FROM prop")
+def bucket_recalibration(spark, sf_dir):
+    """Bounded changes of the multiplier of each model's present state, and what is refused or alerted."""
+    out = proposals(spark, sf_dir)
+    return out.select(*BY, "bucket", "samples", r6("coverage").alias("coverage"), "hits", r6("hit_rate").alias("hit_rate"), "recommended", "status", r6("after").alias("after"), F.array_join("alerts", ",").alias("alerts"))
+
+
+@query(f"""WITH {PROPOSED}, done AS (SELECT concat_ws('/', series, model, CAST(horizon AS VARCHAR)) AS key, status, moved FROM prop WHERE status <> 'kept')
+SELECT {NOW} AS at, 'recalibrate' AS action, key, status, 1.0::DOUBLE AS before, round(moved, 6) AS after FROM done
+UNION ALL SELECT {NOW} + INTERVAL 1 HOUR, 'rollback', key, 'rolled_back', round(moved, 6), 1.0::DOUBLE FROM done WHERE status = 'applied'""")
+def recalibration_audit(spark, sf_dir):
+    """The log after a recalibration, written twice, and its rollback an hour later."""
+    made = proposals(spark, sf_dir)
+    once = ledger.appended(calibration.audited(made, BY, now()), None)
+    log = once.unionByName(ledger.appended(calibration.audited(made, BY, now()), once))
+    held = made.select(F.concat_ws("/", *[F.col(c).cast("string") for c in BY]).alias("key"), F.col("after").alias("multiplier"))
+    undone = ledger.rollback(held, log, now() + F.expr("INTERVAL 1 HOUR"))[1]
+    return log.unionByName(undone).select("at", "action", "key", "status", r6("before").alias("before"), r6("after").alias("after"))
