@@ -247,6 +247,31 @@ def test_stack_equals_a_fit_on_training_rows(spark, frame):
     assert pq.stack_report(pq.stack_replay(replay, folded), 32, 4, "horizon").where("segment = 'overall'").count() == 4
 
 
+def longest_condition(df):
+    """Characters of the longest filter condition in the optimised plan."""
+    longest, nodes = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Filter":
+            longest = max(longest, len(node.condition().toString()))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return longest
+
+
+def test_reports_put_no_replay_into_a_condition(frame):
+    """A condition on an error is not pushed down to the sources with the whole replay written out in it."""
+    assert longest_condition(pq.paired_report(pq.uncertainty_replay(frame, PRIORS), 32, 4, "horizon")) < 2000
+
+
+def test_reports_skip_rows_without_both_errors(spark):
+    rows = [("g", START + timedelta(hours=k), None if k % 5 == 0 else 3.0 + k % 3, None if k % 7 == 0 else 2.0 + k % 2, 1, 0) for k in range(60)] + [("none", START, None, 1.0, 1, 1)]
+    frame = spark.createDataFrame(rows, "g string, origin_at timestamp_ntz, baseline_error double, candidate_error double, baseline_right int, candidate_right int")
+    (got,) = pq.paired_report(frame, 8, 4, "g").collect()
+    known = [r for r in rows if r[2] is not None and r[3] is not None]
+    assert (got["g"], got["pairs"], got["mean_gain"]) == ("g", len(known), pytest.approx(sum(r[2] - r[3] for r in known) / len(known)))
+    assert got["baseline_mae"] == pytest.approx(sum(r[2] for r in known) / len(known))
+
+
 def test_reports(frame):
     report = pq.paired_report(pq.specialist_replay(frame, PRIORS), 32, 4, "series", "horizon").collect()
     assert len(report) == 4 and all(r["verdict"] in ("candidate_better", "baseline_better", "inconclusive", "low_sample") for r in report)

@@ -203,8 +203,8 @@ def specialist_replay(rows: DataFrame, priors: Mapping[str, Mapping[str, float]]
 
 
 def paired_report(rows: DataFrame, least: int, lags: int, *by: str) -> DataFrame:
-    """(by, samples, both errors and directions, gain, z, verdict) of rows with baseline_ and candidate_ error and right."""
-    known = rows.where("baseline_error IS NOT NULL AND candidate_error IS NOT NULL").withColumn("__gain", F.col("baseline_error") - F.col("candidate_error"))
+    """(by, samples, both errors and directions, gain, z, verdict) of rows with baseline_ and candidate_ error and right; those without both have no gain and don't count."""
+    known = rows.withColumn("__gain", F.col("baseline_error") - F.col("candidate_error"))
     means = [F.avg(f"{k}_{x}").alias(f"{k}_{y}") for k in ("baseline", "candidate") for x, y in (("error", "mae"), ("right", "direction"))]
     out = long_run_z(known, "__gain", lags, "origin_at", *by, also=means)
     verdict = F.when(F.col("pairs") < least, "low_sample").when(F.col("z") > 1.96, "candidate_better").when(F.col("z") < -1.96, "baseline_better").otherwise("inconclusive")
