@@ -260,6 +260,9 @@ def longest_condition(df):
 
 def test_reports_put_no_replay_into_a_condition(frame):
     """A condition on an error is not pushed down to the sources with the whole replay written out in it."""
+    folded = evaluate.folds(frame.select("series", F.col("origin_at").alias("ts")).distinct(), 2, 4, 1, 10)
+    stacked = pq.stack_replay(pq.specialist_replay(frame, PRIORS, spans={2: 10, 4: 20}), folded)
+    assert 0 < longest_condition(pq.stack_report(stacked, 32, 4, "horizon")) < 2000
     assert longest_condition(pq.paired_report(pq.uncertainty_replay(frame, PRIORS), 32, 4, "horizon")) < 2000
 
 

@@ -368,18 +368,20 @@ def stack_replay(replay: DataFrame, folded: DataFrame, specialists: Sequence[str
     replay: specialist_replay() with spans; folded: (fold, role, series, ts). The
     weights of a fold, series and horizon come from the second moments of its
     training rows' relative changes, summed in one window; without training rows
-    they are equal.
+    they are equal. Unusable rows add nothing and go after that window, so that
+    the condition isn't written out down to the sources.
     """
     x = [F.col(c) / F.col("source_price") - 1 for c in specialists]
     y = F.col("actual") / F.col("source_price") - 1
     key = ["fold", "series", "horizon"]
     usable = reduce(lambda a, c: a & F.col(c).isNotNull(), specialists, F.col("actual") > 0)
-    mine = replay.where(usable).join(folded.withColumnRenamed("ts", "origin_at"), ["series", "origin_at"])
+    mine = replay.join(folded.withColumnRenamed("ts", "origin_at"), ["series", "origin_at"]).withColumn("__usable", F.coalesce(usable, F.lit(False)))
     group = W.partitionBy(*key)
-    train = lambda c: F.coalesce(F.sum(F.when(F.col("role") == "train", c)).over(group), F.lit(0.0))
+    trains = F.col("__usable") & (F.col("role") == "train")
+    train = lambda c: F.coalesce(F.sum(F.when(trains, c)).over(group), F.lit(0.0))
     n = len(specialists)
-    sums = {"trained": F.count_if(F.col("role") == "train").over(group), "gram": F.array(*[train(a * b) for a in x for b in x]), "right": F.array(*[train(a * y) for a in x])}
-    asked = mine.withColumns(sums).where("role = 'validate'")
+    sums = {"trained": F.count_if(trains).over(group), "gram": F.array(*[train(a * b) for a in x for b in x]), "right": F.array(*[train(a * y) for a in x])}
+    asked = mine.withColumns(sums).where("role = 'validate' AND __usable")
 
     def fit(batches):
         known: dict[tuple, list[float]] = {}  # one fit for each fold, series and horizon
