@@ -110,6 +110,28 @@ def test_battery_is_calibrated():
     assert (np.diff(mean[[0, 3, 4, 5]], axis=1) > 0).all()
 
 
+def test_chain_counts_the_words_of_all_documents(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeXY") for _ in range(rng.randint(1, 15))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) + rng.choice([".", "7", "é"]) for _ in range(700)] + [None, ""]
+    holds: dict[str, int] = {}
+    for t in texts:
+        for w in set(re.findall("[A-Za-z]{3,12}", t or "")):
+            holds[w.lower()] = holds.get(w.lower(), 0) + 1
+    want: dict[str, dict[str, int]] = {}
+    for w, n in holds.items():
+        marked = f"$${w}$"
+        for i in range(len(w) + 1) if n > 1 else ():
+            following = want.setdefault(marked[i : i + 2], {})
+            following[marked[i + 2]] = following.get(marked[i + 2], 0) + n.bit_length() - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chain = secret_scan.word_chain(docs.repartition(5), "text")
+    assert chain == want
+    words = secret_scan.chained_words(chain, 500)
+    assert words == secret_scan.chained_words(secret_scan.word_chain(docs, "text"), 500) and len(set(words)) > 200
+    assert all(2 <= len(w) <= 12 for w in words) and secret_scan.chained_words({}, 5) == []
+
+
 def test_procedure_equals_sorting():
     rng = random.Random(3)
     for _ in range(200):

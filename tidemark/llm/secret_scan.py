@@ -11,8 +11,10 @@ all documents decides which are secrets, so that of those reported at any length
 about RATE are not. Its counts are p-values by tenths of a decade, 36 strata at
 any size of the corpus.
 
-Texts are read once, into spans and candidates with their p-values; the
-thresholds found from those are then applied in SQL.
+What written tokens look like is learned from decoys, whose words come from
+the letters that follow each other in the words of all documents. For that
+texts are read once, and once more into spans and candidates with their
+p-values; the thresholds found from those are then applied in SQL.
 
 Defined results: a null text is an empty one and has no spans; repeated rows
 repeat and count in the procedure each; columns named like the results are
@@ -42,8 +44,8 @@ KINDS = (*BASE, "random")
 RATE, LEAST_RANDOM = 0.01, 0.001
 #: p-values are counted by this many to a decade, up to TOP.
 TENTHS, TOP = 10, 300
-#: Bounds of the words that decoys are made of: documents and words looked at.
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 4000
+#: Words that decoys are made of, drawn from the chain of all documents' words; letters of a word at most, and its mark of an end.
+CHAINED, LETTERS, END = 4000, 12, "$"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _KEYS = ("passw", "secret", "token", "api")
@@ -185,13 +187,39 @@ def thresholds(counts: dict[int, dict[int, int]], rate: float = RATE) -> dict[in
     return out
 
 
-def sample_words(docs: DataFrame, text: str) -> list[str]:
-    """At most SAMPLE_WORDS words of ASCII letters from about SAMPLE_DOCS documents, both taken by hash."""
-    docs = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,12}"), F.lit(0))).alias("w")).distinct()
-    return [r["w"] for r in words.orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS).collect()]
+def word_chain(docs: DataFrame, text: str) -> dict[str, dict[str, int]]:
+    """How often which letter (or END) follows which two in the words of all documents: runs of ASCII letters, cut at LETTERS.
+
+    A word weighs the whole binary logarithm of how many (document, spelling) pairs
+    hold it, so neither very frequent words nor the pieces of tokens, which hardly
+    ever repeat, rule the chain. At most 27 * 27 pairs with 27 followers come back,
+    whatever the corpus.
+    """
+    spelled = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,%d}" % LETTERS), F.lit(0)))
+    words = docs.select(F.explode(spelled).alias("w")).groupBy(F.lower("w").alias("w")).agg((F.length(F.bin(F.count("*"))) - 1).cast("long").alias("weight")).where("weight > 0")
+    marked = F.concat(F.lit(END * 2), F.col("w"), F.lit(END))
+    steps = words.select("weight", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(marked, i, F.lit(3)))).alias("s"))
+    chain: dict[str, dict[str, int]] = {}
+    for r in steps.groupBy("s").agg(F.sum("weight").alias("n")).orderBy("s").collect():
+        chain.setdefault(r["s"][:2], {})[r["s"][2]] = r["n"]
+    return chain
+
+
+def chained_words(chain: dict[str, dict[str, int]], count: int, seed: int = 21) -> list[str]:
+    """Words of two to LETTERS letters drawn from a chain; none from an empty one."""
+    rng = np.random.default_rng(seed)
+    drawn = {pair: (list(next_), np.cumsum(list(next_.values()))) for pair, next_ in chain.items()}
+    out = []
+    for _ in range(count if chain else 0):
+        word = END * 2
+        while len(word) < LETTERS + 2:
+            letters, total = drawn[word[-2:]]
+            letter = letters[int(np.searchsorted(total, rng.integers(total[-1]), side="right"))]
+            if letter == END:
+                break
+            word += letter
+        out.append(word[2:])
+    return out
 
 
 def joined(spans: Column) -> Column:
@@ -209,7 +237,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = RATE, keep:
     comma-joined), secrets (the same as an array) and n_added, the number of random tokens."""
     names = {*[f"n_{k}" for k in BASE], "base_sha256", "spans", "secrets", "n_added"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    null = null_of_writing(sample_words(docs, text) + written_words(400))
+    null = null_of_writing(chained_words(word_chain(docs, text), CHAINED) + written_words(400))
     held = written(scanned(docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text")), null))
     each = held.select(F.explode("found").alias("f")).groupBy("f.stratum", "f.tenths").count().collect()  # STRATA x TOP rows at most
     counts: dict[int, dict[int, int]] = {}
